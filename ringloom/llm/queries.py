@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ringloom.llm.common import ship, table
 from ringloom.llm.license_scan import license_digest, license_sql
+from ringloom.llm.minhash_dedup import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,8 +17,12 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(table(ship(spark), sf_dir, "documents"))
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(ship(spark), sf_dir, "documents"), k=2)
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_license_scan": op1_license_scan}
+    return {f.__name__: f for f in (op1_license_scan, op6_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
