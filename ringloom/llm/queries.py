@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ringloom.llm.common import ship, table
 from ringloom.llm.license_scan import license_digest, license_sql
 from ringloom.llm.minhash_dedup import near_duplicates
+from ringloom.llm.packing import packed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,8 +22,18 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(ship(spark), sf_dir, "documents"), k=2)
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(ship(spark), sf_dir, "documents"), tokenizer_path())
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_license_scan, op6_minhash_dedup)}
+    return {f.__name__: f for f in (op1_license_scan, op6_minhash_dedup, op8_pattern_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
