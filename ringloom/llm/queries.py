@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ringloom.llm.common import ship, table
+from ringloom.llm.decontaminate import contained, contained_sql
+from ringloom.llm.kd_shards import kd_shards
 from ringloom.llm.license_scan import license_digest, license_sql
 from ringloom.llm.minhash_dedup import near_duplicates
 from ringloom.llm.packing import packed
@@ -18,10 +20,18 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(table(ship(spark), sf_dir, "documents"))
 
 
+def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards(table(ship(spark), sf_dir, "documents"))
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(ship(spark), sf_dir, "documents"), k=2)
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained(table(ship(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -33,8 +43,8 @@ def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_license_scan, op6_minhash_dedup, op8_pattern_packing)}
+    return {f.__name__: f for f in (op1_license_scan, op4_kd_shards, op6_minhash_dedup, op7_decontaminate, op8_pattern_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_sql()}
+    return {"op1_license_scan": license_sql(), "op7_decontaminate": contained_sql()}
