@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ringloom.llm.common import ship, table
 from ringloom.llm.decontaminate import contained, contained_sql
 from ringloom.llm.kd_shards import kd_shards
+from ringloom.llm.language_id import language_model, predicted
 from ringloom.llm.license_scan import license_digest, license_sql
 from ringloom.llm.minhash_dedup import near_duplicates
 from ringloom.llm.packing import packed
@@ -42,8 +44,20 @@ def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(ship(spark), sf_dir, "documents"), tokenizer_path())
 
 
+def remainder(n: int) -> Column:
+    """crc32 of doc_id as text, modulo n."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ship(spark), sf_dir, "documents")
+    model = language_model(docs.where(remainder(3) != 1))
+    out = predicted(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_license_scan, op4_kd_shards, op6_minhash_dedup, op7_decontaminate, op8_pattern_packing)}
+    return {f.__name__: f for f in (op1_license_scan, op4_kd_shards, op6_minhash_dedup, op7_decontaminate, op8_pattern_packing, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
