@@ -14,6 +14,7 @@ from ringloom.llm.language_id import language_model, predicted
 from ringloom.llm.license_scan import license_digest, license_sql
 from ringloom.llm.minhash_dedup import near_duplicates
 from ringloom.llm.packing import packed
+from ringloom.llm.toxicity import scored, toxicity_model
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,6 +50,13 @@ def remainder(n: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ship(spark), sf_dir, "documents").select("doc_id", "text")
+    model = toxicity_model(docs.where(remainder(5) != 0), table(spark, sf_dir, "labels"))
+    out = scored(docs, model)
+    return out.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(ship(spark), sf_dir, "documents")
     model = language_model(docs.where(remainder(3) != 1))
@@ -57,7 +65,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_license_scan, op4_kd_shards, op6_minhash_dedup, op7_decontaminate, op8_pattern_packing, op9_language_id)}
+    return {f.__name__: f for f in (op1_license_scan, op4_kd_shards, op5_toxicity, op6_minhash_dedup, op7_decontaminate, op8_pattern_packing, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
