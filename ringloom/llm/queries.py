@@ -12,6 +12,7 @@ from ringloom.llm.decontaminate import contained, contained_sql
 from ringloom.llm.kd_shards import kd_shards
 from ringloom.llm.language_id import language_model, predicted
 from ringloom.llm.license_scan import license_digest, license_sql
+from ringloom.llm.lm_score import lm_scores
 from ringloom.llm.minhash_dedup import near_duplicates
 from ringloom.llm.packing import packed
 from ringloom.llm.toxicity import scored, toxicity_model
@@ -23,6 +24,12 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(table(ship(spark), sf_dir, "documents"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm_scores(table(ship(spark), sf_dir, "documents"), remainder(7) != 2)
+    cols = "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"
+    return out.select("doc_id", (remainder(7) == 2).alias("held_out"), *cols)
+
+
 def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(table(ship(spark), sf_dir, "documents"))
 
@@ -65,7 +72,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_license_scan, op4_kd_shards, op5_toxicity, op6_minhash_dedup, op7_decontaminate, op8_pattern_packing, op9_language_id)}
+    return {f.__name__: f for f in (op1_license_scan, op3_lm_score, op4_kd_shards, op5_toxicity, op6_minhash_dedup, op7_decontaminate, op8_pattern_packing, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
