@@ -15,6 +15,7 @@ from ringloom.llm.license_scan import license_digest, license_sql
 from ringloom.llm.lm_score import lm_scores
 from ringloom.llm.minhash_dedup import near_duplicates
 from ringloom.llm.packing import packed
+from ringloom.llm.pivot_dedup import pivot_duplicates
 from ringloom.llm.toxicity import scored, toxicity_model
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +25,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(table(ship(spark), sf_dir, "documents"))
 
 
+def op2_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_duplicates(table(ship(spark), sf_dir, "embeddings"))
+
+
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lm_scores(table(ship(spark), sf_dir, "documents"), remainder(7) != 2)
     cols = "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"
@@ -72,7 +77,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_license_scan, op3_lm_score, op4_kd_shards, op5_toxicity, op6_minhash_dedup, op7_decontaminate, op8_pattern_packing, op9_language_id)}
+    return {f.__name__: f for f in (op1_license_scan, op2_pivot_dedup, op3_lm_score, op4_kd_shards, op5_toxicity, op6_minhash_dedup, op7_decontaminate, op8_pattern_packing, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
