@@ -16,6 +16,7 @@ from ringloom.llm.lm_score import lm_scores
 from ringloom.llm.minhash_dedup import near_duplicates
 from ringloom.llm.packing import packed
 from ringloom.llm.pivot_dedup import pivot_duplicates
+from ringloom.llm.preference_format import neighbours, neighbours_sql
 from ringloom.llm.toxicity import scored, toxicity_model
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,9 +77,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(table(ship(spark), sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_license_scan, op2_pivot_dedup, op3_lm_score, op4_kd_shards, op5_toxicity, op6_minhash_dedup, op7_decontaminate, op8_pattern_packing, op9_language_id)}
+    return {f.__name__: f for f in (op1_license_scan, op2_pivot_dedup, op3_lm_score, op4_kd_shards, op5_toxicity, op6_minhash_dedup, op7_decontaminate, op8_pattern_packing, op9_language_id, op10_preference_format)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_sql(), "op7_decontaminate": contained_sql()}
+    return {"op1_license_scan": license_sql(), "op7_decontaminate": contained_sql(), "op10_preference_format": neighbours_sql()}
