@@ -62,6 +62,29 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Bits of the bitmap of without(); 2 MB at any input size.
+BITMAP = 1 << 24
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs less the rows whose doc_id is in gone (doc_id); null ids stay.
+
+    Texts are not shuffled for it: a bitmap of fixed size clears nearly all rows
+    that stay, and only the rest meets the ids themselves."""
+    spark = docs.sparkSession
+    gone = saved(gone.select(F.col("doc_id").cast("long").alias("_gone")), "gone")
+    slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(BITMAP)) + 1
+    bits = gone.select(slot("_gone").alias("s")).groupBy(F.bitmap_bucket_number("s").alias("_n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("_bits"))
+    bits = spark.createDataFrame(bits.collect(), "_n long, _bits binary")
+    at = F.bitmap_bit_position(slot("doc_id"))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    set_ = F.call_function("shiftright", byte, F.pmod(at, F.lit(8)).cast("int")).bitwiseAND(1)
+    flagged = docs.join(F.broadcast(bits), F.bitmap_bucket_number(slot("doc_id")) == F.col("_n"), "left").withColumn("_maybe", F.coalesce(set_ == 1, F.lit(False)))
+    stay = flagged.where(~F.col("_maybe")).select(*docs.columns)
+    rest = flagged.where("_maybe").select(*docs.columns)
+    return stay.union(rest.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti"))
+
+
 # --- UTF-8 bytes in numpy -------------------------------------------------
 
 LOWER = np.arange(256, dtype=np.uint8)
