@@ -1,15 +1,399 @@
-"""Registered queries of the engine and their DuckDB SQL."""
+"""Registered queries of the engine and their DuckDB SQL.
+
+Each query applies operators to a whole view; the SQL states the same result by
+plain joins, aggregates and windows. Queries of kernels that SQL cannot express
+have none and are tested against brute force and known answers.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ringloom.functions import sequence as S
+from ringloom.operators import annotate as A
+from ringloom.operators import junctions as J
+from ringloom.operators import kernels as K
+from ringloom.operators import molecules as M
+from ringloom.operators import reads as R
+from ringloom.operators import relational as rel
+from ringloom.plans import views as V
+from ringloom.sources import sinks
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
 
+def _query(sql: str | None = None):
+    def keep(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return keep
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+E, C, SI, H, AL, AX, RS, MO, SQ = (v.sql for v in (V.EXONS, V.CANDS, V.SITES, V.HYPOTHESES, V.ALIGNMENTS, V.ALN_EXONS, V.READ_SITES, V.MOLECULES, V.SEQUENCES))
+
+# --- junctions ----------------------------------------------------------------
+
+
+@_query(f"""
+with c as {C}, e as {E},
+s as (select query_id, gene_id, min(row(abs(e.start_pos - c.start_pos), e.start_pos)) as s from c join e on c.chr = e.chr and c.strand = e.strand and abs(e.start_pos - c.start_pos) <= 40 group by all),
+t as (select query_id, gene_id, min(row(abs(e.end_pos - c.end_pos), e.end_pos)) as t from c join e on c.chr = e.chr and c.strand = e.strand and abs(e.end_pos - c.end_pos) <= 40 group by all),
+b as (select query_id, gene_id, s[2] as snap_start, t[2] as snap_end, s[1] + t[1] as shift, row_number() over (partition by query_id order by s[1] + t[1], gene_id) as r from s join t using (query_id, gene_id))
+select query_id, chr, strand, start_pos, end_pos, gene_id, snap_start, snap_end, shift from b join c using (query_id) where r = 1""")
+def bsj_snap_gene(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.snap_to_genes(V.CANDS.frame(spark, sf_dir), V.EXONS.frame(spark, sf_dir))
+
+
+@_query(f"""
+with c as {C}, m as (select *, max(end_pos) over (partition by chr order by start_pos, end_pos, query_id rows between unbounded preceding and 1 preceding) as reach from c),
+i as (select *, sum(case when reach is null or start_pos > reach then 1 else 0 end) over (partition by chr order by start_pos, end_pos, query_id) as island from m)
+select chr, min(start_pos) as island_start, max(end_pos) as island_end, count(*) as n from i group by chr, island""")
+def bsj_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rel.islands(V.CANDS.frame(spark, sf_dir), "chr", "start_pos", "end_pos")
+
+
+_HIGH = f"s as {SI}, k as (select chr, strand, start_pos, end_pos from s where left_ok and right_ok group by all having count(*) >= 2), hi as (select s.* from s semi join k using (chr, strand, start_pos, end_pos)), lo as (select s.* from s anti join k using (chr, strand, start_pos, end_pos))"
+
+
+@_query(f"with {_HIGH} select query_id, 'high' as confidence from hi union all select query_id, 'low' from lo")
+def bsj_high_conf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    high, low = J.high_confidence(V.SITES.frame(spark, sf_dir))
+    return high.select("query_id", F.lit("high").alias("confidence")).union(low.select("query_id", F.lit("low")))
+
+
+_LOWHIGH = f"""{_HIGH}, h as (select distinct chr, strand, start_pos as h_start, end_pos as h_end from hi),
+a as (select lo.query_id, lo.chr, lo.strand, lo.start_pos, lo.end_pos, min(row(abs(lo.start_pos - h_start) + abs(lo.end_pos - h_end), h_start, h_end)) as b from lo join h on lo.chr = h.chr and lo.strand = h.strand and abs(lo.start_pos - h_start) <= 40 and abs(lo.end_pos - h_end) <= 40 group by all)"""
+
+
+@_query(f"with {_LOWHIGH} select query_id, chr, strand, start_pos, end_pos, b[2] as adj_start, b[3] as adj_end from a")
+def bsj_low_to_high(spark: SparkSession, sf_dir: str) -> DataFrame:
+    high, low = J.high_confidence(V.SITES.frame(spark, sf_dir))
+    return J.low_to_high(low, high)
+
+
+_RC = "reverse(translate({}, 'ACGTN', 'TGCAN'))"
+_MOTIFS = "m as (select substring(x, 1, 2) as l, substring(x, 3, 2) as r from (values ('AGGT'), ('AGGC'), ('ACAT'), ('ACGT'), ('AGAT')) v(x))"
+
+
+@_query(f"""
+with h as {H}, {_MOTIFS},
+n as (select *, count(*) as n from h group by all),
+t as (select * from n qualify n = max(n) over (partition by query_id)),
+f as (select t.*, l, r, case strand when '+' then left_seq = l else left_seq = {_RC.format('r')} end as lok, case strand when '+' then right_seq = r else right_seq = {_RC.format('l')} end as rok from t, m),
+b as (select query_id, chr, start_pos, end_pos, strand, left_seq, right_seq, 0 as tier, sum(n) over (partition by query_id, l, r, strand) as votes, true as left_ok, true as right_ok from f where lok and rok),
+o as (select query_id, chr, start_pos, end_pos, strand, left_seq, right_seq, 1 as tier, sum(n) over (partition by query_id, lok, case when lok then l else r end, strand) as votes, lok as left_ok, rok as right_ok from f where lok <> rok),
+u as (select * from b union all select * from o union all select query_id, chr, start_pos, end_pos, strand, left_seq, right_seq, 2, 0, false, false from t)
+select query_id, chr, start_pos, end_pos, strand, left_seq, right_seq, tier, left_ok, right_ok from u where end_pos > start_pos
+qualify row_number() over (partition by query_id order by tier, votes desc, end_pos - start_pos desc, left_ok desc, chr, start_pos, end_pos, strand, left_seq, right_seq) = 1""")
+def bsj_motif_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.vote_junction(V.HYPOTHESES.frame(spark, sf_dir), J.motif_rows(spark))
+
+
+@_query()
+def bsj_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.absorb_sites(V.SITES.frame(spark, sf_dir))
+
+
+@_query()
+def bsj_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.cluster_junctions(V.SITES.frame(spark, sf_dir))
+
+
+@_query(f"with s as {SI} select chr, strand, start_pos, end_pos, count(*) as n_reads from s group by all having count(*) >= 2")
+def isoform_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.support(V.SITES.frame(spark, sf_dir), ["chr", "strand", "start_pos", "end_pos"], 2)
+
+
+@_query(f"with s as {SI}, k as (select chr, strand, start_pos, end_pos, count(*) as n_reads from s group by all having count(*) >= 2) select *, (sum(n_reads) over w)::bigint as site_reads, count(*) over w as n_isoforms from k window w as (partition by chr, strand, start_pos)")
+def bsj_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.rollup_support(V.SITES.frame(spark, sf_dir), ["chr", "strand", "start_pos"], ["end_pos"], 2)
+
+
+@_query(f"with h as {H}, n as (select query_id, strand, count(*) as n from h group by all) select query_id, strand from n qualify row_number() over (partition by query_id order by n desc, strand) = 1")
+def strand_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.majority_strand(V.HYPOTHESES.frame(spark, sf_dir), ["query_id"])
+
+
+@_query(f"with h as {H}, n as (select query_id, start_pos, end_pos, count(*) as n from h group by all) select * from n qualify n = max(n) over (partition by query_id)")
+def most_frequent_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rel.most_frequent(V.HYPOTHESES.frame(spark, sf_dir), ["query_id"], ["start_pos", "end_pos"])
+
+
+# --- reads --------------------------------------------------------------------
+
+_O = lambda a, b: f"(a[{a}].ref_start < a[{b}].ref_end and a[{b}].ref_start < a[{a}].ref_end)"
+
+
+@_query(f"""
+with al as {AL},
+g as (select query_id, list(struct_pack(query_start := query_start, query_end := query_end, ref_start := ref_start, ref_end := ref_end, chr := chr, strand := strand, exon_len := exon_len) order by query_start, query_end, ref_start, ref_end, chr, strand, exon_len) as a, count(*) as n, count(distinct chr) as nc, count(distinct chr || strand) as nl from al group by 1 having count(*) >= 2),
+r as (select query_id, a, n, nc, nl, list_transform(range(1, n), lambda i: (a[i].chr <> a[i + 1].chr)::int) as sw, list_sort(list_transform(range(1, n + 1), lambda i: row(-a[i].exon_len, i)))[1][2] as li from g),
+o as (select *, list_transform(range(1, n + 1), lambda i: a[i].ref_start < a[li].ref_end and a[li].ref_start < a[i].ref_end) as ov from r),
+p as (select *, list_sum(sw) as n_switch, list_sum(list_transform(ov, lambda x: x::int)) as hits, list_bool_and(list_transform(range(1, n), lambda i: ov[i] <> ov[i + 1])) as alt, list_min(sw) = 1 as calt,
+  a[3].ref_start - a[1].ref_end > 40 and a[4].ref_start - a[2].ref_end > 40 and a[2].ref_end - a[1].ref_end > 40 and a[3].ref_end - a[2].ref_end > 40 and a[4].ref_end - a[3].ref_end > 40 and a[2].ref_start - a[1].ref_end > -40 and a[3].ref_start - a[2].ref_end > -40 and a[4].ref_start - a[3].ref_end > -40 as rg,
+  a[3].query_start - a[1].query_end > 40 and a[4].query_start - a[2].query_end > 40 and a[2].query_end - a[1].query_end > 40 and a[3].query_end - a[2].query_end > 40 and a[4].query_end - a[3].query_end > 40 and a[2].query_start - a[1].query_end > -40 and a[3].query_start - a[2].query_end > -40 and a[4].query_start - a[3].query_end > -40 as qg from o)
+select query_id, n as n_aln, nc as n_chr, n_switch::bigint as n_switch, case when nc > 2 then 'multipleChrs'
+ when nc = 2 then case when n_switch <= 1 then 'twoChrLowConf' when nl > 2 then 'twoChrsNotCandidate' when n >= 4 and calt and qg then 'twoChrsFusion' else 'twoChrsFusionLowConf' end
+ when n = 2 then case when {_O(1, 2)} then 'sameChrCandidate' else 'sameChrNotCandidate' end
+ when n = 3 and ({_O(1, 2)} or {_O(1, 3)}) and ({_O(3, 2)} or {_O(3, 1)}) then case when {_O(1, 2)} then 'sameChrCandidate' else 'sameChrFusionLowConf' end
+ when n = 3 then 'sameChrLowConf' when hits > n - 2 then 'sameChrCandidate' when not alt then 'sameChrLowConf' when rg then 'sameChrFusion' else 'sameChrFusionLowConf' end as read_type from p""")
+def read_type_router(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.read_types(V.ALIGNMENTS.frame(spark, sf_dir))
+
+
+@_query(f"with a as {AL} select * from a qualify row_number() over (partition by query_id order by exon_len desc, query_start, chr, ref_start, ref_end, strand, query_end) = 1")
+def read_top_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.top_alignment(V.ALIGNMENTS.frame(spark, sf_dir))
+
+
+@_query(f"with a as {AL} select * from a qualify exon_len = max(exon_len) over (partition by query_id)")
+def read_longest_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rel.max_rows(V.ALIGNMENTS.frame(spark, sf_dir), ["query_id"], F.col("exon_len"))
+
+
+@_query(f"""
+with a as {AL}, m as (select query_id, ref_start, ref_end, max(ref_end) over (partition by query_id order by ref_start, ref_end rows between unbounded preceding and 1 preceding) as reach from a),
+i as (select *, sum(case when reach is null or ref_start > reach then 1 else 0 end) over (partition by query_id order by ref_start, ref_end rows unbounded preceding) as k from m)
+select query_id, min(ref_start) as union_start, max(ref_end) as union_end from i group by query_id, k""")
+def merge_exon_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = V.ALIGNMENTS.frame(spark, sf_dir)
+    return R.merged_exons(a.select("query_id", F.col("ref_start").alias("exon_start"), F.col("ref_end").alias("exon_end")))
+
+
+@_query(f"""
+with x as {AX}, s as {RS},
+j as (select x.*, s.strand, s.start_pos, s.end_pos from x join s using (query_id, chr) where abs(ref_start - start_pos) <= 300 and abs(ref_end - end_pos) <= 300),
+b as (select * from j qualify n_exons = max(n_exons) over (partition by query_id)), c as (select * from b qualify exon_len = max(exon_len) over (partition by query_id)),
+v as (select query_id, chr, strand, exon_no, case when exon_no = 0 then start_pos else exon_start + 1 end as s, case when exon_no = n_exons - 1 then end_pos else exon_end end as e, count(*) as n from c group by all)
+select query_id, chr, strand, exon_no, s::bigint as exon_start, e::bigint as exon_end from (select * from v qualify row_number() over (partition by query_id, chr, strand, exon_no order by n desc, s, e) = 1) where e - s > 10""")
+def isoform_exon_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.isoforms(V.ALN_EXONS.frame(spark, sf_dir), V.READ_SITES.frame(spark, sf_dir))
+
+
+_FUSION = f"""
+a as {AL}, n as (select *, row_number() over (partition by query_id order by query_start, query_end, ref_start, ref_end, chr) as i, row_number() over (partition by query_id order by exon_len desc, query_start, query_end, ref_start, ref_end, chr desc) as l, min(chr) over (partition by query_id) <> max(chr) over (partition by query_id) as two from a),
+s as (select n.*, case when n.two then n.chr = f.chr else n.ref_start < g.ref_end and g.ref_start < n.ref_end end as side from n join n f on n.query_id = f.query_id and f.i = 1 join n g on n.query_id = g.query_id and g.l = 1),
+k as (select *, first_value(side) over (partition by query_id order by query_start, query_end, ref_start, ref_end, side) as s1 from s),
+p as (select query_id, case when side = s1 then 1 else 2 end as locus, min(chr) as chr, min(ref_start) as "start", max(ref_end) as "end", count(*) as n, case when sum(case when strand = '+' then 1 else -1 end) >= 0 then '+' else '-' end as strand from k group by all),
+w as (select x.query_id, x.chr as c1, x."start" as s1, x."end" as e1, x.strand as t1, x.n as n1, y.chr as c2, y."start" as s2, y."end" as e2, y.strand as t2, y.n as n2, x.chr = y.chr and y."start" < x."start" as sw from p x join p y on x.query_id = y.query_id and x.locus = 1 and y.locus = 2),
+fp as (select query_id, {', '.join(f"case when sw then {a}{3 - i} else {a}{i} end as {n}_{i}" for i in (1, 2) for a, n in (('c', 'chr'), ('s', 'start'), ('e', 'end'), ('t', 'strand'), ('n', 'n')))} from w)"""
+
+
+@_query(f"with {_FUSION} select * from fp")
+def fusion_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.fusion_pairs(V.ALIGNMENTS.frame(spark, sf_dir))
+
+
+@_query(f"with {_FUSION} select chr_1 || ':' || start_1 || '-' || end_1 || ':' || strand_1 || '|' || chr_2 || ':' || start_2 || '-' || end_2 || ':' || strand_2 as fusion_id, count(*) as n_reads, string_agg(query_id::varchar, ',' order by query_id) as read_ids from fp group by 1")
+def fusion_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.fusion_groups(R.fusion_pairs(V.ALIGNMENTS.frame(spark, sf_dir)))
+
+
+# --- annotation ----------------------------------------------------------------
+
+
+@_query(f"with e as {E} select chr, gene_id, strand, min(start_pos) as gene_start, max(end_pos) as gene_end, null::varchar as gene_name from e group by chr, gene_id, strand")
+def gene_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.gene_extents(V.EXONS.frame(spark, sf_dir))
+
+
+@_query(f"with e as {E}, d as (select distinct chr, gene_id, strand, transcript_id, start_pos, end_pos from e) select transcript_id, strand, count(*)::int as n_exons, sum(end_pos - start_pos + 1)::bigint as len, string_agg(start_pos || '-' || end_pos, ',' order by start_pos, end_pos) as exon_text from d group by chr, gene_id, strand, transcript_id")
+def transcript_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = A.transcripts(V.EXONS.frame(spark, sf_dir))
+    return t.select("transcript_id", "strand", F.size("exons").alias("n_exons"), S.exon_length(F.col("exons")).alias("len"), S.exon_text(F.col("exons")).alias("exon_text"))
+
+
+@_query(f"""
+with c as {C}, e as {E}, x as (select query_id, start_pos as c_start, end_pos as c_end from c),
+g as (select chr, gene_id, strand as gs, min(start_pos) - 40 as lo, max(end_pos) + 40 as hi from e group by all),
+d as (select c.query_id, c.strand, c.start_pos, c.end_pos, g.gene_id, gs, e.transcript_id, e.start_pos as xs, e.end_pos as xe from c join g on c.chr = g.chr and c.strand = gs and c.start_pos >= lo and c.end_pos <= hi join e on e.chr = g.chr and e.gene_id = g.gene_id),
+f as (select query_id, gene_id, max((abs(start_pos - xs) <= 14)::int) as ss, max((abs(end_pos - xe) <= 14)::int) as ee, max((abs(start_pos - xe) <= 14)::int) as se, max((abs(end_pos - xs) <= 14)::int) as es,
+  max((start_pos between xs - 10 and xe + 10)::int) as si, max((end_pos between xs - 10 and xe + 10)::int) as ei from d group by all),
+t as (select query_id, gene_id, transcript_id, sum(1 + least(c_end, xe) - greatest(c_start, xs) + 1) as cover, sum(case when abs(c_start - xs) <= 10 and abs(c_end - xe) <= 10 then 20.0::double else 1 + (least(c_end, xe) - greatest(c_start, xs) + 1) / 10.0::double end) as score from d join x using (query_id) where least(c_end, xe) - greatest(c_start, xs) + 1 > 0 group by all),
+tb as (select query_id, gene_id, sum(cover) over (partition by query_id, gene_id) as cover, transcript_id from t qualify row_number() over (partition by query_id, gene_id order by round(score, 6) desc, transcript_id) = 1),
+s as (select f.*, 1000 + 10 * (ss + ee) + coalesce(cover, 0) as score, transcript_id from f left join tb using (query_id, gene_id)),
+b as (select *, max(((ss = 1 and ee = 1) or (se = 1 and es = 1) or (si = 1 and ei = 1))::int) over (partition by query_id) as exon, row_number() over (partition by query_id order by score desc, gene_id, transcript_id nulls first) as r from s)
+select c.query_id as circ_key, case when exon = 1 then 'exon' when gene_id is not null then 'intron' else 'intergenic_region' end as circ_type, gene_id as host_gene, score::bigint as gene_score, transcript_id as best_transcript from c left join b on c.query_id = b.query_id and r = 1""")
+def gene_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = V.CANDS.frame(spark, sf_dir).withColumnRenamed("query_id", "circ_key")
+    x = c.select("circ_key", F.col("start_pos").alias("c_start"), F.col("end_pos").alias("c_end"))
+    return A.annotate(c, x, V.EXONS.frame(spark, sf_dir))
+
+
+_ID = "chr || ':' || start_pos || '-' || end_pos || ':' || strand"
+
+
+@_query(f"with s as {SI}, d as (select query_id, 'circ' || chr || '(' || start_pos // 300 || ')' as uniform_id, {_ID} as circ_id from s) select query_id, uniform_id, circ_id, uniform_id || '.' || dense_rank() over (partition by uniform_id order by circ_id) as final_name from d")
+def uniform_name_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = V.SITES.frame(spark, sf_dir).withColumn("uniform_id", F.concat(F.lit("circ"), "chr", F.lit("("), F.floor(F.col("start_pos") / 300).cast("string"), F.lit(")")))
+    return A.ranked_names(s, "uniform_id").select("query_id", "uniform_id", "circ_id", "final_name")
+
+
+@_query()
+def exon_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = A.transcripts(V.EXONS.frame(spark, sf_dir))
+    c = V.CANDS.frame(spark, sf_dir)
+    d = J.snap_to_genes(c, V.EXONS.frame(spark, sf_dir)).join(t.withColumnsRenamed({"exons": "ref"}).drop("chr"), ["gene_id", "strand"])
+    circ = F.array(F.struct(F.col("snap_start").alias("start"), F.col("snap_end").alias("end")))
+    return d.select("query_id", "transcript_id", S.uniform_id(F.col("gene_id"), S.circ_id(F.col("chr"), F.col("snap_start"), F.col("snap_end"), F.col("strand")), circ, F.col("ref"), F.col("strand")).alias("uniform_id"))
+
+
+# --- molecules -----------------------------------------------------------------
+
+
+@_query(f"""
+with m as {MO}, n as (select cluster_id, circ_id, isoform_id, count(*) as n from m where cluster_id <> '' group by all),
+t as (select * from n qualify row_number() over (partition by cluster_id order by n desc, circ_id, isoform_id) = 1),
+i as (select circ_id, isoform_id, count(*) as n_umi from t group by all), s as (select *, (sum(n_umi) over (partition by circ_id))::bigint as circ_umi from i)
+select circ_id, isoform_id, n_umi, circ_umi, n_umi >= 2 as confident from s where circ_umi >= 2""")
+def umi_vote_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.vote_clusters(V.MOLECULES.frame(spark, sf_dir))
+
+
+@_query(f"""
+with m as {MO}, s as {SQ}, r as (select read_id, cluster_id, s.seq from m join s on s.id = m.read_id where cluster_id <> ''),
+p as (select read_id, cluster_id, unnest([substring(seq, 1, 20), substring(seq, 21, 20), substring(seq, 41, 24)]) as segment from r)
+select cluster_id, count(distinct read_id) as n_reads, count(*) as n_segments, sum(length(segment))::bigint as n_bases from p group by 1""")
+def ccs_umi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = V.SEQUENCES.frame(spark, sf_dir).select(F.col("id").alias("read_id"), S.segments_of(F.lit("0-20;20-40;40-64"), F.col("seq")).alias("segments"))
+    return M.molecule_segments(s, V.MOLECULES.frame(spark, sf_dir).where("cluster_id <> ''").select("read_id", "cluster_id"))
+
+
+@_query(f"""
+with m as {MO}, r as (select *, row_number() over (partition by rep order by md5(read_id || '_' || rep), read_id) as i from m, range(3) t(rep)),
+z as (select unnest([500, 1000, 2000, 4000]) as sample_size)
+select sample_size, rep::int as rep, sum(len)::bigint as total_len, count(distinct circ_id) as n_circ from r, z where i <= sample_size group by all""")
+def saturation_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.saturation(V.MOLECULES.frame(spark, sf_dir), (500, 1000, 2000, 4000), 3)
+
+
+@_query(f"with s as {SQ}, k as (select substring(seq, i, 6) as kmer from (select seq, unnest(range(1, length(seq) - 4)) as i from s)) select kmer, count(*) as n from k group by 1")
+def kmer_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.kmers(V.SEQUENCES.frame(spark, sf_dir), 6).groupBy("kmer").agg(F.count("*").alias("n"))
+
+
+@_query(f"""
+with s as {SQ}, k as (select id, substring(seq, i, 6) as kmer, count(*) as n from (select id, seq, unnest(range(1, length(seq) - 4)) as i from s) group by all)
+select x.id as a, y.id as b, sum(least(x.n, y.n))::bigint as shared from k x join k y on x.kmer = y.kmer and x.id < y.id group by all having sum(least(x.n, y.n)) >= 5""")
+def shared_word_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.shared_words(V.SEQUENCES.frame(spark, sf_dir), 6, 5)
+
+
+_GAPS = "select l_partkey % 300 as grp, (l_suppkey % 30) * 2 + l_linenumber as gap from lineitem where l_orderkey % 4 = 1"
+
+
+@_query(f"""
+with v as ({_GAPS}), c as (select grp, gap, count(*) as n from v group by all), s as (select grp, sum(n) as total from c group by 1),
+d as (select x.grp, x.gap, x.n, round(sum(y.n * exp(-0.5 * pow((x.gap - y.gap) / pow(total::double, -0.2), 2))), 9) as density from c x join c y using (grp) join s using (grp) group by all)
+select grp, gap as peak, n as support, density from d qualify row_number() over (partition by grp order by density desc, gap) = 1""")
+def kde_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey % 4 = 1").selectExpr("l_partkey % 300 as grp", "(l_suppkey % 30) * 2 + l_linenumber as gap")
+    return M.kde_peak(v, "grp", "gap")
+
+
+# --- scalar functions -----------------------------------------------------------
+
+
+@_query(f"with s as {SQ} select id, {_RC.format('seq')} as rc, length(seq)::int as len, repeat(seq, 3) as tripled from s")
+def revcomp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.SEQUENCES.frame(spark, sf_dir).select("id", S.revcomp(F.col("seq")).alias("rc"), F.length("seq").alias("len"), F.repeat("seq", 3).alias("tripled"))
+
+
+@_query(f"""
+with s as {SQ}, m as (select * from (values {', '.join(f"('{c}', {m})" for c, m in S.IUPAC.items())}) v(c, m))
+select id, i as pos, x.m & y.m <> 0 as hit from (select id, i, substring(seq, i, 1) as b, substring('{K.PATTERN}', i, 1) as p from s, (select unnest(range(1, 25))::int as i)) join m x on x.c = b join m y on y.c = p""")
+def iupac_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = V.SEQUENCES.frame(spark, sf_dir).withColumn("pos", F.explode(F.sequence(F.lit(1), F.lit(24))))
+    at = lambda s: F.substring(s, F.col("pos"), F.lit(1))
+    return d.select("id", "pos", S.iupac_match(at(F.col("seq")), at(F.lit(K.PATTERN))).alias("hit"))
+
+
+@_query(f"with s as {SQ} select a.id, levenshtein(a.seq, b.seq)::int as distance from s a join s b on b.id = a.id + 1")
+def edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = V.SEQUENCES.frame(spark, sf_dir)
+    t = s.select((F.col("id") - 1).alias("id"), F.col("seq").alias("other"))
+    return s.join(t, "id").select("id", F.levenshtein("seq", "other").alias("distance"))
+
+
+_CIGAR = "concat(cast(l_linenumber % 3 as string), 'S', cast(l_suppkey % 50 + 1 as string), 'M', cast(l_partkey % 9 + 1 as string), 'I', cast(l_suppkey % 7 + 1 as string), 'M', cast(l_partkey % 300 + 20 as string), 'N', cast(l_linenumber + 10 as string), 'M', cast(l_suppkey % 5 + 1 as string), 'D4M6H') as cigar"
+CIGARS = V.View("lineitem", ("l_orderkey as query_id", "cast(l_linenumber as bigint) as line", "l_partkey as part", "l_suppkey as supp", "cast(floor(l_extendedprice) as bigint) as ref_begin", _CIGAR), "true", True)
+
+
+@_query(f"""
+with v as {CIGARS.sql}, o as (select query_id, line, part, supp, ref_begin, cigar, unnest(range(1, len(n) + 1)) as i, n, k from (select *, regexp_extract_all(cigar, '(\\d+)([MIDNSHP=X])', 1) as n, regexp_extract_all(cigar, '(\\d+)([MIDNSHP=X])', 2) as k from v)),
+s as (select *, n[i]::bigint as z, k[i] as c from o),
+r as (select *, ref_begin + coalesce(sum(case when c in ('M','=','X','D','N') then z else 0 end) over (partition by query_id, line, part, supp, ref_begin, cigar order by i rows between unbounded preceding and 1 preceding), 0) as pos, sum(case when c = 'N' then 1 else 0 end) over (partition by query_id, line, part, supp, ref_begin, cigar order by i) as b from s),
+e as (select query_id, line, part, supp, ref_begin, cigar, b, min(pos) as s, max(pos + z) as t from r where c in ('M','=','X','D') group by all),
+q as (select query_id, line, part, supp, ref_begin, cigar, sum(case when c in ('S','H') and i = 1 then z else 0 end)::bigint as query_start, sum(case when c in ('S','H') and i = 1 or c in ('M','I','=','X') then z else 0 end)::bigint as query_end from s group by all)
+select query_id, line, part, supp, ref_begin, string_agg(s::bigint || '-' || t::bigint, ',' order by s) as exons, any_value(query_start) as query_start, any_value(query_end) as query_end from e join q using (query_id, line, part, supp, ref_begin, cigar) group by query_id, line, part, supp, ref_begin, cigar""")
+def cigar_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = CIGARS.frame(spark, sf_dir).withColumn("b", S.cigar_blocks(F.col("cigar"), F.col("ref_begin")))
+    return d.select("query_id", "line", "part", "supp", "ref_begin", S.exon_text(F.col("b.exons")).alias("exons"), "b.query_start", "b.query_end")
+
+
+@_query(f"""
+with s as {SI}, k as (select {_ID} as cid, chr, strand, start_pos, end_pos, count(*) as n from s group by all having count(*) >= 2)
+select cid as circ_id, 0 as ord, concat_ws(chr(9), k.chr, 'ringloom', 'BSJ', start_pos::varchar, end_pos::varchar, n::varchar, strand, '.', 'circ_id "' || cid || '";') as line from k
+union all select cid, 1, concat_ws(chr(9), k.chr, 'ringloom', 'transcript', start_pos::varchar, end_pos::varchar, n::varchar, strand, '.', 'circ_id "' || cid || '"; transcript_id "' || cid || '|' || start_pos || '-' || end_pos || '";') from k
+union all select cid, 2, concat_ws(chr(9), k.chr, 'ringloom', 'exon', start_pos::varchar, end_pos::varchar, '.', strand, '.', 'circ_id "' || cid || '"; transcript_id "' || cid || '|' || start_pos || '-' || end_pos || '"; exon_number 1;') from k""")
+def gtf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = V.SITES.frame(spark, sf_dir).withColumn("exons", F.array(F.struct(F.col("start_pos").alias("start"), F.col("end_pos").alias("end"))))
+    return sinks.gtf_lines(s, 2).select("circ_id", "ord", "line")
+
+
+# --- kernels ---------------------------------------------------------------------
+
+ANCHOR = "AAGCAGTGGTATCAACGCAGAGTAC"
+
+
+def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A molecule's read: the customer's bases thrice, behind an anchor and a UMI."""
+    s = V.SEQUENCES.frame(spark, sf_dir)
+    umi = F.concat(F.lit("CTC"), F.substring("seq", 1, 3), F.lit("CA"), F.substring("seq", 4, 3), F.lit("TG"), F.substring("seq", 7, 3), F.lit("CA"), F.substring("seq", 10, 3), F.lit("GAG"))
+    return s.select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("read_id"), F.concat(F.lit(ANCHOR), umi, F.repeat("seq", 4)).alias("seq"))
+
+
+@_query()
+def umi_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.umi_reads(_reads(spark, sf_dir), ANCHOR)
+
+
+@_query()
+def umi_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = V.SEQUENCES.frame(spark, sf_dir)
+    return M.cluster_umis(s.select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("read_id"), F.substring("seq", 1, 24).alias("seq")))
+
+
+@_query()
+def tandem_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = V.SEQUENCES.frame(spark, sf_dir)
+    return K.ccs_reads(s.select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("read_id"), F.repeat("seq", 4).alias("seq")))
+
+
+@_query()
+def poa_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = V.SEQUENCES.frame(spark, sf_dir)
+    part = s.select((F.col("id") % 50).alias("cluster_id"), F.col("id").alias("ord"), F.substring("seq", 1, 40).alias("seq"))
+    return K.consensus_by(part, "cluster_id")
+
+
+@_query()
+def minimap_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = V.SEQUENCES.frame(spark, sf_dir)
+    return K.remap_flags(s.select(F.col("id").alias("query_id"), F.repeat("seq", 4).alias("seq"), F.concat("seq", F.repeat(S.revcomp(F.col("seq")), 1)).alias("ref")))
