@@ -66,6 +66,8 @@ def _cuts(pts: DataFrame, boxes: dict[int, Box]) -> dict[int, tuple[int, int]]:
     lows = (F.min(F.get("keys", i)).alias(f"lo{i}") for i in range(len(DIMS)))
     highs = (F.max(F.get("keys", i)).alias(f"hi{i}") for i in range(len(DIMS)))
     ext = {r["node"]: r for r in pts.groupBy(node).agg(F.sum("size").alias("bytes"), *lows, *highs).collect()}
+    if not ext:
+        return {}
     # the tie bits are no extent
     dim = {n: max(range(len(DIMS)), key=lambda i: ((r[f"hi{i}"] >> TIE) - (r[f"lo{i}"] >> TIE), -i)) for n, r in ext.items()}
     goal = {n: r["bytes"] / 2 for n, r in ext.items()}
@@ -95,6 +97,8 @@ def kd_shards(docs: DataFrame, levels: int = 4) -> DataFrame:
     boxes: dict[int, Box] = {0: ()}
     for _ in range(levels):
         cuts = _cuts(pts, boxes)
+        if not cuts:
+            break
         boxes = {2 * n + up: (*boxes[n], (d, c, up)) for n, (d, c) in cuts.items() for up in (False, True)}
     shard = _per_node(boxes, {n: F.lit(n) for n in boxes}) if boxes else F.lit(0)
     df = pts.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), shard.cast("int").alias("shard"))
