@@ -155,7 +155,7 @@ def inputs(w: dict, word: np.ndarray, buckets: np.ndarray, begin: np.ndarray) ->
     return np.concatenate([w["word"][word], c], axis=1).astype(np.float32)
 
 
-def train(texts: list[str], y: np.ndarray, rounds: int = 7, epochs: int = 3, batch: int = 128, least: int = 4, most: int = 8192, seed: int = 11) -> dict | None:
+def train(texts: list[str], y: np.ndarray, rounds: int = 5, epochs: int = 2, batch: int = 128, least: int = 4, most: int = 8192, seed: int = 11) -> dict | None:
     """Weights and vocabulary, or None without both labels."""
     if len(texts) < 2 or y.min() == y.max():
         return None
@@ -306,7 +306,7 @@ def _score(model: dict | None, name: str):
     return run
 
 
-def toxicity_model(rows: DataFrame, labels: DataFrame, train_rows: int = 4000, train_chars: int = 6000) -> dict | None:
+def toxicity_model(rows: DataFrame, labels: DataFrame, train_rows: int = 8000, train_chars: int = 6000) -> dict | None:
     """Fits on documents (doc_id, text) that labels (doc_id, toxic) marks."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = rows.select("doc_id", "text").where(F.length("text").between(1, train_chars)).join(marks, "doc_id")
