@@ -394,6 +394,6 @@ def poa_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query()
-def minimap_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
+def minimizer_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = V.SEQUENCES.frame(spark, sf_dir)
     return K.remap_flags(s.select(F.col("id").alias("query_id"), F.repeat("seq", 4).alias("seq"), F.concat("seq", F.repeat(S.revcomp(F.col("seq")), 1)).alias("ref")))
