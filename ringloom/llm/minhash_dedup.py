@@ -8,16 +8,15 @@
 2. Texts with equal sets are one class, told by a 128-bit sum over the set; only
    the class's smallest doc_id goes on.
 3. ``rows`` bins make a band; a bucket holds the classes that agree in a band.
-   A bucket emits a star: each member with the bucket's first one in the order of
-   (set size, doc_id), and with the next one in that order, so that candidates grow as
-   the bucket, not as its square. Pairs whose sizes alone exclude the
-   similarity go. Repeated pairs of several buckets are merged.
+   A bucket emits a star: each member with the bucket's least doc_id, so that
+   candidates grow as the bucket, not as its square. Pairs whose sizes alone
+   exclude the similarity go. Repeated pairs of several buckets are merged.
 4. Pairs are confirmed on full sets: ``100 * intersection >= percent * union``
-   in integers. The sets of candidates, found again from the texts through a
-   bitmap of fixed size, are joined to the pairs by shuffle.
+   in integers. The sets of bucket members, made from the texts in one pass through
+   a bitmap of fixed size, are joined to the pairs by shuffle.
 5. Links become components. Buckets whose members still lie in several
-   components get further stars, around the first member outside the component
-   of the bucket's first, until a round confirms no new link.
+   components get further stars, around a member of their first, second and
+   last component, and pairs of neighbours by set size, until a round confirms no new link.
 
 Similarity 0.8 with 6 rows and 42 bands misses a pair in all bands with
 probability (1 - 0.8 ** 6) ** 42 = 3e-6. Defined results: null, empty and blank
@@ -33,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringloom.llm.common import GOLD, LOWER, SPACE, components, mix, pieces, row_sets, saved, shingles, text_bytes, word_hashes, word_spans
@@ -95,7 +94,7 @@ def _sign(k: int, rows: int, bands: int):
                 part = batch.slice(lo, hi - lo)
                 sets = row_sets(*text_shingles(part.column("text"), k))
                 sig = signatures(sets, rows * bands).reshape(len(sets), bands, rows)
-                keys = np.full((len(sets), bands), 11, np.uint64)
+                keys = np.tile(mix(np.arange(bands, dtype=np.uint64)), (len(sets), 1))
                 for j in range(rows):
                     keys = mix(keys * np.uint64(GOLD) + sig[:, :, j])
                 prints = np.array([[mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(GOLD)).sum(dtype=np.uint64)] for s in sets], np.uint64).reshape(-1, 2)
@@ -121,6 +120,28 @@ def _sets(k: int, bitmap: bytes):
     return run
 
 
+def _members(bitmap: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little")
+        for batch in batches:
+            keys, slots = (batch.column(c).flatten().to_numpy() for c in ("keys", "slots"))
+            row = np.repeat(np.arange(batch.num_rows), len(keys) // max(1, batch.num_rows))
+            ok = bits[slots].astype(bool)
+            row = row[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[ok]), pa.array(batch.column("doc_id").to_numpy()[row]), pa.array(batch.column("n_shingles").to_numpy()[row])], ["key", "doc_id", "n_shingles"])
+
+    return run
+
+
+def _only(bitmap: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little")
+        for batch in batches:
+            yield batch.filter(pa.array(bits[batch.column("slot").to_numpy()].astype(bool)))
+
+    return run
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,9 +158,13 @@ def _confirm(percent: int):
     return run
 
 
-def _bitmap(ids: DataFrame) -> bytes:
-    """Which slots the ids fall in; at most BITMAP / 8 bytes reach the driver."""
-    slot = ids.select((F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP)) + 1).alias("slot"))  # bit positions count from 1
+def _slot(col: str) -> Column:
+    return F.pmod(F.xxhash64(col), F.lit(BITMAP))
+
+
+def _bitmap(values: DataFrame) -> bytes:
+    """Which slots the values of the only column fall in; at most BITMAP / 8 bytes reach the driver."""
+    slot = values.select((_slot(values.columns[0]) + 1).alias("slot"))  # bit positions count from 1
     out = bytearray(BITMAP // 8)
     parts = slot.groupBy(F.bitmap_bucket_number("slot").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
     for r in parts.collect():
@@ -147,12 +172,16 @@ def _bitmap(ids: DataFrame) -> bytes:
     return bytes(out)
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+def member_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(doc_id, shingles) of the documents ids names, and of few others."""
+    found = docs.select(F.col("doc_id").cast("long"), "text").select("doc_id", "text", _slot("doc_id").alias("slot"))
+    return found.mapInArrow(_sets(k, _bitmap(ids)), "doc_id long, shingles binary")
+
+
+def confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full shingle sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
-    bitmap = _bitmap(ids)
-    found = docs.select("doc_id", "text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(BITMAP)).alias("slot"))
-    sets = found.mapInArrow(_sets(k, bitmap), "doc_id long, shingles binary")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    sets = sets.withColumn("slot", _slot("doc_id")).mapInArrow(_only(_bitmap(ids)), "doc_id long, shingles binary, slot long").drop("slot")
     first = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
     both = first.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
     return both.mapInArrow(_confirm(percent), "a long, b long").distinct()
@@ -169,55 +198,58 @@ def near_links(docs: DataFrame, k: int, percent: int = 80, rows: int = ROWS, ban
     classes = classes.groupBy("doc_id").agg(F.min(F.struct("n_shingles", F.coalesce("rep", "doc_id").alias("rep"))).alias("least"))
     classes = saved(classes.select("doc_id", "least.*"), "classes")
 
-    own = classes.where("doc_id = rep").select("doc_id")
-    banded = signed.where("n_shingles > 0").join(own, "doc_id", "left_semi")
-    members = banded.select("doc_id", "n_shingles", F.posexplode("keys").alias("band", "key"))
-    # one row a bucket and doc_id; lone members leave before anything is sorted
-    size = members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = saved(members.join(size, ["band", "key"]), "buckets")
-
-    links, tested, label = None, None, None
-    while True:
-        pairs = _stars(members, label, percent)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = saved(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        fresh = saved(confirmed(docs, pairs, k, percent), "confirmed")
-        tested = pairs if tested is None else tested.union(pairs)
-        links = fresh if links is None else links.union(fresh)
+    banded = signed.where("n_shingles > 0").groupBy("n_shingles", "fp1", "fp2").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"))
+    banded = saved(banded.select("doc_id", "n_shingles", "keys"), "banded")
+    # keys of several classes; a bitmap of them lets the lone rows, nearly all, stay behind
+    size = saved(banded.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
+    slots = banded.withColumn("slots", F.transform("keys", lambda k: F.pmod(F.xxhash64(k), F.lit(BITMAP)).cast("int")))
+    members = slots.mapInArrow(_members(_bitmap(size.select("key"))), "key long, doc_id long, n_shingles long")
+    members = saved(members.join(size, "key"), "buckets")
+
+    sets = saved(member_sets(docs, members.select("doc_id"), k), "sets")
+    spark = classes.sparkSession
+    links = tested = spark.createDataFrame([], "a long, b long")
+    label = spark.createDataFrame([], "node long, component_id long")
+    pairs = saved(_stars(members, percent), "pairs")
+    while not pairs.isEmpty():
+        fresh = saved(confirmed(sets, pairs, percent), "confirmed")
         if fresh.isEmpty():
             break
-        label = components(links)
-    if links is None:
-        spark = classes.sparkSession
-        links, label = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, component_id long")
+        links, tested = links.union(fresh), tested.union(pairs)
+        label = components(label.select(F.col("node").alias("a"), F.col("component_id").alias("b")).union(fresh))
+        pairs = saved(_bridges(members, label, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
     return classes, links, label
 
 
-def _stars(members: DataFrame, label: DataFrame | None, percent: int) -> DataFrame:
-    """Distinct candidates (a, b), a < b: linear in the members of each bucket."""
+def _pairs(stars: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b), a < b, of rows (x, nx, y, ny) whose set sizes allow the similarity."""
+    near = F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent
+    return stars.where(near & (F.col("x") != F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _star(m: DataFrame, hubs: DataFrame) -> DataFrame:
+    return m.join(hubs, "key").where("hub.c <> c").select(F.col("hub.doc_id").alias("x"), F.col("hub.n_shingles").alias("nx"), F.col("doc_id").alias("y"), F.col("n_shingles").alias("ny"))
+
+
+def _stars(members: DataFrame, percent: int) -> DataFrame:
+    """First candidates: one star a bucket."""
     m = members.withColumn("c", F.col("doc_id"))
-    if label is not None:
-        m = members.join(label.select(F.col("node").alias("doc_id"), "component_id"), "doc_id", "left").withColumn("c", F.coalesce("component_id", "doc_id"))
-        mixed = m.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-        m = m.join(mixed.select("band", "key", "lo"), ["band", "key"])
-    order = F.struct("n_shingles", "doc_id", "c")
-    if label is None:
-        hubs = m.groupBy("band", "key").agg(F.min(order).alias("hub"))
-    else:  # around the first member outside the bucket's lowest component
-        hubs = m.where("c <> lo").groupBy("band", "key").agg(F.min(order).alias("hub"))
-        m = m.drop("lo")
-    stars = m.join(hubs, ["band", "key"]).select(F.col("hub.doc_id").alias("x"), F.col("hub.n_shingles").alias("nx"), F.col("hub.c").alias("cx"), F.col("doc_id").alias("y"), F.col("n_shingles").alias("ny"), F.col("c").alias("cy"))
-    pairs = stars.where("x <> y and cx <> cy")
-    if label is None:
-        # A large bucket is dealt by hash into strands of about STRAND members, so that no task sorts all of it.
-        w = Window.partitionBy("band", "key", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / STRAND))).orderBy("n_shingles", "doc_id")
-        nxt = m.select(F.lead("doc_id").over(w).alias("x"), F.lead("n_shingles").over(w).alias("nx"), F.col("doc_id").alias("y"), F.col("n_shingles").alias("ny"))
-        pairs = pairs.select("x", "nx", "y", "ny").union(nxt.where("x is not null"))
-    near = (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
-    return pairs.where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return _pairs(_star(m, m.groupBy("key").agg(F.min(F.struct("c", "doc_id", "n_shingles")).alias("hub"))), percent)
+
+
+def _bridges(members: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """Candidates across the components that still share a bucket, at most four a member."""
+    m = members.join(label.select(F.col("node").alias("doc_id"), "component_id"), "doc_id", "left").withColumn("c", F.coalesce("component_id", "doc_id")).drop("component_id")
+    place = F.struct("c", "doc_id", "n_shingles")
+    mixed = m.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo.c < hi.c")
+    m = saved(m.join(mixed, "key"), "mixed")
+    second = m.where("c <> lo.c").groupBy("key").agg(F.min(place).alias("hub"))
+    stars = _star(m, second).union(_star(m, mixed.select("key", F.col("lo").alias("hub")))).union(_star(m, mixed.select("key", F.col("hi").alias("hub"))))
+    # a large bucket is dealt by hash into strands of about STRAND members, so that no task sorts all of it
+    w = Window.partitionBy("key", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / STRAND))).orderBy("n_shingles", "doc_id")
+    nxt = m.select(F.lead(place).over(w).alias("z"), "c", "doc_id", "n_shingles").where("z.c <> c")
+    nxt = nxt.select(F.col("z.doc_id").alias("x"), F.col("z.n_shingles").alias("nx"), F.col("doc_id").alias("y"), F.col("n_shingles").alias("ny"))
+    return _pairs(stars.union(nxt), percent)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
