@@ -7,6 +7,7 @@ import atexit
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +44,26 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m"):
+    """Arrow batches of at most ``size`` while it lasts: long texts and sets are held
+    by the JVM and a Python worker at once, whose memory is small."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back, which cuts
     the lineage: a lost executor costs a re-read, not a recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ringloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     atexit.register(_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -113,7 +128,7 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def pieces(col: pa.Array, most: int = 1 << 22):
+def pieces(col: pa.Array, most: int = 1 << 20):
     """Row ranges of about ``most`` bytes, so that work arrays stay small; a
     longer single text makes a range of its own."""
     _, off = text_bytes(col)
