@@ -68,7 +68,7 @@ class Vocabulary:
     """Column of each key: an open-addressed table of fixed load."""
 
     def __init__(self, keys: np.ndarray):
-        self.bits = max(10, int(4 * len(keys)).bit_length())
+        self.bits = max(10, int(2 * len(keys)).bit_length())
         self.keys = np.zeros(1 << self.bits, np.uint64)
         self.cols = np.zeros(1 << self.bits, np.int32)
         todo, cols = keys, np.arange(len(keys), dtype=np.int32)

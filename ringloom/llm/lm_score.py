@@ -39,9 +39,9 @@ from pyspark.sql import functions as F
 from ringloom.llm.common import LOWER, SPACE, pieces, saved, text_bytes, word_hashes, word_spans
 from ringloom.llm.language_id import Vocabulary
 
-DEPTH, NODES = 6, 1 << 19
+DEPTH, NODES = 6, 1 << 18
 END = np.uint64(0x5E0F7E87)  # the end token's place among word hashes
-KEEP = 1 << 22  # rows of counts that a task holds before it passes them on
+KEEP = 1 << 21  # rows of counts that a task holds before it passes them on
 _EIGHT = np.uint64(8)
 
 
@@ -136,8 +136,9 @@ def build(levels: list[tuple[np.ndarray, np.ndarray]]) -> list[dict]:
         nodes = []
         for key, n in levels:
             prefix = key >> np.uint64(8 - j)
-            lead = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]]))
-            run = np.cumsum(np.concatenate([[0], (prefix[1:] != prefix[:-1]).astype(np.int64)]))
+            fresh = np.ones(len(prefix), bool)
+            fresh[1:] = prefix[1:] != prefix[:-1]
+            lead, run = np.flatnonzero(fresh), np.cumsum(fresh) - 1
             bit = (key >> np.uint64(7 - j) & np.uint64(1)).astype(float)
             ones = np.bincount(run, n * bit)
             nodes.append({"prefix": prefix[lead], "run": run, "one": ones, "zero": np.bincount(run, n) - ones})
@@ -174,7 +175,7 @@ class Tree:
     def __init__(self, model: list[dict]):
         self.levels = [x for x in model if len(x["keys"])]
         for x in self.levels:
-            x["cost"] = self._bits(x["final"], x["keys"].astype(np.uint8)).sum(axis=1)
+            x["cost"] = np.concatenate([self._bits(x["final"][a : a + 32768], x["keys"][a : a + 32768].astype(np.uint8)).sum(axis=1) for a in range(0, len(x["keys"]), 32768)])
             x["grams"] = Vocabulary(x["keys"] + np.uint64(1))
             x["contexts"] = Vocabulary(np.unique(x["keys"] >> _EIGHT) + np.uint64(1))
 
@@ -255,9 +256,9 @@ def _apply(model: list[dict], words: tuple[np.ndarray, np.ndarray], depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not made:
-                made.extend((Tree(model), Vocabulary(words[0] + np.uint64(1)), np.log10(words[1] + 1.0)))
+                made.extend((Tree(model), Vocabulary(words[0] + np.uint64(1)), np.append(np.log10(words[1] + 1.0), 0.0)))  # the last entry stands for words not among them
             tree, known, logs = made
-            for lo, hi in pieces(batch.column("text"), 1 << 21):
+            for lo, hi in pieces(batch.column("text"), 1 << 19):
                 part = batch.slice(lo, hi - lo)
                 data, off = _text(part.column("text"))
                 key, begin = framed(data, off, depth)
@@ -268,7 +269,7 @@ def _apply(model: list[dict], words: tuple[np.ndarray, np.ndarray], depth: int):
                 first = np.concatenate([[0], at + 1])
                 col = known.find(h + np.uint64(1))
                 hit = col >= 0
-                base = np.add.reduceat(np.where(hit, logs[col], 0.0), first[:-1])
+                base = np.add.reduceat(logs[col], first[:-1])
                 met = np.add.reduceat(hit.astype(np.int64), first[:-1])
                 rest = np.concatenate([[0], np.cumsum(~hit)])[first]
                 yield pa.RecordBatch.from_arrays([
