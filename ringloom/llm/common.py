@@ -187,14 +187,19 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span: differences of a running polynomial sum."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    acc = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _powers(_P, "p", len(data))[: len(data)], out=acc[1:])
-    h = (acc[ends] - acc[starts]) * _powers(_PI, "i", len(data))[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(GOLD))
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """64-bit hash of each span: differences of a running polynomial sum, made
+    over about ``most`` bytes at a time; it does not depend on where a span stands."""
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + most, "right")))
+        lo, own = starts[i], data[starts[i] : ends[j - 1]]
+        s, e = starts[i:j] - lo, ends[i:j] - lo
+        acc = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum(_BYTE[own] * _powers(_P, "p", len(own))[: len(own)], out=acc[1:])
+        out[i:j] = mix((acc[e] - acc[s]) * _powers(_PI, "i", len(own))[s] + (e - s).astype(np.uint64) * np.uint64(GOLD))
+        i = j
+    return out
 
 
 def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -48,10 +48,11 @@ def trigrams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     n = ends - starts
     begin = np.concatenate([[0], np.cumsum(n)])
     at = np.repeat(starts - begin[:-1], n) + np.arange(begin[-1])
-    pad = np.concatenate([[32], data, [32]]).astype(np.uint64)
-    left, right = pad[at], pad[at + 2]
+    blank = np.full(1, 32, np.uint8)
+    pad = np.concatenate([blank, data, blank])
+    left, right = pad[at].astype(np.uint64), pad[at + 2].astype(np.uint64)
     left[begin[:-1]], right[begin[1:] - 1] = 32, 32
-    key = left << np.uint64(16) | pad[at + 1] << np.uint64(8) | right
+    key = left << np.uint64(16) | pad[at + 1].astype(np.uint64) << np.uint64(8) | right
     return (mix(key + np.uint64(9)) >> np.uint64(40)).astype(np.int64) % BUCKETS, begin
 
 
