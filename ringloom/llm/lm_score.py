@@ -11,12 +11,17 @@ and predictions mix the estimates of all depths on the path by the weights' post
 Learning is a count of (DEPTH + 1)-byte runs over all training texts;
 everything else follows from the counts, so the order of texts does not matter.
 
-Bound. A context is a node of its own only if it makes up at least one in
-``nodes`` of the training bytes, so that each depth has at most ``nodes`` nodes at
-any corpus size; all rarer contexts under a node are one child, with the residual
-counts. That model is what is broadcast. Where a decision was never met at a node, the
-prediction of the deepest node on the path that met it holds, and one half
-where none did. Bit probabilities are rounded to 16 bits, so the code stays exact.
+Nodes. Every context met at least ``LEAST`` times is a node of its own, at any corpus
+size; the contexts met less often under a node are one child, with the residual
+counts. Where a decision was never met at a node, the prediction of the deepest node on
+the path that met it holds, and one half where none did. Bit probabilities are
+rounded to 16 bits, so the code stays exact.
+
+Place. The model is a table in the shared folder, dealt into shards by the hash of the
+``SPLIT`` bytes nearest to the predicted one, so that a shard has whole subtrees. Only the
+depths below ``SPLIT`` are built on the driver and broadcast (at most 2^24 runs). Texts are
+packed into rows of about ``PIECE`` bytes; each asks the shards for its distinct runs,
+and their costs come back to it. Runs travel as sorted arrays, not as rows.
 
 Base. Sum over tokens of log10((c + 1) / (N + V + 1)). Counts of frequent words
 (at least one in ``nodes`` of all tokens, thus at most ``nodes`` words) are
@@ -30,16 +35,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ringloom.llm.common import LOWER, SPACE, pieces, saved, text_bytes, word_hashes, word_spans
+from ringloom.llm.common import LOWER, SPACE, mix, pieces, saved, text_bytes, word_hashes, word_spans
 from ringloom.llm.language_id import Vocabulary
 
-DEPTH, NODES = 6, 1 << 18
+DEPTH, NODES, LEAST = 6, 1 << 18, 2
+SPLIT, PIECE, SHARDS = 3, 1 << 23, 32
 END = np.uint64(0x5E0F7E87)  # the end token's place among word hashes
 KEEP = 1 << 21  # rows of counts that a task holds before it passes them on
 _EIGHT = np.uint64(8)
@@ -70,49 +78,82 @@ def _text(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return LOWER[data], off
 
 
-def _count(depth: int):
-    def merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
-        key = np.concatenate([k for k, _ in parts])
-        order = np.argsort(key, kind="stable")
-        key, n = key[order], np.concatenate([c for _, c in parts])[order]
-        lead = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        return key[lead], np.add.reduceat(n, lead) if len(lead) else n
+def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    key = np.concatenate([np.zeros(0, np.uint64), *[k for k, _ in parts]])
+    n = np.concatenate([np.zeros(0, np.int64), *[c for _, c in parts]])
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    lead = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[lead], np.add.reduceat(n, lead) if len(lead) else n
 
-    def rows(kind: int, parts: list) -> Iterator[pa.RecordBatch]:
-        key, n = merged(parts)
-        for a in range(0, len(key), 1 << 19):
-            k = key[a : a + (1 << 19)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k.view(np.int64)), pa.array(n[a : a + (1 << 19)].astype(np.int64))], ["kind", "key", "n"])
+
+def _dealt(keys: np.ndarray, depth: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of sorted keys by shard, the shards met, and where each begins and the last ends."""
+    near = keys >> _EIGHT & np.uint64((1 << (8 * min(SPLIT, depth))) - 1)
+    shard = (mix(near) % np.uint64(shards)).astype(np.int32)
+    order = np.argsort(shard, kind="stable")
+    met, first = np.unique(shard[order], return_index=True)
+    return order, met, np.append(first, len(keys))
+
+
+def _blobs(x: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.array([x[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+
+
+def _count(depth: int, shards: int):
+    """Runs of the training texts and how often each is met, by shard."""
+
+    def rows(parts: list) -> pa.RecordBatch:
+        key, n = _merged(parts)
+        order, met, at = _dealt(key, depth, shards)
+        return pa.RecordBatch.from_arrays([pa.array(met), _blobs(key[order], at), _blobs(n[order], at)], ["shard", "keys", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], []]
+        held: list = []
         for batch in batches:
             for lo, hi in pieces(batch.column("text")):
-                data, off = _text(batch.column("text").slice(lo, hi - lo))
-                starts, ends, _ = word_spans(data, off, SPACE)
-                words = np.concatenate([word_hashes(data, starts, ends), np.full(len(off) - 1, END)])
-                for own, keys in zip(held, (framed(data, off, depth)[0], words), strict=True):
-                    own.append(np.unique(keys, return_counts=True))
-                    if sum(len(k) for k, _ in own) > KEEP:
-                        own[:] = [merged(own)]
-                for kind, own in enumerate(held):
-                    if len(own) == 1 and len(own[0][0]) > KEEP // 2:
-                        yield from rows(kind, own)
-                        own.clear()
-        for kind, own in enumerate(held):
-            if own:
-                yield from rows(kind, own)
+                held.append(np.unique(framed(*_text(batch.column("text").slice(lo, hi - lo)), depth)[0], return_counts=True))
+                if sum(len(k) for k, _ in held) > KEEP:
+                    held = [_merged(held)]
+                    if len(held[0][0]) > KEEP // 2:
+                        yield rows(held)
+                        held = []
+        if held:
+            yield rows(held)
 
     return run
 
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(parts: list) -> Iterator[pa.RecordBatch]:
+        key, n = _merged(parts)
+        for a in range(0, len(key), 1 << 19):
+            yield pa.RecordBatch.from_arrays([pa.array(key[a : a + (1 << 19)].view(np.int64)), pa.array(n[a : a + (1 << 19)])], ["key", "n"])
+
+    held: list = []
+    for batch in batches:
+        for lo, hi in pieces(batch.column("text")):
+            data, off = _text(batch.column("text").slice(lo, hi - lo))
+            starts, ends, _ = word_spans(data, off, SPACE)
+            held.append(np.unique(np.concatenate([word_hashes(data, starts, ends), np.full(len(off) - 1, END)]), return_counts=True))
+            if sum(len(k) for k, _ in held) > KEEP:
+                held = [_merged(held)]
+                if len(held[0][0]) > KEEP // 2:
+                    yield from rows(held)
+                    held = []
+    yield from rows(held)
+
+
 # --- the tree ----------------------------------------------------------------
 
 
+_SMALL = {shift: np.array([math.lgamma(i + shift) for i in range(256)]) for shift in (0.5, 1.0)}
+
+
 def _lgamma_half(n: np.ndarray, shift: float) -> np.ndarray:
     """log Gamma(n + shift): a table for small n, Stirling's series beyond it."""
     x = n + shift
-    small = np.array([math.lgamma(i + shift) for i in range(256)])
+    small = _SMALL[shift]
     big = np.maximum(x, 200.0)
     series = (big - 0.5) * np.log(big) - big + 0.9189385332046727 + 1 / (12 * big) - 1 / (360 * big**3)
     return np.where(n < 256, small[np.minimum(n, 255).astype(np.int64)], series)
@@ -126,46 +167,67 @@ def _round(p: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(p * 65536), 1, 65535).astype(np.uint16)
 
 
-def build(levels: list[tuple[np.ndarray, np.ndarray]]) -> list[dict]:
-    """Bit probabilities of all (context, byte) entries. levels[d]: sorted keys of depth d
-    and their counts, of the contexts kept at that depth."""
+def _weighed(levels: list[tuple[np.ndarray, np.ndarray]], j: int, first: int = 0, below: tuple | None = None) -> list[dict]:
+    """The nodes of bit j, weighted bottom-up. levels[0] is of depth ``first``; below: sorted
+    nodes under the last level's and the sums of their children's zeros, ones and weights."""
+    last, nodes = len(levels) - 1, []
+    for key, n in levels:
+        prefix = key >> np.uint64(8 - j)
+        fresh = np.ones(len(prefix), bool)
+        fresh[1:] = prefix[1:] != prefix[:-1]
+        lead, run = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+        bit = (key >> np.uint64(7 - j) & np.uint64(1)).astype(float)
+        ones = np.bincount(run, n * bit)
+        nodes.append({"prefix": prefix[lead], "run": run, "one": ones, "zero": np.bincount(run, n) - ones})
+    for d in range(last, -1, -1):
+        x = nodes[d]
+        x["pe"] = _kt(x["zero"], x["one"])
+        if d == last and below is None or d < last and not len(levels[d + 1][0]):
+            x["pw"], x["beta"], x["rest"] = x["pe"], np.ones(len(x["pe"])), (x["zero"], x["one"])
+            continue
+        if d == last:
+            up, parts = np.searchsorted(x["prefix"], below[0]), below[1:]
+        else:
+            child = nodes[d + 1]
+            child["up"] = up = np.searchsorted(x["prefix"], child["prefix"] & (_mask(first + d) >> np.uint64(8 - j)))
+            parts = child["zero"], child["one"], child["pw"]
+        zero, one, weight = (np.bincount(up, v, minlength=len(x["pe"])) for v in parts)
+        x["rest"] = x["zero"] - zero, x["one"] - one
+        under = weight + np.where(x["rest"][0] + x["rest"][1] > 0, _kt(*x["rest"]), 0.0)
+        x["pw"] = np.logaddexp(x["pe"], under) - math.log(2)
+        x["beta"] = np.exp(x["pe"] - math.log(2) - x["pw"])
+    return nodes
+
+
+def build(levels: list[tuple[np.ndarray, np.ndarray]], first: int = 0, above: list | None = None, below: list | None = None, ends: list | None = None) -> list[dict]:
+    """Bit probabilities of all (context, byte) entries. levels[d]: sorted keys of depth
+    first + d and their counts, of the contexts kept at that depth. above and below: by bit,
+    the nodes over the first level's and the children of the last one's, where other
+    shards have them; ends receives the last level's nodes, as above takes them."""
     last = len(levels) - 1
     final = [np.zeros((len(k), 8), np.uint16) for k, _ in levels]
     stop = [np.zeros((len(k), 8), np.uint16) for k, _ in levels]
     for j in range(8):
-        nodes = []
-        for key, n in levels:
-            prefix = key >> np.uint64(8 - j)
-            fresh = np.ones(len(prefix), bool)
-            fresh[1:] = prefix[1:] != prefix[:-1]
-            lead, run = np.flatnonzero(fresh), np.cumsum(fresh) - 1
-            bit = (key >> np.uint64(7 - j) & np.uint64(1)).astype(float)
-            ones = np.bincount(run, n * bit)
-            nodes.append({"prefix": prefix[lead], "run": run, "one": ones, "zero": np.bincount(run, n) - ones})
-        for d in range(last, -1, -1):
-            x = nodes[d]
-            x["pe"] = _kt(x["zero"], x["one"])
-            if d == last or not len(levels[d + 1][0]):
-                x["pw"], x["beta"], x["rest"] = x["pe"], np.ones(len(x["pe"])), (x["zero"], x["one"])
-                continue
-            child = nodes[d + 1]
-            child["up"] = up = np.searchsorted(x["prefix"], child["prefix"] & (_mask(d) >> np.uint64(8 - j)))
-            total = lambda v, up=up, m=len(x["pe"]): np.bincount(up, v, minlength=m)
-            x["rest"] = x["zero"] - total(child["zero"]), x["one"] - total(child["one"])
-            below = total(child["pw"]) + np.where(x["rest"][0] + x["rest"][1] > 0, _kt(*x["rest"]), 0.0)
-            x["pw"] = np.logaddexp(x["pe"], below) - math.log(2)
-            x["beta"] = np.exp(x["pe"] - math.log(2) - x["pw"])
+        nodes = _weighed(levels, j, first, below and below[j])
         for d in range(last + 1):
             x = nodes[d]
             if not len(x["pe"]):
                 break
-            acc, left = (np.zeros(len(x["pe"])), np.ones(len(x["pe"]))) if not d else (nodes[d - 1]["acc"][x["up"]], nodes[d - 1]["left"][x["up"]])
+            if d:
+                acc, left = nodes[d - 1]["acc"][x["up"]], nodes[d - 1]["left"][x["up"]]
+            elif above:
+                up = np.searchsorted(above[j][0], x["prefix"] & (_mask(first - 1) >> np.uint64(8 - j)))
+                acc, left = above[j][1][up], above[j][2][up]
+            else:
+                acc, left = np.zeros(len(x["pe"])), np.ones(len(x["pe"]))
             p = (x["one"] + 0.5) / (x["one"] + x["zero"] + 1)
             r0, r1 = x["rest"]
             other = np.where(r0 + r1 > 0, (r1 + 0.5) / (r0 + r1 + 1), p)
             stop[d][:, j] = _round(acc + left * p)[x["run"]]
             final[d][:, j] = _round(acc + left * (x["beta"] * p + (1 - x["beta"]) * other))[x["run"]]
             x["acc"], x["left"] = acc + left * x["beta"] * p, left * (1 - x["beta"])
+        if ends is not None:
+            ends.append((nodes[last]["prefix"], nodes[last].get("acc"), nodes[last].get("left")))
     return [{"keys": k, "final": f, "stop": s} for (k, _), f, s in zip(levels, final, stop, strict=True)]
 
 
@@ -175,6 +237,8 @@ class Tree:
     def __init__(self, model: list[dict]):
         self.levels = [x for x in model if len(x["keys"])]
         for x in self.levels:
+            if "grams" in x:  # of a tree made before
+                continue
             x["cost"] = np.concatenate([self._bits(x["final"][a : a + 32768], x["keys"][a : a + 32768].astype(np.uint8)).sum(axis=1) for a in range(0, len(x["keys"]), 32768)])
             x["grams"] = Vocabulary(x["keys"] + np.uint64(1))
             x["contexts"] = Vocabulary(np.unique(x["keys"] >> _EIGHT) + np.uint64(1))
@@ -232,37 +296,171 @@ class Tree:
 # --- Spark -------------------------------------------------------------------
 
 
-def _levels(counts: DataFrame, total: int, depth: int, nodes: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Counts of the contexts kept at each depth; at most ``nodes`` contexts a depth reach the driver."""
-    out, least = [], max(2, -(-total // nodes))
-    for d in range(depth, -1, -1):
-        own = counts.groupBy(F.col("key").bitwiseAND(F.lit(int(_mask(d)))).alias("key")).agg(F.sum("n").alias("n"))
-        if d == depth - 1:
-            own = counts = saved(own, "grams")
-        context = F.shiftrightunsigned("key", 8).alias("context")
-        if d:
-            full = own.groupBy(context).agg(F.sum("n").alias("all")).where(F.col("all") >= least).select("context")
-            own = own.withColumn("context", context).join(full, "context", "left_semi").select("key", "n")
-        got = own.toArrow()
-        key, n = got.column("key").to_numpy().view(np.uint64), got.column("n").to_numpy().astype(float)
-        order = np.argsort(key)
-        out.append((key[order], n[order]))
+def _kept(key: np.ndarray, n: np.ndarray, first: int, last: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Counts at the depths first to last, of the contexts met LEAST times."""
+    out = []
+    for d in range(last, first - 1, -1):
+        key, n = own, c = _merged([(key & _mask(d), n)])
+        if d and len(own):
+            _, run = np.unique(own >> _EIGHT, return_inverse=True)
+            ok = (np.bincount(run, c) >= LEAST)[run]
+            own, c = own[ok], c[ok]
+        out.append((own, c.astype(float)))
     return out[::-1]
 
 
-def _apply(model: list[dict], words: tuple[np.ndarray, np.ndarray], depth: int):
-    made: list = []
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[dict]]]:
+    """(shard, its rows) of rows sorted by shard."""
+    return groupby((r for batch in batches for part in range(batch.num_rows) for r in batch.slice(part, 1).to_pylist()), lambda r: r["shard"])
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a shard, with the merged counts of its runs."""
+    for shard, rows in _by_shard(batches):
+        held, size, done = [], 0, 0
+        for r in rows:
+            held.append((np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["n"], np.int64)))
+            size += len(held[-1][0])
+            if size > max(KEEP, 2 * done):
+                held = [_merged(held)]
+                size = done = len(held[0][0])
+        key, n = _merged(held)
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([key.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["shard", "keys", "n"])
+
+
+def _roots(depth: int):
+    """What the depths above the shards need of them: counts of runs (j = -1), and by bit the
+    zeros, ones and weights of the shards' highest nodes, summed by their parents."""
+    split = min(SPLIT, depth)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                key, n = np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["n"], np.int64)
+                own, c = _merged([(key & _mask(split - 1), n)])
+                parts = [(np.full(len(own), -1), own, c.astype(float), np.zeros(len(own)), np.zeros(len(own)))]
+                levels = _kept(key, n, split, depth)
+                for j in range(8):
+                    x = _weighed(levels, j, split)[0]
+                    up, at = np.unique(x["prefix"] & (_mask(split - 1) >> np.uint64(8 - j)), return_inverse=True)
+                    parts.append((np.full(len(up), j), up, *(np.bincount(at, x[v], minlength=len(up)) for v in ("zero", "one", "pw"))))
+                j, prefix, zero, one, pw = (np.concatenate(x) for x in zip(*parts, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(j.astype(np.int8)), pa.array(prefix.view(np.int64)), pa.array(zero), pa.array(one), pa.array(pw)], ["j", "prefix", "zero", "one", "pw"])
+
+    return run
+
+
+def _top(table: DataFrame, depth: int) -> tuple[list[dict], list]:
+    """The model of the depths above the shards, and its lowest nodes by bit."""
+    roots = table.mapInArrow(_roots(depth), "j byte, prefix long, zero double, one double, pw double")
+    exact = F.sum(F.col("pw").cast("decimal(28,9)")).cast("double")  # alike in any order
+    got = saved(roots.groupBy("j", "prefix").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"), exact.alias("pw")), "roots").toArrow()
+    j, key = got.column("j").to_numpy(), got.column("prefix").to_numpy().view(np.uint64)
+    zero, one, pw = (got.column(c).to_numpy() for c in ("zero", "one", "pw"))
+    order = np.lexsort((key, j))
+    part = lambda i: order[np.searchsorted(j[order], i) : np.searchsorted(j[order], i, "right")]
+    below, ends = [(key[p], zero[p], one[p], pw[p]) for p in map(part, range(8))], []
+    own = part(-1)
+    split = min(SPLIT, depth)
+    return build(_kept(key[own], zero[own].astype(np.int64), 0, split - 1), 0, None, below, ends), ends
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents in rows of about PIECE bytes, numbered by task."""
+    made, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
+
+    def row() -> pa.RecordBatch:
+        nonlocal made, ids, texts, size
+        out = pa.RecordBatch.from_arrays([pa.array([made], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.string())), pa.array([size], pa.int64())], ["piece", "ids", "texts", "size"])
+        made, ids, texts, size = made + 1, [], [], 0
+        return out
+
+    for batch in batches:
+        for i, t in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+            n = t.as_buffer().size if t.is_valid else 0
+            if size and size + n > PIECE:
+                yield row()
+            ids.append(i.as_py())
+            texts.append(t.as_py())
+            size += n + 1
+    if ids:
+        yield row()
+
+
+def _sorted(x: np.ndarray) -> np.ndarray:
+    """Distinct values; sorting takes far less time than np.unique's table."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def _distinct(texts: pa.Array, depth: int) -> np.ndarray:
+    held: list = [np.zeros(0, np.uint64)]
+    for lo, hi in pieces(texts):
+        held.append(_sorted(framed(*_text(texts.slice(lo, hi - lo)), depth)[0]))
+    return _sorted(np.concatenate(held))
+
 
+def _ask(depth: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not made:
-                made.extend((Tree(model), Vocabulary(words[0] + np.uint64(1)), np.append(np.log10(words[1] + 1.0), 0.0)))  # the last entry stands for words not among them
-            tree, known, logs = made
-            for lo, hi in pieces(batch.column("text"), 1 << 19):
-                part = batch.slice(lo, hi - lo)
-                data, off = _text(part.column("text"))
+            for i, piece in enumerate(batch.column("piece").to_pylist()):
+                key = _distinct(batch.column("texts")[i].values, depth)
+                order, met, at = _dealt(key, depth, shards)
+                yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(np.full(len(met), piece)), _blobs(key[order], at), pa.nulls(len(met), pa.binary())], ["shard", "piece", "keys", "n"])
+
+    return run
+
+
+def _answer(depth: int, top: list[dict], ends: list):
+    split = min(SPLIT, depth)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above = Tree(top).levels
+        for shard, rows in _by_shard(batches):
+            tree, held, size = None, [], 0
+
+            def answers() -> pa.RecordBatch:
+                key = np.concatenate([k for _, k in held])  # noqa: B023
+                cost = tree.log10(key).astype(np.float32)  # noqa: B023
+                at = np.cumsum([0, *(len(k) for _, k in held)])  # noqa: B023
+                return pa.RecordBatch.from_arrays([pa.array([p for p, _ in held], pa.int64()), pa.array(np.full(len(held), shard, np.int32)), _blobs(cost, at)], ["piece", "shard", "cost"])  # noqa: B023
+
+            for r in rows:  # the model's row is the first
+                key = np.frombuffer(r["keys"], np.uint64)
+                if r["piece"] < 0:
+                    tree = Tree([*above, *build(_kept(key, np.frombuffer(r["n"], np.int64), split, depth), split, ends)])
+                    continue
+                tree = tree or Tree(above)
+                held.append((r["piece"], key))
+                size += len(key)
+                if size > KEEP // 4:
+                    yield answers()
+                    held, size = [], 0
+            if held:
+                yield answers()
+
+    return run
+
+
+def _apply(words: tuple[np.ndarray, np.ndarray], depth: int, shards: int):
+    made: list = []
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not made:
+            made.extend((Vocabulary(words[0] + np.uint64(1)), np.append(np.log10(words[1] + 1.0), 0.0)))  # the last entry stands for words not among them
+        known, logs = made
+        answers = dict(zip(right.column("shard").to_pylist(), right.column("cost").to_pylist(), strict=True))
+        out = []
+        for ids, texts in zip(left.column("ids").combine_chunks(), left.column("texts").combine_chunks(), strict=True):
+            ids, texts = ids.values, texts.values
+            keys = _distinct(texts, depth)
+            order, met, _ = _dealt(keys, depth, shards)
+            costs, place = np.empty(len(keys)), Vocabulary(keys + np.uint64(1))
+            costs[order] = np.concatenate([np.frombuffer(answers[s], np.float32) for s in met.tolist()])
+            for lo, hi in pieces(texts, 1 << 19):
+                data, off = _text(texts.slice(lo, hi - lo))
                 key, begin = framed(data, off, depth)
-                score = np.add.reduceat(tree.log10(key), begin[:-1])
+                score = np.add.reduceat(costs[place.find(key + np.uint64(1))], begin[:-1])
                 starts, ends, first = word_spans(data, off, SPACE)
                 at = first[1:] + np.arange(len(first) - 1)
                 h = np.insert(word_hashes(data, starts, ends), first[1:], END)
@@ -272,10 +470,11 @@ def _apply(model: list[dict], words: tuple[np.ndarray, np.ndarray], depth: int):
                 base = np.add.reduceat(logs[col], first[:-1])
                 met = np.add.reduceat(hit.astype(np.int64), first[:-1])
                 rest = np.concatenate([[0], np.cumsum(~hit)])[first]
-                yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), pa.array(np.diff(off)), pa.array(np.diff(first)), pa.array(met), pa.array(base), pa.array(score),
+                out.append(pa.table([
+                    ids.slice(lo, hi - lo), pa.array(np.diff(off)), pa.array(np.diff(first)), pa.array(met), pa.array(base), pa.array(score),
                     pa.ListArray.from_arrays(pa.array(rest.astype(np.int32)), pa.array(h[~hit].view(np.int64))),
-                ], ["doc_id", "n_bytes", "n_tokens", "met", "base", "score", "rest"])
+                ], ["doc_id", "n_bytes", "n_tokens", "met", "base", "score", "rest"]))
+        return pa.concat_tables(out)
 
     return run
 
@@ -285,15 +484,25 @@ def lm_scores(docs: DataFrame, training: Column, depth: int = DEPTH, nodes: int
     base_score, score and bits_per_byte, the code length over the bytes and the end.
     training: which documents to learn from."""
     docs = docs.withColumn("_own", training).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "_own")
-    counts = saved(docs.where("_own").select("text").mapInArrow(_count(depth), "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    runs, words = counts.where("kind = 0").select("key", "n"), counts.where("kind = 1").select("key", "n")
-    total = runs.agg(F.sum("n")).first()[0] or 0
+    train = docs.where("_own").select("text")
+    staged = saved(docs.select("doc_id", "text").mapInArrow(_packed, "piece long, ids array<long>, texts array<string>, size long"), "pieces")
+    # shards grow with the texts, so that each holds about one piece's share of them
+    shards = SHARDS
+    while shards * PIECE < (staged.agg(F.sum("size")).first()[0] or 0):
+        shards *= 2
+    runs = train.mapInArrow(_count(depth, shards), "shard int, keys binary, n binary")
+    table = saved(runs.repartition("shard").sortWithinPartitions("shard").mapInArrow(_gather, "shard int, keys binary, n binary"), "model")
+    top, ends = _top(table, depth)
+    words = saved(train.mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    model = build(_levels(runs, total, depth, nodes))
     least = max(1, -(-tokens // nodes))
     got = words.where(F.col("n") >= least).toArrow()
     often = got.column("key").to_numpy().view(np.uint64), got.column("n").to_numpy()
-    first = docs.select("doc_id", "text").mapInArrow(_apply(model, often, depth), "doc_id long, n_bytes long, n_tokens long, met long, base double, score double, rest array<long>")
+    asked = staged.select("piece", "texts").mapInArrow(_ask(depth, shards), "shard int, piece long, keys binary, n binary")
+    asked = table.select("shard", F.lit(-1).cast("long").alias("piece"), "keys", "n").union(asked)
+    costs = asked.repartition("shard").sortWithinPartitions("shard", "piece").mapInArrow(_answer(depth, top, ends), "piece long, shard int, cost binary")
+    first = staged.select("piece", "ids", "texts").groupBy("piece").cogroup(costs.groupBy("piece"))
+    first = first.applyInArrow(_apply(often, depth, shards), "doc_id long, n_bytes long, n_tokens long, met long, base double, score double, rest array<long>")
     first = saved(first, "first").withColumn("rid", F.monotonically_increasing_id())
     rest = first.select("rid", F.explode("rest").alias("key")).join(words.where(F.col("n") < least), "key")
     rest = rest.groupBy("rid").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("part"))

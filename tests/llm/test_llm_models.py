@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ringloom.llm import packing
 from ringloom.llm.common import components, without
-from ringloom.llm.lm_score import Tree, _mask, build, framed, text_bytes
+from ringloom.llm.lm_score import Tree, _mask, build, framed, lm_scores, text_bytes
 from ringloom.llm.minhash_dedup import near_duplicates, signatures
 from ringloom.llm.pivot_dedup import pivot_duplicates
 from ringloom.llm.toxicity import Network
@@ -161,3 +161,20 @@ def test_ranks_are_gapless(spark):
     rows = packing.ranked(d, "k", ["i"], "r", 3000).collect()
     n = Counter(r["k"] for r in rows)
     assert all(sorted(r["r"] for r in rows if r["k"] == k) == list(range(m)) for k, m in n.items())
+
+
+def test_every_repeated_context_is_a_node(spark):
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice(WORDS) for _ in range(60)) for _ in range(60)]
+    key, begin = framed(*text_bytes(pa.array(texts[:40])), 6)
+    levels = []
+    for d in range(7):
+        k, n = np.unique(key & _mask(d), return_counts=True)
+        _, run = np.unique(k >> np.uint64(8), return_inverse=True)
+        ok = (np.bincount(run, n) >= 2)[run] | (d == 0)
+        levels.append((k[ok], n[ok].astype(float)))
+    key, begin = framed(*text_bytes(pa.array(texts)), 6)
+    want = np.add.reduceat(Tree(build(levels)).log10(key), begin[:-1])
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm_scores(d, F.col("doc_id") < 40, nodes=64).collect()}
+    assert np.allclose([got[i] for i in range(60)], want, rtol=1e-5)
