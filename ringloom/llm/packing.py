@@ -1,9 +1,9 @@
 """Best-fit packing of tokenised documents by fitted length patterns.
 
 1. Tokenise: each document's ids, then one end id. Words between ASCII white
-   space are encoded alone and kept in a bounded cache; the vocabulary's
+   space are encoded alone and kept, as written, in a bounded cache; the vocabulary's
    pre-tokenizer never joins across white space, so ids equal those of the whole
-   text. Documents over ``cap`` ids are cut into pieces of ``cap``.
+   text. New words of Latin letters are cut into runs here and only merged by the vocabulary. Documents over ``cap`` ids are cut into pieces of ``cap``.
 2. Only the histogram of piece lengths (at most ``cap`` numbers) reaches the
    driver. Patterns of a few lengths that fill ``cap`` exactly are enumerated
    from it, their repeat counts fitted by non-negative least squares (coordinate
@@ -21,6 +21,7 @@ are packed each; an empty table gives no pieces; extra columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -37,39 +38,66 @@ from pyspark.sql import functions as F
 from ringloom.llm.common import pieces, saved
 
 CAP = 2048
-MARKS = b".,;:!?"
-CACHE = 400_000  # words kept per worker; more than that and it starts afresh
+CACHE = 200_000  # words of a generation; a worker keeps the newest and the one before it
+#: Printable ASCII and the letters of Latin-1: normal forms of one code point, lower-cased one to one.
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+#: The pre-tokenizer's pattern as far as lower-case words of PLAIN go.
+RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Byte-level alphabet: a byte that Latin-1 prints is itself, the others follow from 256 on.
+_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(b) for b in _SELF} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*_SELF}))}
+
+
+class _Words(dict):
+    """Little-endian 32-bit ids of words as they are written, made when first asked for."""
+
+    def __init__(self, spec: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_str(spec)
+        self.model = self.tok.model
+        self.before: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        out = self.before.get(word)
+        if out is None:
+            text = word.decode("utf-8", "replace")
+            if PLAIN.fullmatch(text) and "<|" not in text:
+                # cut as the vocabulary's own pre-tokenizer does; each run is one call of its merges
+                get = self.runs.get
+                out = b"".join([get(r) or self._run(r) for r in RUNS.findall(text.lower())])
+            else:
+                out = array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+        self[word] = out
+        return out
 
+    def _run(self, run: str) -> bytes:
+        mapped = run if run.isascii() else "".join([_BYTES[b] for b in run.encode()])
+        out = self.runs[run] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        return out
 
-@lru_cache(maxsize=2)
-def _encoder(spec: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    def age(self) -> None:
+        if len(self) > CACHE:
+            self.before = dict(self)
+            self.clear()
+        if len(self.runs) > CACHE:
+            self.runs.clear()
 
-    return Tokenizer.from_str(spec), {}
+
+@lru_cache(maxsize=2)
+def _encoder(spec: str) -> _Words:
+    return _Words(spec)
 
 
 def encode(texts: list[bytes], spec: str) -> list[bytes]:
-    """Little-endian 32-bit ids of each UTF-8 text.
-
-    Equal to encoding whole texts: the vocabulary folds case itself (special
-    tokens apart, which are matched as written), and a closing mark after an
-    ASCII letter or digit is a token run of its own."""
-    tok, cache = _encoder(spec)
-    words = [(t if b"<|" in t else t.lower()).split() for t in texts]
-    if len(cache) > CACHE:
-        cache.clear()
-    new = set().union(*words).difference(cache)
-    marked = {w for w in new if len(w) > 1 and w[-1:] in MARKS and w[-2:-1].isalnum()}
-    plain = list((new - marked | {w[:-1] for w in marked} | {w[-1:] for w in marked}).difference(cache))
-    for lo in range(0, len(plain), 20_000):
-        part = plain[lo : lo + 20_000]
-        for w, e in zip(part, tok.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-            cache[w] = array("I", e.ids).tobytes()
-    for w in marked:
-        cache[w] = cache[w[:-1]] + cache[w[-1:]]
-    get = cache.__getitem__
-    return [b"".join(map(get, w)) for w in words]
+    """Little-endian 32-bit ids of each UTF-8 text, equal to encoding whole texts."""
+    words = _encoder(spec)
+    words.age()
+    get = words.__getitem__
+    # special tokens, which are matched as written, may hold no blank, so words may be encoded alone
+    return [b"".join(map(get, t.split())) for t in texts]
 
 
 def _pieces(spec: str, cap: int, end: int, with_ids: bool):

@@ -145,12 +145,16 @@ def test_plan_uses_up_the_histogram():
 def test_encode_equals_whole_texts():
     from pathlib import Path
 
+    import pyarrow.parquet as pq
     from tokenizers import Tokenizer
 
     from ringloom.llm.queries import tokenizer_path
 
     tok = Tokenizer.from_file(tokenizer_path())
-    texts = ["Hello, World! it's 3.14...", "É é İstanbul ſ K", "a<|endoftext|>b <|ENDOFTEXT|>", "tab\tand\x0bfeed\x1c nbsp　wide", "", "don't, won't. 'Tis!"]
+    texts = ["Hello, World! it's 3.14...", "DON'T 'S 'LL x're'd a'b'c''s 12ab!?", "É é İstanbul ſ K ÄÖÜß ÿŸ µ ª", "a<|endoftext|>b <|ENDOFTEXT|>", "tab\tand\x0bfeed\x1c nbsp\u3000wide \x00 \x7f", "", "don't, won't. 'Tis!", "ＡＢＣ ﬁ ΣΑΣ e\u0301 É\u0301"]
+    table = Path("/root/testdata/sf0.001/documents.parquet")
+    if table.exists():
+        texts += [t or "" for t in pq.read_table(table).column("text").to_pylist()]
     got = packing.encode([t.encode() for t in texts], Path(tokenizer_path()).read_text())
     for t, g in zip(texts, got, strict=True):
         assert np.frombuffer(g, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
