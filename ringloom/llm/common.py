@@ -4,10 +4,13 @@ UTF-8 bytes with numpy, and connected components of link tables."""
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +60,26 @@ def small_batches(spark: SparkSession, size: str = "8m"):
         spark.conf.set(key, before)
 
 
+def lean(run):
+    """A function over Arrow batches that gives freed memory back to the system when it
+    ends: its worker lives on beside those of later stages."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        trim()
+
+    return wrapped
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back, which cuts
     the lineage: a lost executor costs a re-read, not a recomputation."""
@@ -225,6 +248,31 @@ def row_sets(h: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
     return [np.unique(h[begin[i] : begin[i + 1]]) for i in range(len(begin) - 1)]
 
 
+# --- rows that stand together --------------------------------------------------
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], numbers: tuple, blobs: tuple, keys: tuple) -> Iterator[dict]:
+    """Columns of whole groups (``keys``), some at a time, of rows sorted by them: arrays of the
+    ``numbers``, lists of bytes of the ``blobs``, and ``group``, counted from 0 in each part. A group may
+    go on in the next batch, so the one met last waits for it; at most a batch and a group are held."""
+    held: dict | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = {c: batch.column(c).to_numpy() for c in numbers} | {c: batch.column(c).to_pylist() for c in blobs}
+        if held:
+            x = {c: held[c] + v if c in blobs else np.concatenate([held[c], v]) for c, v in x.items()}
+        fresh = np.zeros(len(x[keys[0]]), bool)
+        for c in keys:
+            fresh[1:] |= x[c][1:] != x[c][:-1]
+        last = int(np.flatnonzero(fresh)[-1]) if fresh.any() else 0
+        if last:
+            yield {c: v[:last] for c, v in x.items()} | {"group": np.cumsum(fresh[:last])}
+        held = {c: v[last:] for c, v in x.items()}
+    if held:
+        yield held | {"group": np.zeros(len(held[keys[0]]), np.int64)}
+
+
 # --- links ------------------------------------------------------------------
 
 
