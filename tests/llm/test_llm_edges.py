@@ -33,7 +33,7 @@ def test_near(odd):
     got = by_id(near_duplicates(odd, k=2), "n_shingles", "component_id", "kept")
     assert got[0] == (0, 0, True) and got[2] == (0, 2, True) and got[4] == (1, 4, True)
     assert got[6][1:] == (6, True) and got[7][1:] == (6, False) and got[10][1:] == (9, False)
-    assert None not in got and near_duplicates(odd.limit(0)).isEmpty()
+    assert got[None] == (3, None, True) and len(got) == 13 and near_duplicates(odd.limit(0)).isEmpty()
 
 
 def test_packing(odd):
@@ -85,9 +85,10 @@ def test_lm(odd):
 
 def test_vectors(spark):
     v = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [2.0, 0.001]), (4, [0.0, 0.0]), (5, None), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (8, [0.0, 1.0]), (9, [])]
-    d = spark.createDataFrame(v, "vec_id long, embedding array<float>").withColumn("x", F.lit(1))
+    d = spark.createDataFrame([*v, (None, [1.0, 0.0])], "vec_id long, embedding array<float>").withColumn("x", F.lit(1))
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in pivot_duplicates(d).collect()}
     assert got[1] == (2, 1, True) and got[2] == (2, 1, False) and got[3] == (2, 1, False)
+    assert got[None] == (0, None, True)
     assert all(got[i] == (0, i, True) for i in (4, 5, 6, 7, 8, 9)) and pivot_duplicates(d.limit(0)).isEmpty()
 
 

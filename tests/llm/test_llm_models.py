@@ -12,7 +12,7 @@ from ringloom.llm import packing
 from ringloom.llm.common import components, without
 from ringloom.llm.lm_score import Tree, _mask, build, framed, lm_scores, text_bytes
 from ringloom.llm.minhash_dedup import near_duplicates, signatures
-from ringloom.llm.pivot_dedup import pivot_duplicates
+from ringloom.llm.pivot_dedup import joined, pivot_duplicates
 from ringloom.llm.toxicity import Network
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -72,15 +72,64 @@ def test_near_duplicates_brute_force(spark):
     assert got == dict(enumerate(lab))
 
 
+def pivot_recall(spark, x, **options):
+    """Share of the links that are found; none may be made up, and components follow from them."""
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = (u @ u.T >= 0.95).sum(axis=1) - 1
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = pivot_duplicates(d, **options).collect()
+    got = {r["vec_id"]: r["n_links"] for r in rows}
+    assert len(rows) == len(x) and all(got[i] <= n for i, n in enumerate(want))
+    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) and (r["n_links"] > 0 or r["kept"]) for r in rows)
+    return sum(got.values()) / want.sum()
+
+
+def test_near_duplicates_of_one_family_brute_force(spark):
+    """Many texts whose similarities lie about the bound: links that no hub has."""
+    rnd = random.Random(1)
+    base, texts = [rnd.choice(WORDS) for _ in range(121)], []
+    for i in range(1300):
+        t = list(base)
+        for j in rnd.sample(range(121), 1 + i % 7):
+            t[j] = f"x{rnd.randrange(5000)}"
+        texts.append(" ".join(t))
+    sets = [set(zip(w, w[1:], strict=False)) for w in (t.split() for t in texts)]
+    number = {g: i for i, g in enumerate(sorted(set().union(*sets)))}
+    held = np.zeros((len(texts), len(number)), np.float32)
+    for i, own in enumerate(sets):
+        held[i, [number[g] for g in own]] = 1
+    inter, n = held @ held.T, held.sum(axis=1)
+    near = 100 * inter >= 80 * (n[:, None] + n[None] - inter)
+    root = joined(np.arange(len(texts)), *np.nonzero(near))
+    assert len(set(root.tolist())) > 50
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), k=2).collect()}
+    assert got == dict(enumerate(root.tolist()))
+
+
+def test_near_duplicates_blocks(spark, monkeypatch):
+    """Buckets of several blocks, whose rows and candidates come in parts."""
+    from ringloom.llm import minhash_dedup as M
+
+    monkeypatch.setattr(M, "BLOCK", 64)
+    test_near_duplicates_of_one_family_brute_force(spark)
+
+
 def test_pivot_recall(spark):
     rng = np.random.default_rng(6)
     base = rng.standard_normal((300, 32))
     x = np.concatenate([base, base[:150] + 0.15 * rng.standard_normal((150, 32)), base[:1] + 0.1 * rng.standard_normal((200, 32))])
-    u = x / np.linalg.norm(x, axis=1)[:, None]
-    want = (u @ u.T >= 0.95).sum(axis=1) - 1
-    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = {r["vec_id"]: r["n_links"] for r in pivot_duplicates(d, block=64).collect()}
-    assert all(got[i] <= n for i, n in enumerate(want)) and sum(got.values()) >= 0.9 * want.sum()
+    assert pivot_recall(spark, x, block=64) >= 0.99
+
+
+def test_pivot_recall_in_hot_groups_of_unequal_vectors(spark):
+    rng = np.random.default_rng(7)
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    for hot, rest in ((700, 1400), (1800, 200)):
+        base = unit(rng.standard_normal((rest, 64)))
+        noise = unit(rng.standard_normal((hot, 64)))
+        cos = rng.uniform(0.97, 0.999, hot)[:, None]
+        x = np.concatenate([base, cos * base[:1] + np.sqrt(1 - cos**2) * noise])
+        assert pivot_recall(spark, x, block=256) >= 0.99
 
 
 def test_tree_is_a_distribution_and_matches_plain_weighting():
