@@ -111,14 +111,15 @@ def cigar_blocks(cigar: Column, begin0: Column) -> Column:
 
 
 def is_retained_intron(start: Column, end: Column, exons: Column, tol: int = 10) -> Column:
-    """Both ends lie within tol of one intron's ends (exons sorted by start)."""
-    gap = lambda i: (F.abs(start - F.get(exons, i)["end"] - 1) <= tol) & (F.abs(end - F.get(exons, i + 1)["start"] + 1) <= tol)
+    """Both ends lie within tol of the ends of one intron of a base or more (exons sorted by start)."""
+    gap = lambda i: (F.get(exons, i)["end"] + 1 < F.get(exons, i + 1)["start"]) & (F.abs(start - F.get(exons, i)["end"] - 1) <= tol) & (F.abs(end - F.get(exons, i + 1)["start"] + 1) <= tol)
     return F.when(F.size(exons) > 1, F.exists(F.sequence(F.lit(0), F.size(exons) - 2), gap)).otherwise(False)
 
 
 def best_exon(start: Column, end: Column, exons: Column) -> Column:
-    """Index of the exon with the largest overlap, the first of equal ones; null without overlap."""
-    width = lambda e: F.least(end, e["end"]) - F.greatest(start, e["start"]) + 1
+    """Index of the exon with the largest overlap, the difference of the bounds; the first of
+    equal ones; null without overlap."""
+    width = lambda e: F.least(end, e["end"]) - F.greatest(start, e["start"])
     scored = F.transform(exons, lambda e, i: F.struct(width(e).alias("w"), (-i).alias("i")))
     return -F.array_max(F.filter(scored, lambda s: s["w"] > 0))["i"]
 
@@ -126,14 +127,14 @@ def best_exon(start: Column, end: Column, exons: Column) -> Column:
 def exon_token(start: Column, end: Column, exons: Column, strand: Column, tol: int = 10) -> Column:
     """Number of the best reference exon from 5', with L where the circle's exon
     reaches over its 3' end and S where it starts short of its 5' end, by more
-    than tol; RI for a retained intron, NE without an overlapping exon."""
+    than tol; without an overlapping exon RI for a retained intron, else NE."""
     i = best_exon(start, end, exons)
-    ref, minus = F.get(exons, i), strand == "-"
-    number = F.when(minus, F.size(exons) - i).otherwise(i + 1).cast("string")
-    longer = F.when(minus, ref["start"] - start > tol).otherwise(end - ref["end"] > tol)
-    shorter = F.when(minus, ref["end"] - end > tol).otherwise(start - ref["start"] > tol)
+    ref, plus = F.get(exons, i), strand == "+"
+    number = F.when(strand == "-", F.size(exons) - i).otherwise(i + 1).cast("string")
+    longer = F.when(plus, end - ref["end"] > tol).otherwise(ref["start"] - start > tol)
+    shorter = F.when(plus, start - ref["start"] > tol).otherwise(ref["end"] - end > tol)
     token = F.concat(F.when(longer, "L").otherwise(""), number, F.when(shorter, "S").otherwise(""))
-    return F.when(is_retained_intron(start, end, exons, tol), "RI").when(i.isNull(), "NE").otherwise(token)
+    return F.when(i.isNotNull(), token).when(is_retained_intron(start, end, exons, tol), "RI").otherwise("NE")
 
 
 def uniform_id(gene: Column, circ: Column, exons: Column, ref: Column, strand: Column) -> Column:

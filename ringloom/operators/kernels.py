@@ -202,7 +202,8 @@ class Graph:
         pairs += [(-1, x) for x in range(j - 1, -1, -1)]
         return pairs[::-1]
 
-    def add(self, s: str) -> None:
+    def add(self, s: str, times: int = 1) -> None:
+        """Adds a sequence, as if it came that many times in a row."""
         pairs = self.align(s) if self.base else [(-1, i) for i in range(len(s))]
         used = {x: v for v, x in pairs if x >= 0}
         last = -1
@@ -220,7 +221,7 @@ class Graph:
                     for u in self.ring[own]:
                         self.ring[u] = [*self.ring[u], own]
             if last >= 0:
-                w = self.succ[last].get(own, 0) + 2
+                w = self.succ[last].get(own, 0) + 2 * times
                 self.succ[last][own] = self.pred[own][last] = w
             last = own
 
@@ -243,14 +244,15 @@ class Graph:
         return "".join(self.base[i] for i in path[::-1] + tail)
 
 
-def consensus(seqs: list[str]) -> str:
-    """Partial-order consensus in the given order; none is '', one is itself."""
-    seqs = [s for s in seqs if s]
-    if len(seqs) < 2:
-        return seqs[0] if seqs else ""
+def consensus(seqs: list[str], times: list[int] | None = None) -> str:
+    """Partial-order consensus in the given order; none is '', one is itself. times: how
+    often each sequence counts."""
+    own = [(s, n) for s, n in zip(seqs, times or [1] * len(seqs), strict=True) if s]
+    if len(own) < 2:
+        return own[0][0] if own else ""
     g = Graph()
-    for s in seqs:
-        g.add(s)
+    for s, n in own:
+        g.add(s, n)
     return g.consensus()
 
 
@@ -442,16 +444,22 @@ def ccs_reads(reads: DataFrame, least: int = 100) -> DataFrame:
 
 def consensus_by(segments: DataFrame, key: str, most: int = 200) -> DataFrame:
     """One partial-order consensus per key. segments: key, ord (their order), seq.
-    A molecule's segments are one group by nature; of a key with more than ``most`` the
-    consensus is one of consensuses of ``most`` each, in order, so no task holds a whole hot key."""
-    dup = segments.withColumn("_chunk", F.floor(F.col("ord") / most))
-    schema = f"{key} string, ord long, seq string"
+
+    Equal segments of a key are one with a count, which leaves the graph as it is. A key
+    of up to ``most`` different ones is one graph; those of a larger key are dealt by hash
+    into groups of about ``most``, and the consensus is that of the groups' consensuses, each
+    counted as often as its group has segments, so no task holds a whole hot key."""
+    kinds = segments.select(F.col(key).cast("string").alias(key), F.col("ord").cast("long").alias("ord"), "seq")
+    kinds = kinds.groupBy(key, "seq").agg(F.min("ord").alias("ord"), F.count("*").alias("n"))
+    size = kinds.groupBy(key).agg(F.ceil(F.count("*") / most).alias("_chunks"))
+    schema = f"{key} string, ord long, seq string, n long"
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ord", "seq"], kind="stable")
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "ord": [int(pdf["ord"].iloc[0])], "seq": [consensus(pdf["seq"].tolist())]})
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "ord": [int(pdf["ord"].iloc[0])], "seq": [consensus(pdf["seq"].tolist(), pdf["n"].tolist())], "n": [int(pdf["n"].sum())]})
 
-    first = dup.select(F.col(key).cast("string"), "_chunk", F.col("ord").cast("long"), "seq").groupBy(key, "_chunk").applyInPandas(one, schema)
+    dealt = kinds.join(size, key).withColumn("_chunk", F.pmod(F.xxhash64("seq"), F.col("_chunks")))
+    first = dealt.select(key, "_chunk", "ord", "seq", "n").groupBy(key, "_chunk").applyInPandas(one, schema)
     return first.groupBy(key).applyInPandas(one, schema).select(key, "seq")
 
 

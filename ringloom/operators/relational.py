@@ -25,6 +25,29 @@ def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], lpos: str,
     return l.join(r, [*keys, "_bucket"]).where(F.abs(F.col(lpos) - F.col(rpos)) <= tol).drop("_bucket")
 
 
+def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], a: tuple[str, str], b: tuple[str, str], width: int) -> DataFrame:
+    """Pairs with equal keys whose closed intervals a of the left and b of the right meet.
+
+    Both sides are put into every bin of ``width`` that they touch, so that an equi-join finds
+    the pairs; each is kept in the first bin that both touch only. Column names must not
+    clash but for the keys."""
+    bins = lambda lo, hi: F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))
+    l = left.where(F.col(a[0]) <= F.col(a[1])).withColumn("_bin", F.explode(bins(*a)))  # noqa: E741
+    r = right.where(F.col(b[0]) <= F.col(b[1])).withColumn("_bin", F.explode(bins(*b)))
+    meet = (F.col(a[0]) <= F.col(b[1])) & (F.col(b[0]) <= F.col(a[1])) & (F.col("_bin") == F.floor(F.greatest(a[0], b[0]) / width))
+    return l.join(r, [*keys, "_bin"]).where(meet).drop("_bin")
+
+
+def chains(df: DataFrame, key: str, pos: str, gap: int, width: int = 1 << 16) -> DataFrame:
+    """df with ``chain``, the first position of its chain: rows of a key whose positions follow
+    each other by at most ``gap``. Only the chains of the bins of a key meet in a task."""
+    runs = islands(df.select(key, F.col(pos).alias("_s"), (F.col(pos) + gap).alias("_e")).distinct(), key, "_s", "_e", width)
+    bins = F.sequence(F.floor(F.col("island_start") / width), F.floor((F.col("island_end") - gap) / width))
+    runs = runs.select(key, F.col("island_start").alias("chain"), F.col("island_end").alias("_end"), F.explode(bins).alias("_bin"))
+    d = df.withColumn("_bin", F.floor(F.col(pos) / width)).join(runs, [key, "_bin"])
+    return d.where((F.col(pos) >= F.col("chain")) & (F.col(pos) <= F.col("_end"))).drop("_bin", "_end")
+
+
 def most_frequent(df: DataFrame, group: Sequence[str], item: Sequence[str]) -> DataFrame:
     """All items tied for the highest count of their group, with that count n."""
     counts = df.groupBy(*group, *item).agg(F.count("*").alias("n"))

@@ -219,20 +219,33 @@ def transcript_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("transcript_id", "strand", F.size("exons").alias("n_exons"), S.exon_length(F.col("exons")).alias("len"), S.exon_text(F.col("exons")).alias("exon_text"))
 
 
+#: Circles of two exons: the first and the last third of a candidate's span.
+_PARTS = "(select query_id, chr, unnest([start_pos, end_pos - (end_pos - start_pos) // 3]) as c_start, unnest([start_pos + (end_pos - start_pos) // 3, end_pos]) as c_end from c)"
+
+
 @_query(f"""
-with c as {C}, e as {E}, x as (select query_id, start_pos as c_start, end_pos as c_end from c),
+with c as {C}, e as {E}, x as {_PARTS},
 g as (select chr, gene_id, strand as gs, min(start_pos) - 40 as lo, max(end_pos) + 40 as hi from e group by all),
-d as (select c.query_id, c.strand, c.start_pos, c.end_pos, g.gene_id, gs, e.transcript_id, e.start_pos as xs, e.end_pos as xe from c join g on c.chr = g.chr and c.strand = gs and c.start_pos >= lo and c.end_pos <= hi join e on e.chr = g.chr and e.gene_id = g.gene_id),
-f as (select query_id, gene_id, max((abs(start_pos - xs) <= 14)::int) as ss, max((abs(end_pos - xe) <= 14)::int) as ee, max((abs(start_pos - xe) <= 14)::int) as se, max((abs(end_pos - xs) <= 14)::int) as es,
-  max((start_pos between xs - 10 and xe + 10)::int) as si, max((end_pos between xs - 10 and xe + 10)::int) as ei from d group by all),
-t as (select query_id, gene_id, transcript_id, sum(1 + least(c_end, xe) - greatest(c_start, xs) + 1) as cover, sum(case when abs(c_start - xs) <= 10 and abs(c_end - xe) <= 10 then 20.0::double else 1 + (least(c_end, xe) - greatest(c_start, xs) + 1) / 10.0::double end) as score from d join x using (query_id) where least(c_end, xe) - greatest(c_start, xs) + 1 > 0 group by all),
-tb as (select query_id, gene_id, sum(cover) over (partition by query_id, gene_id) as cover, transcript_id from t qualify row_number() over (partition by query_id, gene_id order by round(score, 6) desc, transcript_id) = 1),
-s as (select f.*, 1000 + 10 * (ss + ee) + coalesce(cover, 0) as score, transcript_id from f left join tb using (query_id, gene_id)),
-b as (select *, max(((ss = 1 and ee = 1) or (se = 1 and es = 1) or (si = 1 and ei = 1))::int) over (partition by query_id) as exon, row_number() over (partition by query_id order by score desc, gene_id, transcript_id nulls first) as r from s)
-select c.query_id as circ_key, case when exon = 1 then 'exon' when gene_id is not null then 'intron' else 'intergenic_region' end as circ_type, gene_id as host_gene, score::bigint as gene_score, transcript_id as best_transcript from c left join b on c.query_id = b.query_id and r = 1""")
+p as (select c.query_id, c.chr, c.strand, c.start_pos, c.end_pos, g.gene_id, gs, c.start_pos >= lo and c.end_pos <= hi as held from c join g on c.chr = g.chr and c.strand = gs and c.end_pos >= lo and c.start_pos <= hi),
+b as (select distinct chr, gene_id, start_pos as xs, end_pos as xe from e),
+fs as (select c.query_id, gene_id, bool_or(abs(start_pos - xs) <= 14) as ss, bool_or(abs(start_pos - xe) <= 14) as se, bool_or(start_pos between xs - 10 and xe + 10) as si from c join b on c.chr = b.chr and c.start_pos between xs - 14 and xe + 14 group by all),
+fe as (select c.query_id, gene_id, bool_or(abs(end_pos - xe) <= 14) as ee, bool_or(abs(end_pos - xs) <= 14) as es, bool_or(end_pos between xs - 10 and xe + 10) as ei from c join b on c.chr = b.chr and c.end_pos between xs - 14 and xe + 14 group by all),
+h as (select query_id, gene_id, c_start, c_end, max((abs(c_start - xs) <= 14)::int) + max((abs(c_end - xe) <= 14)::int) + max((abs(c_start - xe) <= 14)::int) + max((abs(c_end - xs) <= 14)::int) as hits from x join b on x.chr = b.chr and c_start <= xe + 14 and c_end >= xs - 14 group by all),
+hs as (select query_id, gene_id, sum(hits) as hits from h group by all),
+o as (select query_id, gene_id, sum(1 + least(c_end, end_pos) - greatest(c_start, start_pos)) as cover from x join e on x.chr = e.chr and c_start < end_pos and c_end > start_pos where least(c_end, end_pos) > greatest(c_start, start_pos) group by all),
+s as (select p.*, 1000 + 10 * coalesce(hits, 0) + coalesce(cover, 0) as score, coalesce(ss and ee, false) or coalesce(se and es, false) or coalesce(si and ei, false) as exonic
+  from p left join fs using (query_id, gene_id) left join fe using (query_id, gene_id) left join hs using (query_id, gene_id) left join o using (query_id, gene_id)),
+w as (select query_id, gene_id, score, bool_or(exonic) over (partition by query_id) as exonic, bool_or(held) over (partition by query_id) as held from s qualify row_number() over (partition by query_id order by score desc, gene_id) = 1),
+t as (select w.query_id, c_start, c_end, transcript_id, start_pos as xs, end_pos as xe, least(c_end, end_pos) - greatest(c_start, start_pos) as wd, abs(c_start - start_pos) <= 10 and abs(c_end - end_pos) <= 10 as exact from w join x using (query_id) join e using (gene_id)),
+u as (select *, min(case when exact then row(xs, xe) end) over (partition by query_id, c_start, c_end, transcript_id) as stop from t where exact or wd > 0),
+v as (select query_id, transcript_id, sum(case when row(xs, xe) = stop then 20 when wd > 0 and (stop is null or row(xs, xe) < stop) then 1 + wd // 10 else 0 end) as ts from u group by all),
+n as (select w.query_id, a.transcript_id from w join (select distinct gene_id, transcript_id from e) a using (gene_id) left join v on v.query_id = w.query_id and v.transcript_id = a.transcript_id qualify row_number() over (partition by w.query_id order by coalesce(ts, 0) desc, a.transcript_id) = 1)
+select c.query_id as circ_key, case when exonic then 'exon' when held then 'intron' else 'intergenic_region' end as circ_type, gene_id as host_gene, score::bigint as gene_score, transcript_id as best_transcript from c left join w using (query_id) left join n using (query_id)""")
 def gene_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = V.CANDS.frame(spark, sf_dir).withColumnRenamed("query_id", "circ_key")
-    x = c.select("circ_key", F.col("start_pos").alias("c_start"), F.col("end_pos").alias("c_end"))
+    third = F.floor((F.col("end_pos") - F.col("start_pos")) / 3)
+    both = F.array(F.struct(F.col("start_pos").alias("s"), (F.col("start_pos") + third).alias("e")), F.struct((F.col("end_pos") - third).alias("s"), F.col("end_pos").alias("e")))
+    x = c.select("circ_key", F.explode(both).alias("x")).select("circ_key", F.col("x.s").alias("c_start"), F.col("x.e").alias("c_end"))
     return A.annotate(c, x, V.EXONS.frame(spark, sf_dir))
 
 
@@ -245,7 +258,21 @@ def uniform_name_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.ranked_names(s, "uniform_id").select("query_id", "uniform_id", "circ_id", "final_name")
 
 
-@_query()
+_SNAP = f"""c as {C}, e as {E},
+sn as (select query_id, gene_id, min(row(abs(e.start_pos - c.start_pos), e.start_pos)) as s from c join e on c.chr = e.chr and c.strand = e.strand and abs(e.start_pos - c.start_pos) <= 40 group by all),
+en as (select query_id, gene_id, min(row(abs(e.end_pos - c.end_pos), e.end_pos)) as t from c join e on c.chr = e.chr and c.strand = e.strand and abs(e.end_pos - c.end_pos) <= 40 group by all),
+k as (select query_id, c.chr, c.strand, gene_id, s[2] as cs, t[2] as ce from sn join en using (query_id, gene_id) join c using (query_id) qualify row_number() over (partition by query_id order by s[1] + t[1], gene_id) = 1)"""
+
+
+@_query(f"""
+with {_SNAP},
+x as (select transcript_id, gene_id, start_pos as xs, end_pos as xe, row_number() over t as i, count(*) over (partition by transcript_id) as n, lead(start_pos) over t as nxt from (select distinct transcript_id, gene_id, start_pos, end_pos from e) window t as (partition by transcript_id order by start_pos, end_pos)),
+m as (select k.*, x.*, least(ce, xe) - greatest(cs, xs) as w from k join x using (gene_id)),
+b as (select * from m where w > 0 qualify row_number() over (partition by query_id, transcript_id order by w desc, i) = 1),
+r as (select distinct query_id, transcript_id from m where nxt is not null and xe + 1 < nxt and abs(cs - xe - 1) <= 10 and abs(ce - nxt + 1) <= 10),
+z as (select query_id, transcript_id, case when strand = '+' then case when ce - xe > 10 then 'L' else '' end || i || case when cs - xs > 10 then 'S' else '' end else case when xs - cs > 10 then 'L' else '' end || (n - i + 1) || case when xe - ce > 10 then 'S' else '' end end as token from b)
+select a.query_id, a.transcript_id, 'circ' || gene_id || '(' || coalesce(z.token, case when r.query_id is not null then 'RI' else 'NE' end) || ')' as uniform_id
+from (select distinct query_id, transcript_id, gene_id from m) a left join z using (query_id, transcript_id) left join r using (query_id, transcript_id)""")
 def exon_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = A.transcripts(V.EXONS.frame(spark, sf_dir))
     c = V.CANDS.frame(spark, sf_dir)
@@ -295,7 +322,7 @@ def shared_word_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.shared_words(V.SEQUENCES.frame(spark, sf_dir), 6, 5)
 
 
-_GAPS = "select l_partkey % 300 as grp, (l_suppkey % 30) * 2 + l_linenumber as gap from lineitem where l_orderkey % 4 = 1"
+_GAPS = "select l_partkey % 300 as grp, (l_suppkey % 30) * 2 + l_linenumber as gap from lineitem"
 
 
 @_query(f"""
@@ -303,7 +330,7 @@ with v as ({_GAPS}), c as (select grp, gap, count(*) as n from v group by all),
 d as (select x.grp, x.gap, x.n, round(sum(y.n * exp(-0.5 * pow((x.gap - y.gap) / pow(total::double, -0.2), 2))), 9) as density from c x join c y using (grp) join s using (grp) group by all)
 select grp, gap as peak, n as support, density from d qualify row_number() over (partition by grp order by density desc, gap) = 1""")
 def kde_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey % 4 = 1").selectExpr("l_partkey % 300 as grp", "(l_suppkey % 30) * 2 + l_linenumber as gap")
+    v = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_partkey % 300 as grp", "(l_suppkey % 30) * 2 + l_linenumber as gap")
     return M.kde_peak(v, "grp", "gap")
 
 
@@ -377,7 +404,7 @@ def umi_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def umi_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = V.SEQUENCES.frame(spark, sf_dir)
-    return M.cluster_umis(s.select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("read_id"), F.substring("seq", 1, 24).alias("seq")))
+    return M.cluster_umis(s.select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("read_id"), "seq"))
 
 
 @_query()
@@ -389,7 +416,7 @@ def tandem_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def poa_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = V.SEQUENCES.frame(spark, sf_dir)
-    part = s.select((F.col("id") % 50).alias("cluster_id"), F.col("id").alias("ord"), F.substring("seq", 1, 40).alias("seq"))
+    part = s.select((F.col("id") % 50).alias("cluster_id"), F.col("id").alias("ord"), "seq")
     return K.consensus_by(part, "cluster_id")
 
 

@@ -35,7 +35,7 @@ _S = "cast(floor(l_extendedprice) as bigint)"
 EXONS = View("lineitem", (
     f"concat('G', cast({_GENE} as string)) as gene_id", f"concat('chr', cast({_GENE} % 5 + 1 as string)) as chr", f"case when {_GENE} % 2 = 0 then '+' else '-' end as strand",
     f"concat('T', cast({_GENE} as string), '.', cast(l_suppkey % 3 as string)) as transcript_id", f"{_S} as start_pos", f"{_S} + cast(floor(l_quantity) as bigint) * 4 as end_pos",
-), "l_orderkey % 10 = 0", True)
+), "true", True)
 _P = "cast(floor(o_totalprice / 5) as bigint)"
 CANDS = View("orders", (
     "o_orderkey as query_id", "concat('chr', cast(o_custkey % 5 + 1 as string)) as chr", "case when o_orderstatus = 'O' then '+' else '-' end as strand",
@@ -60,14 +60,14 @@ ALIGNMENTS = View("lineitem", (
     "cast(l_linenumber as bigint) * 100 as query_start", "cast(l_linenumber as bigint) * 100 + 60 + cast(floor(l_quantity) as bigint) as query_end", "50 + cast(floor(l_quantity) as bigint) * 20 as exon_len",
 ), "true", True)
 ALN_EXONS = View("lineitem", (
-    "l_orderkey % 3000 as query_id", "concat('chr', cast(l_orderkey % 2 + 1 as string)) as chr",
+    "l_orderkey as query_id", "concat('chr', cast(l_orderkey % 2 + 1 as string)) as chr",
     "1000 + l_partkey % 30 as ref_start", "2000 + l_partkey % 40 as ref_end", "cast(l_suppkey % 2 + 2 as bigint) as n_exons", "900 + l_partkey % 2 as exon_len",
     "cast((l_linenumber - 1) % (l_suppkey % 2 + 2) as bigint) as exon_no", "1000 + ((l_linenumber - 1) % (l_suppkey % 2 + 2)) * 300 + l_partkey % 3 as exon_start", "1000 + ((l_linenumber - 1) % (l_suppkey % 2 + 2)) * 300 + (l_partkey % 4) * 5 + l_suppkey % 90 as exon_end",
 ))
 READ_SITES = View("orders", (
     "o_orderkey as query_id", "concat('chr', cast(o_orderkey % 2 + 1 as string)) as chr", "case when o_orderstatus = 'O' then '+' else '-' end as strand",
     "1000 + o_custkey % 20 as start_pos", "2000 + o_custkey % 20 as end_pos",
-), "o_orderkey < 3000")
+))
 MOLECULES = View("events", (
     "event_id as read_id", "case when user_id % 7 = 0 then '' else concat('c', cast(user_id as string), '_', cast(event_id % 5 as string)) end as cluster_id", "concat('circ', cast(event_id % 37 as string)) as circ_id",
     "concat(event_type, '.', cast(event_id % 37 as string)) as isoform_id", "cast(floor(value) as bigint) + 100 as len",

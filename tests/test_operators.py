@@ -156,3 +156,46 @@ def test_stream_of_batches(spark, tmp_path):
         spark.range(i * 5, i * 5 + 5).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     each_batch(spark, str(tmp_path / "in"), "id long", lambda d: d.where("id % 2 = 0"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 2, 4, 6, 8]
+
+
+def plain_absorption(sites, tol):
+    """Every site looks at every other one."""
+    left, to = dict(sites), {}
+    for s in sorted(sites):
+        if not left[s]:
+            continue
+        best, most = s, left[s]
+        for t in sorted(sites):
+            if abs(t[0] - s[0]) <= tol and abs(t[1] - s[1]) <= tol and left[t] >= most:
+                best, most = t, left[t]
+        if best != s:
+            left[best] += left[s]
+            left[s] = 0
+            to[s] = best
+    return {s: to.get(s, s) for s in sites}
+
+
+def test_absorb_brute_force(spark):
+    rnd = random.Random(4)
+    rows_ = [("c1", st, 30 * rnd.randrange(60) + rnd.randrange(3), 0) for st in "+-" for _ in range(300)] + [("c1", "+", 200_000 + rnd.randrange(90), 0) for _ in range(50)]
+    rows_ = [(c, st, s, s + 200 + 7 * rnd.randrange(6), f"L{s}") for c, st, s, _ in rows_]
+    got = J.absorb_sites(spark.createDataFrame([(*r, r[4]) for r in rows_], "chr string, strand string, start_pos long, end_pos long, left_seq string, right_seq string")).collect()
+    for st in "+-":
+        count = {}
+        for _, x, s, e, _ in rows_:
+            if x == st:
+                count[s, e] = count.get((s, e), 0) + 1
+        want = plain_absorption(count, 40)
+        assert {(r["start_pos"], r["end_pos"]): (r["to_start"], r["to_end"]) for r in got if r["strand"] == st} == want
+    assert all(r["to_left_seq"] == f"L{r['to_start']}" for r in got)
+
+
+def test_consensus_of_a_hot_key_weighs_its_groups(spark):
+    from ringloom.operators import kernels as K
+
+    a, b = "ACGTTGCAACGGTTACCAGTGTCA", "ACGTTGCAACGCTTACCAGTGTCA"
+    d = spark.createDataFrame([("k", i, a) for i in range(200)] + [("k", 200, b)] + [("m", 0, b)], "key string, ord long, seq string")
+    assert rows(K.consensus_by(d, "key")) == [("k", a), ("m", b)]
+    rnd = random.Random(3)
+    many = [("k", i, "".join(rnd.choice("ACGT") if rnd.random() < 0.03 else c for c in a)) for i in range(60)]
+    assert rows(K.consensus_by(spark.createDataFrame(many, "key string, ord long, seq string"), "key", 8)) == [("k", a)]
