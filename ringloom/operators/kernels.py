@@ -404,6 +404,109 @@ def mapped(query: str, target: str, k: int = 10, w: int = 10, least: int = 40) -
     return out
 
 
+def spliced_chains(query: str, target: str, k: int = 14, w: int = 5, intron: int = 20, least: int = 40, share: float = 0.8, most: int = 6) -> list[list[tuple[int, int]]]:
+    """Exon blocks on the target (0-based half-open) of the best forward chains of shared minimizers, a gap
+    of more than ``intron`` target bases without as many query bases being an intron. Chains of less than ``share`` of the best
+    score, and all after ``most``, go."""
+    where = defaultdict(list)
+    for h, p, t in minimizers(target, k, w):
+        where[h].append((p, t))
+    anchors = sorted((p, q) for h, q, s in minimizers(query, k, w) for p, t in where[h] if s == t)
+    if not anchors:
+        return []
+    at = np.array(anchors, np.int64)
+    score, back = np.zeros(len(at)), np.full(len(at), -1)
+    for i in range(len(at)):
+        lo = max(0, i - 400)
+        dp, dq = at[i, 0] - at[lo:i, 0], at[i, 1] - at[lo:i, 1]
+        gap = dp - dq
+        # reference gaps are introns and cost little; others cost by their length
+        cost = np.where(gap > 0, np.minimum(0.01 * k * gap, 0.5 * np.log2(np.abs(gap) + 1.0)), 0.01 * k * -gap + 0.5 * np.log2(np.abs(gap) + 1.0))
+        s = np.where((dp > 0) & (dq > 0) & (dq <= 5000), score[lo:i] + np.minimum(np.minimum(dp, dq), k) - cost, -1.0)
+        best = int(s.argmax()) if len(s) else -1
+        score[i], back[i] = (s[best], lo + best) if best >= 0 and s[best] > k else (k, -1)
+        if back[i] < 0:
+            score[i] = k
+    used, found = np.zeros(len(at), bool), []
+    for i in np.argsort(-score, kind="stable"):
+        if used[i] or len(found) >= most or score[i] < least or found and score[i] < share * found[0][0]:
+            continue
+        chain, j = [], int(i)
+        while j >= 0 and not used[j]:
+            chain.append(j)
+            used[j] = True
+            j = int(back[j])
+        gain = score[i] - (score[j] if j >= 0 else 0)  # what another chain has is not this one's
+        if len(chain) >= 3 and gain >= least and (not found or gain >= share * found[0][0]):
+            found.append((gain, [anchors[j] for j in chain[::-1]]))
+    return [_blocks(query, target, chain, k, intron) for _, chain in found]
+
+
+def _blocks(query: str, target: str, chain: list[tuple[int, int]], k: int, intron: int) -> list[tuple[int, int]]:
+    """A chain's exon blocks; an intron's place between two anchors is where most bases match,
+    GT..AG (or CT..AC, from the other strand) before others, the leftmost of equal ones."""
+    p, q = chain[0]
+    while p and q and target[p - 1] == query[q - 1]:
+        p, q = p - 1, q - 1
+    out, start = [], p
+    for (p0, q0), (p1, q1) in zip(chain, chain[1:], strict=False):
+        if (p1 - p0) - (q1 - q0) <= intron:
+            continue
+        lo, hi = q0, q1 + k  # query bases that may lie on either side
+        left = [query[x] == target[p0 + x - q0] for x in range(lo, hi)]
+        right = [query[x] == target[p1 + k - (hi - x)] for x in range(lo, hi)]
+        best, most = lo, -(10**9)
+        hits = sum(right)
+        for x in range(lo, hi + 1):
+            a, b = p0 + x - q0, p1 + k - (hi - x)
+            motif = target[a : a + 2] + target[max(0, b - 2) : b]
+            value = 4 * hits + (3 if motif in ("GTAG", "CTAC") else 0)
+            if value > most and b > a:
+                best, most = x, value
+            if x < hi:
+                hits += left[x - lo] - right[x - lo]
+        out.append((start, p0 + best - q0))
+        start = p1 + k - (hi - best)
+    p, q = chain[-1][0] + k, chain[-1][1] + k
+    while p < len(target) and q < len(query) and target[p] == query[q]:
+        p, q = p + 1, q + 1
+    out.append((start, p))
+    return out
+
+
+def seam_junctions(exons: list[tuple[int, int]], size: int, hang: int = 300) -> list[tuple[int, int]]:
+    """(left, right) offsets of the back-splices that exon blocks on a doubled window show: the window is
+    a region of ``size`` with ``hang`` on both sides, put twice in a row. A back-splice leads from the
+    block that ends nearest to the region's first end to the next block, if that one begins nearest to
+    the region's second start. Offsets count from the region's start: of the circle's first base, and behind its last."""
+    begin, end, middle = 3 * hang + size, hang + size, 2 * hang + size
+    starts, ends = [abs(a - begin) for a, _ in exons], [abs(b - end) for _, b in exons]
+    first = {i - 1 for i, d in enumerate(starts) if d == min(starts)}
+    last = {i for i, d in enumerate(ends) if d == min(ends)}
+    both = first & last
+    if not both and len(first) == len(last) == 1 and first.copy().pop() + 1 in last:
+        (i,) = last  # one block is the nearest to both
+        if exons[i][0] < middle:
+            if i + 1 < len(exons) and exons[i + 1][0] > middle:
+                both = {i}
+        elif i and exons[i - 1][1] < middle:
+            both = {i - 1}
+    found = [(exons[i + 1][0] - begin, exons[i][1] - hang) for i in sorted(both) if 0 <= i < len(exons) - 1]
+    return [(a, b) for a, b in found if a + 1 <= b]
+
+
+def back_splices(read: str, window: str, hang: int = 300) -> list[tuple[str, int, int]]:
+    """(strand, left, right): back-splices of a read whose longest alignment is the window but for ``hang``
+    bases on each side; offsets as in seam_junctions, the strand that of the read."""
+    size, out = len(window) - 2 * hang, []
+    if size <= 0:
+        return out
+    for strand, query in (("+", read), ("-", revcomp(read))):
+        for exons in spliced_chains(query, window + window):
+            out += [(strand, a, b) for a, b in seam_junctions(exons, size, hang)]
+    return out
+
+
 def maps_repeatedly(read: str, ref: str) -> bool:
     """Two hits or more of the read on its own reference, at most half of the gaps
     between them longer than a fifth of the read."""
@@ -467,3 +570,19 @@ def remap_flags(pairs: DataFrame) -> DataFrame:
     """Adds remapped: whether seq maps repeatedly to ref. pairs: query_id, seq, ref."""
     f = lambda b: list(zip(b.column("query_id").to_pylist(), map(maps_repeatedly, b.column("seq").to_pylist(), b.column("ref").to_pylist()), strict=True))
     return pairs.select(F.col("query_id").cast("string"), "seq", "ref").mapInArrow(_batched(f, ["query_id", "remapped"], [pa.string(), pa.bool_()]), "query_id string, remapped boolean")
+
+
+def junction_hypotheses(rows: DataFrame, hang: int = 300) -> DataFrame:
+    """query_id, chr, strand, start_pos, end_pos (1-based) proposed for each read by mapping it over the seam
+    of its longest alignment. rows: query_id, chr, ref_start (0-based), seq (the read), window (the
+    alignment's region with ``hang`` bases on both sides; rows without all of them propose nothing)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = [b.column(c).to_pylist() for c in ("query_id", "chr", "ref_start", "seq", "window")]
+            out = [(i, c, st, at + a + 1, at + z) for i, c, at, seq, window in zip(*cols, strict=True) for st, a, z in back_splices(seq, window, hang)]
+            kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["query_id", "chr", "strand", "start_pos", "end_pos"])
+
+    d = rows.where("seq is not null and window is not null").select(F.col("query_id").cast("string").alias("query_id"), "chr", F.col("ref_start").cast("long").alias("ref_start"), "seq", "window")
+    return d.mapInArrow(run, "query_id string, chr string, strand string, start_pos long, end_pos long")

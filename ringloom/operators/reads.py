@@ -96,15 +96,16 @@ def isoforms(exons: DataFrame, junctions: DataFrame, hang: int = 300, least: int
 
 def fusion_loci(aln: DataFrame) -> DataFrame:
     """aln with locus 1 or 2: by chromosome in order of appearance where a read has two,
-    else by overlap with the longest alignment; the locus met first is 1."""
+    else by overlap with the longest alignment, or by turns where all overlap it; the locus met first is 1."""
     w = Window.partitionBy("query_id")
     order = ["query_start", "query_end", "ref_start", "ref_end", "chr", "strand"]
     longest = F.max(F.struct("exon_len", *((-F.col(c)).alias(c) for c in order[:4]), F.struct("ref_start", "ref_end", "chr").alias("at"))).over(w)["at"]
     d = aln.withColumn("_l", longest).withColumn("_c", F.min(F.struct(*order[:4], "chr")).over(w)["chr"])
     d = d.withColumn("_two", F.min("chr").over(w) != F.max("chr").over(w))
     side = F.when(F.col("_two"), F.col("chr") == F.col("_c")).otherwise(overlaps(F.col("ref_start"), F.col("ref_end"), F.col("_l.ref_start"), F.col("_l.ref_end")))
-    d = d.withColumn("_a", side).withColumn("_first", F.min(F.struct(*order[:4], "_a")).over(w)["_a"])
-    return d.withColumn("locus", F.when(F.col("_a") == F.col("_first"), 1).otherwise(2)).drop("_l", "_c", "_two", "_a", "_first")
+    d = d.withColumn("_a", side).withColumn("_i", F.row_number().over(w.orderBy(*order)))
+    d = d.withColumn("_a", F.when(~F.col("_two") & F.min("_a").over(w), F.col("_i") % 2 == 1).otherwise(F.col("_a"))).withColumn("_first", F.min(F.struct(*order[:4], "_a")).over(w)["_a"])
+    return d.withColumn("locus", F.when(F.col("_a") == F.col("_first"), 1).otherwise(2)).drop("_l", "_c", "_two", "_a", "_first", "_i")
 
 
 def fusion_pairs(aln: DataFrame) -> DataFrame:

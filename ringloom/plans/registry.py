@@ -187,8 +187,9 @@ def isoform_exon_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FUSION = f"""
-a as {AL}, n as (select *, row_number() over (partition by query_id order by query_start, query_end, ref_start, ref_end, chr) as i, row_number() over (partition by query_id order by exon_len desc, query_start, query_end, ref_start, ref_end, chr desc) as l, min(chr) over (partition by query_id) <> max(chr) over (partition by query_id) as two from a),
-s as (select n.*, case when n.two then n.chr = f.chr else n.ref_start < g.ref_end and g.ref_start < n.ref_end end as side from n join n f on n.query_id = f.query_id and f.i = 1 join n g on n.query_id = g.query_id and g.l = 1),
+a as {AL}, n as (select *, row_number() over (partition by query_id order by query_start, query_end, ref_start, ref_end, chr, strand) as i, row_number() over (partition by query_id order by exon_len desc, query_start, query_end, ref_start, ref_end, chr desc) as l, min(chr) over (partition by query_id) <> max(chr) over (partition by query_id) as two from a),
+s0 as (select n.*, case when n.two then n.chr = f.chr else n.ref_start < g.ref_end and g.ref_start < n.ref_end end as side0 from n join n f on n.query_id = f.query_id and f.i = 1 join n g on n.query_id = g.query_id and g.l = 1),
+s as (select *, case when not two and bool_and(side0) over (partition by query_id) then i % 2 = 1 else side0 end as side from s0),
 k as (select *, first_value(side) over (partition by query_id order by query_start, query_end, ref_start, ref_end, side) as s1 from s),
 p as (select query_id, case when side = s1 then 1 else 2 end as locus, min(chr) as chr, min(ref_start) as "start", max(ref_end) as "end", count(*) as n, case when sum(case when strand = '+' then 1 else -1 end) >= 0 then '+' else '-' end as strand from k group by all),
 w as (select x.query_id, x.chr as c1, x."start" as s1, x."end" as e1, x.strand as t1, x.n as n1, y.chr as c2, y."start" as s2, y."end" as e2, y.strand as t2, y.n as n2, x.chr = y.chr and y."start" < x."start" as sw from p x join p y on x.query_id = y.query_id and x.locus = 1 and y.locus = 2),

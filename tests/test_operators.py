@@ -127,22 +127,98 @@ def micro(spark):
 
 
 def test_calling(spark):
-    got = from_alignments(*micro(spark))
+    a, h, g, c = micro(spark)
+    got = from_alignments(a, g, c, hypotheses=h)
     assert {r["read_type"] for r in got["types"].collect()} == {"sameChrCandidate"}
     (c,) = got["circles"].collect()
     assert (c["start_pos"], c["end_pos"], c["n_reads"], c["circ_type"], c["host_gene"], c["best_transcript"]) == (1200, 2000, 4, "exon", "G1", "T1")
-    assert c["final_name"] == "circG1(2,3).1" and c["len"] == 202
+    assert c["final_name"] == "circname(2,3).1" and c["len"] == 202
     lines = [r["line"].split("\t")[2] for r in got["lines"].orderBy("circ_id", "transcript", "ord").collect()]
     assert lines == ["BSJ", "transcript", "exon", "exon"]
 
 
 def test_calling_is_permutation_invariant(spark):
     a, h, g, c = micro(spark)
-    x = from_alignments(a, h, g, c)["circles"]
-    y = from_alignments(a.repartition(5, "cigar"), h.orderBy(F.rand(3)), g.repartition(3), c)["circles"]
+    x = from_alignments(a, g, c, hypotheses=h)["circles"]
+    y = from_alignments(a.repartition(5, "cigar"), g.repartition(3), c, hypotheses=h.orderBy(F.rand(3)))["circles"]
     assert rows(x.select(*sorted(x.columns)).drop("exons")) == rows(y.select(*sorted(x.columns)).drop("exons"))
 
 
+def test_calling_from_reads_alone(spark):
+    """Circles on both strands, found by mapping reads over the seam; a linear read is none."""
+    rnd = random.Random(12)
+    dna = lambda n: "".join(rnd.choice("ACGT") for _ in range(n))
+    seq = list(dna(9000))
+    for at, text in ((1197, "AG"), (2000, "GT"), (1300, "GT"), (1897, "AG"), (5197, "AC"), (6000, "CT"), (5300, "CT"), (5897, "AC")):
+        seq[at : at + 2] = text
+    seq = "".join(seq)
+    contigs = spark.createDataFrame([("c1", seq)], "chr string, seq string")
+    ex = [("exon", "c1", g, t, "", st, a, b) for g, t, st, o in (("G1", "T1", "+", 0), ("G2", "T2", "-", 4000)) for a, b in ((500 + o, 600 + o), (1200 + o, 1300 + o), (1900 + o, 2000 + o))]
+    gtf = spark.createDataFrame(ex, "feature string, chr string, gene_id string, transcript_id string, gene_name string, strand string, start_pos long, end_pos long")
+    back = str.maketrans("ACGT", "TGCA")
+    aln, reads = [], []
+    for i, (o, st) in enumerate(((0, "+"), (0, "+"), (4000, "-"), (4000, "-"))):
+        once = seq[1199 + o : 1300 + o] + seq[1899 + o : 2000 + o]
+        turn = 20 + 11 * i
+        read = (once * 4)[turn : turn + 520]
+        reads.append((f"q{i}", read if st == "+" else read.translate(back)[::-1]))
+        for k in range(2):
+            aln.append((f"q{i}", 0 if st == "+" else 16, "c1", 1199 + o, f"{k * 210}S101M599N101M"))
+    reads.append(("linear", seq[3000:3400]))
+    aln += [("linear", 0, "c1", 3000, "200M200S"), ("linear", 0, "c1", 3200, "200S200M")]
+    got = from_alignments(spark.createDataFrame(aln, "query_id string, flag int, chr string, ref_begin long, cigar string"), gtf, contigs, spark.createDataFrame(reads, "read_id string, seq string"))
+    assert {r["query_id"]: r["read_type"] for r in got["types"].collect()} == {f"q{i}": "sameChrCandidate" for i in range(4)} | {"linear": "sameChrNotCandidate"}
+    circles = rows(got["circles"].select("strand", "start_pos", "end_pos", "n_reads", "host_gene", "final_name"))
+    assert circles == [("+", 1200, 2000, 2, "G1", "circG1(2,3).1"), ("-", 5200, 6000, 2, "G2", "circG2(1,2).1")]
+
+
+def test_spliced_blocks_end_at_the_motif():
+    from ringloom.operators.kernels import seam_junctions, spliced_chains
+
+    rnd = random.Random(2)
+    dna = lambda n: "".join(rnd.choice("ACGT") for _ in range(n))
+    a, b, left, right = dna(80), dna(90), dna(40), dna(30)
+    target = left + a + "GT" + dna(300) + "AG" + b + right
+    assert spliced_chains(a + b, target) == [[(40, 120), (424, 514)]]
+    assert spliced_chains(dna(100), target) == []
+    # a region of 500 and 300 on both sides, twice: blocks to the first end and from the second start
+    assert seam_junctions([(300, 400), (700, 800), (1400, 1500), (1800, 1900)], 500) == [(0, 500)]
+    assert seam_junctions([(300, 400)], 500) == []
+
+
+def test_rare_isoforms_move_and_bounds_are_absorbed(spark):
+    from ringloom.operators import isoforms as I
+
+    schema = "query_id string, chr string, strand string, start_pos long, end_pos long, exons array<struct<start:long,end:long>>"
+    iso = lambda q, *e: (q, "c", "+", 100, 900, list(e))
+    d = [iso(f"h{i}", (100, 200), (700, 900)) for i in range(3)] + [iso("a", (100, 213), (690, 900)), iso("b", (100, 214), (700, 900)), iso("c", (100, 900))]
+    got = {r["query_id"]: [tuple(x) for x in r["exons"]] for r in I.to_confident(spark.createDataFrame(d, schema)).collect()}
+    assert got["a"] == [(100, 200), (700, 900)] and got["b"] == [(100, 214), (700, 900)] and got["c"] == [(100, 900)]
+    rnd = random.Random(5)
+    d = [(f"q{i}", "c", "+", 100, 900, [(100 + rnd.randrange(12), 200 + rnd.randrange(60)), (600 + rnd.randrange(60), 900)]) for i in range(150)]
+    got = {r["query_id"]: [tuple(x) for x in r["exons"]] for r in I.absorb_bounds(spark.createDataFrame(d, schema)).collect()}
+    for side in (0, 1):
+        count = {}
+        for r in d:
+            for x in r[5]:
+                count[x[side], 0] = count.get((x[side], 0), 0) + 1
+        to = plain_absorption(count, 14)
+        assert all(got[r[0]][j][side] == to[r[5][j][side], 0][0] for r in d for j in (0, 1))
+    assert I.absorb_bounds(spark.createDataFrame([], schema)).isEmpty() and I.to_confident(spark.createDataFrame([], schema)).isEmpty()
+
+
+def test_candidate_rows(spark):
+    from ringloom.operators import isoforms as I
+
+    e = "array<struct<start:long,end:long>>"
+    rec = lambda q, n, s, *x: (q, n, "c", "+", s, x[-1][1], 10 * n, 10 * n + 9, list(x), sum(b - a for a, b in x))
+    d = [rec("two", 1, 100, (100, 200), (300, 400)), rec("two", 2, 450, (390, 500)), rec("near", 1, 100, (100, 200)), rec("near", 2, 120, (120, 200)), rec("again", 1, 5, (5, 9)), rec("again", 2, 5, (5, 10))]
+    recs = spark.createDataFrame(d, f"query_id string, aln long, chr string, strand string, ref_start long, ref_end long, query_start long, query_end long, exons {e}, exon_len long")
+    types = spark.createDataFrame([(q, "sameChrCandidate") for q in ("two", "near", "again")], "query_id string, read_type string")
+    got = sorted((r["query_id"], r["ref_start"], r["ref_end"], [tuple(x) for x in r["exons"]], r["exon_len"]) for r in I.candidate_rows(recs, types, spark.createDataFrame([("again", 2)], "query_id string, aln long")).collect())
+    assert got == [("again", 5, 10, [(5, 10)], 5), ("near", 100, 200, [(100, 200)], 100), ("near", 120, 200, [(120, 200)], 80), ("two", 100, 500, [(100, 200), (300, 500)], 300)]
+
+
 def test_empty_in_empty_out(spark):
     sites = spark.createDataFrame([], "query_id string, chr string, strand string, start_pos long, end_pos long, left_ok boolean, right_ok boolean")
     assert J.cluster_junctions(sites).isEmpty() and J.absorb_sites(sites).isEmpty()
