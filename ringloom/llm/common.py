@@ -27,11 +27,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Lets Python workers started from now on import this package."""
+    """Lets Python workers started from now on import this package, and keeps the Arrow
+    batches that go to them small unless the session says otherwise."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if size_of(spark.conf.get(key)) > 1 << 26:
+        spark.conf.set(key, "8m")
     return spark
 
 
+def size_of(text: str) -> int:
+    """A size as Spark's settings write it, in bytes."""
+    unit = {"k": 10, "m": 20, "g": 30, "t": 40}
+    text = text.strip().lower().rstrip("b")
+    return int(text[:-1]) << unit[text[-1]] if text[-1:] in unit else int(text)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; only where the session
     names none (tests, one machine) a temporary folder takes its place."""
@@ -87,11 +106,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/ringloom/{name}-{uuid.uuid4().hex}"
     with small_batches(spark):
         df.write.parquet(path)
-    atexit.register(_drop, spark, path)
+    atexit.register(dropped, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _drop(spark: SparkSession, path: str) -> None:
+def dropped(spark: SparkSession, path: str) -> None:
+    """Removes a folder, if the session still lives."""
     try:
         jvm = spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
@@ -114,13 +134,16 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(BITMAP)) + 1
     bits = gone.select(slot("_gone").alias("s")).groupBy(F.bitmap_bucket_number("s").alias("_n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("_bits"))
     bits = spark.createDataFrame(bits.collect(), "_n long, _bits binary")
+    maybe = free_name(docs, "_maybe")
+    n, held = free_name(docs, "_n"), free_name(docs, "_bits")
+    bits = bits.withColumnsRenamed({"_n": n, "_bits": held})
     at = F.bitmap_bit_position(slot("doc_id"))
-    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    byte = F.conv(F.hex(F.substring(held, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     set_ = F.call_function("shiftright", byte, F.pmod(at, F.lit(8)).cast("int")).bitwiseAND(1)
-    flagged = docs.join(F.broadcast(bits), F.bitmap_bucket_number(slot("doc_id")) == F.col("_n"), "left").withColumn("_maybe", F.coalesce(set_ == 1, F.lit(False)))
-    stay = flagged.where(~F.col("_maybe")).select(*docs.columns)
-    rest = flagged.where("_maybe").select(*docs.columns)
-    return stay.union(rest.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti"))
+    flagged = docs.join(F.broadcast(bits), F.bitmap_bucket_number(slot("doc_id")) == F.col(n), "left").withColumn(maybe, F.coalesce(set_ == 1, F.lit(False)))
+    stay = flagged.where(~F.col(maybe)).select(*docs.columns)
+    rest = flagged.where(F.col(maybe)).select(*docs.columns)
+    return stay.union(rest.join(gone, rest["doc_id"] == gone["_gone"], "left_anti"))
 
 
 # --- UTF-8 bytes in numpy -------------------------------------------------

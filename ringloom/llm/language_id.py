@@ -4,15 +4,17 @@ The kernel of two texts is the normalised number of byte n-grams (1 to ``order``
 present in both. Landmark texts, drawn from the training rows, give the
 Nystroem map: kernel values against the landmarks, times the inverse square root
 of the landmarks' own kernel matrix. One-versus-rest kernel ridge regression on
-these features is solved in closed form, and landmark grams, map and weights collapse
-into one small model. A batch is scored by products of its presence matrix
-with the landmarks' one; only grams that some landmark has can count, so
-columns are exactly those grams.
+these features is solved in closed form. Only grams that some landmark has can count,
+so the columns are exactly those grams, all of them. The features are linear in a
+text's presence row, so landmarks, map and weights fold into one weight for each gram and language,
+and a batch is scored by the product of its presence matrix with these.
 
 Training takes at most ``train_rows`` rows, ``train_rows / languages`` of each, picked
 by a hash of doc_id, of those that the caller passes; their texts are cut for
 training alone to a window of ``train_bytes`` characters at a hashed place, while
-scoring reads whole texts. The ``columns`` grams that most landmarks have are kept.
+scoring reads whole texts. The score is the logistic of four times the best language's
+regression value (1 for its texts, -1 for others): 0.98 where it fits, 0.02 where none does,
+whatever the number of languages.
 
 Defined results: ``und`` with score 0 where the text is null or has no letter, or
 where no training row exists; ties go to the first language in alphabetical
@@ -26,10 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringloom.llm.common import LOWER, SPACE, pieces, text_bytes
+from ringloom.llm.common import LOWER, SPACE, free_name, lean, pieces, text_bytes
 
 UNKNOWN = "und"
 
@@ -98,81 +100,105 @@ class Vocabulary:
         return out
 
 
-def presence(data: np.ndarray, off: np.ndarray, order: int, vocabulary: Vocabulary, columns: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, columns) presence matrix and each row's number of distinct grams in it."""
-    out = np.zeros((len(off) - 1, columns), np.float32)
-    flat = out.reshape(-1)
+def presence(data: np.ndarray, off: np.ndarray, order: int, vocabulary: Vocabulary, out: np.ndarray) -> np.ndarray:
+    """Sets out (rows, columns), which is zero, to the presence matrix; the places set, once or more."""
+    flat, columns, set_ = out.reshape(-1), out.shape[1], []
     for row, key in grams(data, off, order):
         col = vocabulary.find(key)
         ok = col >= 0
-        flat[row[ok] * columns + col[ok]] = 1
-    return out, out.sum(axis=1)
+        set_.append(row[ok] * columns + col[ok])
+        flat[set_[-1]] = 1
+    return np.concatenate([np.zeros(0, np.int64), *set_])
 
 
-def train(texts: list[str], langs: list[str], order: int, landmarks: int, columns: int, ridge: float, seed: int = 3) -> dict | None:
-    """The collapsed model, or None without training rows."""
+def _batches(off: np.ndarray, rows: int = 64) -> Iterator[tuple[int, int]]:
+    n = len(off) - 1
+    yield from ((a, min(a + rows, n)) for a in range(0, n, rows))
+
+
+def train(texts: list[str], langs: list[str], order: int, landmarks: int, ridge: float, seed: int = 3) -> dict | None:
+    """The folded model, or None without training rows."""
     if not texts:
         return None
     labels = sorted(set(langs))
     rng = np.random.default_rng(seed)
     data, off = normal(pa.array(texts, pa.large_string()))
     pick = np.sort(rng.permutation(len(texts))[:landmarks])
-    seen: dict[int, int] = {}
-    for i in pick:
-        for _, key in grams(data[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]]), order):
-            for k in np.unique(key).tolist():
-                seen[k] = seen.get(k, 0) + 1
-    keys = np.array(sorted(seen, key=lambda k: (-seen[k], k))[:columns], np.uint64)
+    own = [key for i in pick for _, key in grams(data[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]]), order)]
+    keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *own]))
     vocabulary = Vocabulary(keys)
-    x, size = presence(data, off, order, vocabulary, len(keys))
-    size = np.sqrt(np.maximum(size, 1))
-    x /= size[:, None]
-    marks = x[pick]
-    own = (marks @ marks.T).astype(np.float64)
-    vals, vecs = np.linalg.eigh(own)
+
+    def rows(at: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(at), len(keys)), np.float32)
+        part = [data[off[i] : off[i + 1]] for i in at]
+        presence(np.concatenate([np.zeros(0, np.uint8), *part]), np.concatenate([[0], np.cumsum([len(p) for p in part])]).astype(np.int64), order, vocabulary, x)
+        return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+
+    marks = np.concatenate([rows(pick[a:b]) for a, b in _batches(np.arange(len(pick) + 1))])
+    vals, vecs = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     good = vals > vals.max() * 1e-6
-    root = vecs[:, good] / np.sqrt(vals[good])
-    z = (x @ marks.T).astype(np.float64) @ root
+    root = vecs[:, good] / np.sqrt(np.maximum(vals[good], 1e-12))
+    z = np.concatenate([(rows(np.arange(a, b)) @ marks.T).astype(np.float64) @ root for a, b in _batches(off)])
     y = np.where(np.array(langs)[:, None] == np.array(labels), 1.0, -1.0)
     each = np.array([langs.count(n) for n in labels])
     weight = np.array([len(langs) / (len(labels) * each[labels.index(n)]) for n in langs])
     z1 = np.concatenate([z, np.ones((len(z), 1))], axis=1)
     gram = z1.T @ (z1 * weight[:, None]) + ridge * np.eye(z1.shape[1])
     w = np.linalg.solve(gram, z1.T @ (y * weight[:, None]))
-    return {"labels": labels, "keys": keys, "marks": marks, "map": (root @ w[:-1]).astype(np.float32), "bias": w[-1], "order": order}
+    folded = (marks.T @ (root @ w[:-1]).astype(np.float32)).astype(np.float32)
+    return {"labels": labels, "keys": keys, "weight": folded, "bias": w[-1], "order": order}
 
 
 def _letters(col: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.match_substring_regex(col, r"\p{L}"), False).to_numpy(zero_copy_only=False)
 
 
-def _predict(model: dict | None, pred: str, score: str, rows: int = 128):
-    vocabulary: list[Vocabulary] = []
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi in pieces(batch.column("text"), 1 << 20):
-                part = batch.slice(lo, hi - lo)
-                ok = _letters(part.column("text"))
-                lang = np.full(len(ok), UNKNOWN, object)
-                sure = np.zeros(len(ok))
-                if model is not None and len(ok):
-                    if not vocabulary:
-                        vocabulary.append(Vocabulary(model["keys"]))
-                    data, off = normal(part.column("text"))
-                    out = np.empty((len(ok), len(model["labels"])))
-                    for a in range(0, len(ok), rows):
-                        b = min(a + rows, len(ok))
-                        x, size = presence(data[off[a] : off[b]], off[a : b + 1] - off[a], model["order"], vocabulary[0], len(model["keys"]))
-                        k = (x @ model["marks"].T) / np.sqrt(np.maximum(size, 1))[:, None]
-                        out[a:b] = k @ model["map"] + model["bias"]
-                    best = out.argmax(axis=1)
-                    e = np.exp(4 * (out - out.max(axis=1, keepdims=True)))
-                    lang[ok] = np.array(model["labels"], object)[best[ok]]
-                    sure[ok] = (1 / e.sum(axis=1))[ok]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(sure)], [*part.schema.names, pred, score])
-
-    return run
+class Predictor:
+    """Language and score of batches of texts; presence rows are set and cleared in place."""
+
+    def __init__(self, model: dict):
+        self.model, self.vocabulary = model, Vocabulary(model["keys"])
+        self.x = np.zeros((64, len(model["keys"])), np.float32)
+
+    def values(self, col: pa.Array) -> np.ndarray:
+        """(rows, languages) regression values."""
+        data, off = normal(col)
+        out = np.empty((len(off) - 1, len(self.model["labels"])))
+        for a, b in _batches(off, len(self.x)):
+            x = self.x[: b - a]
+            places = presence(data[off[a] : off[b]], off[a : b + 1] - off[a], self.model["order"], self.vocabulary, x)
+            out[a:b] = (x @ self.model["weight"]) / np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None] + self.model["bias"]
+            x.reshape(-1)[places] = 0
+        return out
+
+    def __call__(self, col: pa.Array) -> pa.Array:
+        ok = _letters(col)
+        lang, sure = np.full(len(ok), UNKNOWN, object), np.zeros(len(ok))
+        if len(ok):
+            values = self.values(col)[ok]
+            lang[ok] = np.array(self.model["labels"], object)[values.argmax(axis=1)]
+            sure[ok] = 1 / (1 + np.exp(-4 * values.max(axis=1)))
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(sure)], ["lang", "score"])
+
+
+def _predict(model: dict | None):
+    made: list[Predictor] = []
+
+    @lean
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for col in batches:
+            if model is None:
+                yield pa.StructArray.from_arrays([pa.array([UNKNOWN] * len(col), pa.string()), pa.array(np.zeros(len(col)))], ["lang", "score"])
+                continue
+            if not made:
+                made.append(Predictor(model))
+            parts = [made[0](col.slice(lo, hi - lo)) for lo, hi in pieces(col)]
+            yield pa.concat_arrays(parts) if parts else made[0](col)
+
+    def predict(col: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return run(col)
+
+    return F.arrow_udf(predict, "struct<lang:string,score:double>").asNondeterministic()
 
 
 def _sample(rows: DataFrame, train_rows: int, train_bytes: int) -> tuple[list[str], list[str]]:
@@ -187,23 +213,29 @@ def _sample(rows: DataFrame, train_rows: int, train_bytes: int) -> tuple[list[st
         top = top.when(F.col("lang") == lang, F.lit(int((1 << 40) * min(1.0, 1.3 * (each + 30) / n))))
     span = F.greatest(F.lit(0), F.length("text") - train_bytes)
     cut = F.substring("text", (F.pmod(F.xxhash64("doc_id", F.lit(9)), span + 1) + 1).cast("int"), F.lit(train_bytes))
-    got = sorted(rows.where(h <= top).select(h.alias("h"), cut.alias("text"), "lang").collect())
+    few = rows.where(h <= top).select(h.alias("h"), cut.alias("text"), "lang")
+    # repeated rows of a doc_id share its hash: a rank keeps what is collected within bounds all the same
+    few = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= each)
     out: dict[str, list[str]] = {lang: [] for lang in counts}
-    for r in got:
-        if len(out[r["lang"]]) < each:
-            out[r["lang"]].append(r["text"])
+    for r in sorted(few.select("lang", "r", "text").collect()):
+        out[r["lang"]].append(r["text"])
     pairs = [(t, lang) for lang in sorted(out) for t in out[lang]]
     return [t for t, _ in pairs], [lang for _, lang in pairs]
 
 
-def language_model(rows: DataFrame, train_rows: int = 2000, train_bytes: int = 2000, order: int = 4, landmarks: int = 256, columns: int = 4096, ridge: float = 1.0) -> dict | None:
+def language_model(rows: DataFrame, train_rows: int = 2000, train_bytes: int = 2000, order: int = 4, landmarks: int = 256, ridge: float = 1.0) -> dict | None:
     """Fits on rows (doc_id, text, lang) whose text has a letter and whose lang is not null."""
     rows = rows.where("text is not null and lang is not null and doc_id is not null").where(F.col("text").rlike(r"\p{L}")).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    return train(*_sample(rows, train_rows, train_bytes), order, landmarks, columns, ridge)
+    return train(*_sample(rows, train_rows, train_bytes), order, landmarks, ridge)
+
+
+def prediction(model: dict | None, text: str = "text") -> Column:
+    """Struct of the language and its score of whole texts; only the texts go to Python."""
+    return _predict(model)(F.col(text).cast("string"))
 
 
 def predicted(docs: DataFrame, model: dict | None, pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """docs with the predicted language and its score, whole texts read."""
+    """docs with the predicted language and its score."""
     docs = docs.drop(pred, score)
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields)
-    return docs.mapInArrow(_predict(model, pred, score), f"{fields}`{pred}` string, `{score}` double")
+    own = free_name(docs, "_prediction")
+    return docs.withColumn(own, prediction(model)).select(*docs.columns, F.col(own)["lang"].alias(pred), F.col(own)["score"].alias(score))

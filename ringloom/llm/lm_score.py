@@ -43,13 +43,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ringloom.llm.common import LOWER, SPACE, mix, pieces, saved, text_bytes, word_hashes, word_spans
+from ringloom.llm.common import LOWER, SPACE, lean, mix, pieces, saved, text_bytes, word_hashes, word_spans
 from ringloom.llm.language_id import Vocabulary
 
 DEPTH, NODES, LEAST = 6, 1 << 18, 2
-SPLIT, PIECE, SHARDS = 3, 1 << 23, 32
+SPLIT, PIECE, SHARDS = 3, 1 << 21, 32
 END = np.uint64(0x5E0F7E87)  # the end token's place among word hashes
-KEEP = 1 << 21  # rows of counts that a task holds before it passes them on
+KEEP = 1 << 20  # rows of counts that a task holds before it passes them on
 _EIGHT = np.uint64(8)
 
 
@@ -108,6 +108,7 @@ def _count(depth: int, shards: int):
         order, met, at = _dealt(key, depth, shards)
         return pa.RecordBatch.from_arrays([pa.array(met), _blobs(key[order], at), _blobs(n[order], at)], ["shard", "keys", "n"])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         for batch in batches:
@@ -333,6 +334,7 @@ def _roots(depth: int):
     zeros, ones and weights of the shards' highest nodes, summed by their parents."""
     split = min(SPLIT, depth)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
@@ -401,6 +403,7 @@ def _distinct(texts: pa.Array, depth: int) -> np.ndarray:
 
 
 def _ask(depth: int, shards: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, piece in enumerate(batch.column("piece").to_pylist()):
@@ -414,6 +417,7 @@ def _ask(depth: int, shards: int):
 def _answer(depth: int, top: list[dict], ends: list):
     split = min(SPLIT, depth)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         above = Tree(top).levels
         for shard, rows in _by_shard(batches):

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringloom.llm.common import pieces, saved
+from ringloom.llm.common import lean, pieces, saved
 
 CAP = 2048
 CACHE = 200_000  # words of a generation; a worker keeps the newest and the one before it
@@ -103,6 +103,7 @@ def encode(texts: list[bytes], spec: str) -> list[bytes]:
 def _pieces(spec: str, cap: int, end: int, with_ids: bool):
     tail = np.array([end], "<u4").tobytes()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in pieces(batch.column("text")):

@@ -37,7 +37,7 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kd_shards(table(ship(spark), sf_dir, "documents"))
+    return kd_shards(table(ship(spark), sf_dir, "documents"), levels=4)
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,14 @@
 """Toxicity scores of a bidirectional gated recurrent network with attention pooling.
 
-Inputs of a step are a word embedding (words of several training texts; one vector for
+Inputs of a step are a word embedding (every word of several training texts; one vector for
 all others) and the mean of the word's hashed character-trigram embeddings. Both
 directions run over a window of ``WINDOW`` words, attention weighs the joined states,
 and a logistic unit scores their sum. A text's score is the largest of all its
 overlapping windows (stride ``STRIDE``, the last one ending with the text), so a
 passage counts wherever it stands. Everything is numpy, forward and backward.
 
-Training runs on the driver over at most ``train_rows`` labelled rows with texts of at most
-``train_chars`` characters, picked by a hash of doc_id. Labels belong to texts,
+Training runs on the driver over at most ``train_rows`` labelled rows with ``train_chars``
+characters in all, picked by a hash of doc_id, long texts among them. Labels belong to texts,
 not windows: rounds alternate between choosing each text's highest window and
 Adam steps on the chosen windows, after a first round on random ones. For scoring the input
 products of all known words are tables; only unknown words' are made as they come.
@@ -24,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ringloom.llm.common import LOWER, PUNCT, mix, pieces, text_bytes, word_hashes, word_spans
+from ringloom.llm.common import LOWER, PUNCT, lean, mix, pieces, text_bytes, trim, word_hashes, word_spans
 from ringloom.llm.language_id import Vocabulary
 
 WINDOW, STRIDE = 32, 22
@@ -156,7 +156,7 @@ def inputs(w: dict, word: np.ndarray, buckets: np.ndarray, begin: np.ndarray) ->
     return np.concatenate([w["word"][word], c], axis=1).astype(np.float32)
 
 
-def train(texts: list[str], y: np.ndarray, rounds: int = 5, epochs: int = 2, batch: int = 128, least: int = 4, most: int = 8192, seed: int = 11) -> dict | None:
+def train(texts: list[str], y: np.ndarray, rounds: int = 5, epochs: int = 2, batch: int = 128, least: int = 4, seed: int = 11) -> dict | None:
     """Weights and vocabulary, or None without both labels."""
     if len(texts) < 2 or y.min() == y.max():
         return None
@@ -166,13 +166,14 @@ def train(texts: list[str], y: np.ndarray, rounds: int = 5, epochs: int = 2, bat
     row = np.repeat(np.arange(len(texts)), np.diff(first))
     held = np.bincount(np.unique(own.astype(np.int64) * len(texts) + row) // len(texts), minlength=len(kinds))
     known = np.flatnonzero(held >= least)
-    known = known[np.argsort(-held[known], kind="stable")][:most]
     word = np.full(len(kinds), len(known), np.int64)
     word[known] = np.arange(len(known))
     buckets, begin = trigrams(data, starts[at], ends[at])
     net = Network(len(known), rng)
     doc, lo, size = windows(first)
-    ids = own[np.minimum(lo[:, None] + np.arange(WINDOW), np.maximum(lo + size - 1, 0)[:, None])]
+    own = own.astype(np.int32)
+    ids = np.concatenate([own[np.minimum(lo[a : a + 8192, None] + np.arange(WINDOW), np.maximum(lo + size - 1, 0)[a : a + 8192, None])] for a in range(0, max(1, len(lo)), 8192)])
+    del own, h, row
     bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
     there = np.flatnonzero(np.diff(bounds))
     m = {k: np.zeros_like(v) for k, v in net.w.items()}
@@ -182,7 +183,10 @@ def train(texts: list[str], y: np.ndarray, rounds: int = 5, epochs: int = 2, bat
         if not turn:
             chosen = np.array([rng.integers(bounds[i], bounds[i + 1]) for i in there for _ in range(2)])
         else:
-            tab = net.table(inputs(net.w, word, buckets, begin))
+            tab = np.empty((len(kinds), 2, 3 * HIDDEN), np.float32)
+            for a in range(0, len(kinds), 20_000):
+                part = begin[a : a + 20_001]
+                tab[a : a + 20_000] = net.table(inputs(net.w, word[a : a + 20_000], buckets[part[0] : part[-1]], part - part[0]))
             s = np.concatenate([net.forward(tab, ids[a : a + 2048], size[a : a + 2048]) for a in range(0, len(ids), 2048)])
             chosen = np.array([bounds[i] + int(s[bounds[i] : bounds[i + 1]].argmax()) for i in there])
             spare = np.array([rng.integers(bounds[i], bounds[i + 1]) for i in there if not y[i]], np.int64)
@@ -292,34 +296,48 @@ class Scorer:
         return out
 
 
-def _score(model: dict | None, name: str):
+def _score(model: dict | None):
     made: list[Scorer] = []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo, hi in pieces(b.column("text"), 1 << 21):
-                part = b.slice(lo, hi - lo)
-                if model is not None and not made:
-                    made.append(Scorer(model))
-                s = made[0](part.column("text")) if made else np.zeros(part.num_rows)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s)], [*part.schema.names, name])
+    @lean
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for col in batches:
+            if model is not None and not made:
+                made.append(Scorer(model))
+            parts = [made[0](col.slice(lo, hi - lo)) for lo, hi in pieces(col)] if made else [np.zeros(len(col))]
+            yield pa.array(np.concatenate([np.zeros(0), *parts]))
 
-    return run
+    def score(col: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return run(col)
 
+    return F.arrow_udf(score, "double").asNondeterministic()
 
-def toxicity_model(rows: DataFrame, labels: DataFrame, train_rows: int = 8000, train_chars: int = 6000) -> dict | None:
+
+def toxicity_model(rows: DataFrame, labels: DataFrame, train_rows: int = 8000, train_chars: int = 24_000_000) -> dict | None:
     """Fits on documents (doc_id, text) that labels (doc_id, toxic) marks."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = rows.select("doc_id", "text").where(F.length("text").between(1, train_chars)).join(marks, "doc_id")
-    n = rows.count()
+    n, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     h = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 40))
-    got = rows.where(h <= F.lit(int((1 << 40) * min(1.0, 1.1 * (train_rows + 100) / max(n, 1))))).select(h.alias("h"), "doc_id", "text", "toxic").collect()
-    got = sorted(got)[:train_rows]
-    return train([r["text"] for r in got], np.array([float(r["toxic"] > 0) for r in got]))
+    share = min(1.0, 1.1 * (train_rows + 100) / max(n, 1), 1.1 * train_chars / max(chars, 1))
+    # of repeated rows, which share a hash, the limit leaves no more than is asked for
+    few = rows.where(h <= F.lit(int((1 << 40) * share))).select(h.alias("h"), "doc_id", "text", "toxic").orderBy("h", "doc_id", "text").limit(train_rows)
+    got, left = [], train_chars
+    for r in few.toLocalIterator() if n else ():
+        left -= len(r["text"])
+        if left < 0:
+            break
+        got.append((r["text"], float(r["toxic"] > 0)))
+    model = train([t for t, _ in got], np.array([y for _, y in got]))
+    trim()
+    return model
+
+
+def toxic_score(model: dict | None, text: str = "text") -> Column:
+    """The score of whole texts; only the texts go to Python."""
+    return _score(model)(F.col(text).cast("string"))
 
 
 def scored(docs: DataFrame, model: dict | None, name: str = "score") -> DataFrame:
     """docs with the score of every whole text."""
-    docs = docs.drop(name)
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields)
-    return docs.mapInArrow(_score(model, name), f"{fields}`{name}` double")
+    return docs.drop(name).withColumn(name, toxic_score(model))

@@ -177,6 +177,133 @@ def test_gradients():
         net.w[k][at] = old
 
 
+def insulting(n, seed):
+    """Texts of which the marked ones hold a passage that others don't, anywhere; some are long."""
+    rnd = random.Random(seed)
+    bad = ["grumblefool", "nastyhead", "wretchling", "scornface"]
+    texts, marks = [], []
+    for i in range(n):
+        w = [rnd.choice(WORDS) for _ in range(900 if i % 17 == 0 else rnd.randrange(5, 90))]
+        if i % 3 == 0:
+            at = rnd.randrange(len(w))
+            w[at:at] = ["you", rnd.choice(bad), rnd.choice(bad), "go"]
+        texts.append(" ".join(w))
+        marks.append(float(i % 3 == 0))
+    return texts, np.array(marks)
+
+
+def test_toxicity_model_on_unseen_texts():
+    from ringloom.llm.toxicity import Scorer, train
+
+    model = train(*insulting(600, 1))
+    texts, y = insulting(200, 2)
+    s = Scorer(model)(pa.array([*texts, "", None, "...", "grumblefool"]))
+    assert ((s[:200] >= 0.5) == (y > 0)).mean() >= 0.97 and (s[200:203] == 0).all() and s[203] > 0.5
+    assert np.allclose(s[:200], Scorer(model)(pa.array(texts[::-1]))[::-1], atol=1e-5)
+
+
+def test_scoring_equals_the_forward_pass():
+    from ringloom.llm.toxicity import Scorer, inputs, tokens, train, trigrams
+
+    model = train(*insulting(120, 3), rounds=1, epochs=1)
+    net, scorer = Network(len(model["keys"]), np.random.default_rng(0)), Scorer(model)
+    net.w = model["w"]
+    data, starts, ends, h, first = tokens(pa.array(insulting(8, 4)[0]))
+    kinds, at, own = np.unique(h, return_index=True, return_inverse=True)
+    word = scorer.vocabulary.find(kinds)
+    word[word < 0] = scorer.known
+    buckets, begin = trigrams(data, starts[at], ends[at])
+    table = net.table(inputs(net.w, word, buckets, begin))
+    ids = own[first[:-1, None] + np.arange(5)]
+    assert np.allclose(net.forward(table, ids, np.full(8, 5)), scorer.logits(scorer.products(kinds, data, starts[at], ends[at]), ids), atol=1e-4)
+
+
+def test_toxicity_with_one_label_or_none(spark):
+    from ringloom.llm.toxicity import scored, toxicity_model
+
+    d = spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id long, text string")
+    for marks in ([(1, 0), (2, 0)], []):
+        model = toxicity_model(d, spark.createDataFrame(marks, "doc_id long, toxic int"))
+        assert model is None and {r["score"] for r in scored(d, model).collect()} == {0.0}
+
+
+def spoken(n, seed):
+    """Texts of three invented languages that share words, and some of mere signs."""
+    rnd = random.Random(seed)
+    parts = {"aa": ["ka", "lo", "mi", "tur", "esh"], "bb": ["ver", "ost", "un", "gel", "tur"], "cc": ["ña", "çe", "ki", "lo", "rr"]}
+    out = []
+    for i in range(n):
+        lang = sorted(parts)[i % 3]
+        out.append((i, " ".join("".join(rnd.choice(parts[lang]) for _ in range(rnd.randrange(1, 4))) for _ in range(rnd.randrange(6, 60))), lang))
+    return out
+
+
+def test_language_of_unseen_texts(spark):
+    from ringloom.llm.language_id import language_model, predicted
+
+    model = language_model(spark.createDataFrame(spoken(300, 1), "doc_id long, text string, lang string"))
+    test = spoken(150, 2)
+    d = spark.createDataFrame([(i, t) for i, t, _ in test] + [(900, "12 34 ..."), (901, None), (902, "")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in predicted(d, model).collect()}
+    assert np.mean([got[i][0] == lang for i, _, lang in test]) >= 0.97
+    assert np.mean([got[i][1] > 0.5 for i, _, _ in test]) >= 0.95 and all(got[i] == ("und", 0.0) for i in (900, 901, 902))
+
+
+def test_language_kernel_by_hand():
+    """Weights of grams give what the kernel, the landmark map and the regression give."""
+    from ringloom.llm.language_id import Predictor, train
+
+    texts = [t for _, t, _ in spoken(24, 5)]
+    langs = [lang for _, _, lang in spoken(24, 5)]
+    model = train(texts, langs, 3, 24, 1.0)
+    spectrum = lambda t: {t.encode().lower()[i : i + n] for n in (1, 2, 3) for i in range(len(t.encode()) - n + 1)}
+    own = [spectrum(t) for t in texts]
+    all_ = set().union(*own)
+    kernel = lambda a, b: len(a & b & all_) / math.sqrt(len(a & all_) * len(b & all_))
+    k = np.array([[kernel(a, b) for b in own] for a in own])
+    vals, vecs = np.linalg.eigh(k)
+    root = vecs / np.sqrt(vals)
+    z = np.concatenate([k @ root, np.ones((24, 1))], axis=1)
+    y = np.where(np.array(langs)[:, None] == np.array(["aa", "bb", "cc"]), 1.0, -1.0)
+    want = z @ np.linalg.solve(z.T @ z + np.eye(25), z.T @ y)
+    assert np.allclose(Predictor(model).values(pa.array(texts)), want, atol=2e-3)
+
+
+def test_base_score_by_brute_force(spark):
+    rnd = random.Random(6)
+    texts = [" ".join(rnd.choice(WORDS[:90]) for _ in range(rnd.randrange(40))) for _ in range(80)] + ["", None, "W1 w1", "unseen word"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lm_scores(d, F.col("doc_id") < 60, nodes=16).collect()}
+    words = [[*(t or "").lower().split(), None] for t in texts]
+    c = Counter(w for ws in words[:60] for w in ws)
+    n, v = sum(c.values()), len(c)
+    for i, ws in enumerate(words):
+        r = got[i]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws), sum(c[w] > 0 for w in ws), n)
+        assert abs(r["base_score"] - sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws)) < 1e-9
+
+
+def test_shards_are_balanced_boxes_of_metadata(spark):
+    from ringloom.llm.kd_shards import kd_shards
+
+    rnd = random.Random(8)
+    rows = [(i, "x" * int(10 ** rnd.uniform(0, 3)), rnd.choice(["web", "web", "web", "code", "book"]), rnd.choice(["en", "de", "fr"]), 2000 + rnd.randrange(20)) for i in range(1500)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, year int")
+    got = kd_shards(d, levels=3).collect()
+    size = Counter()
+    for r in got:
+        size[r["shard"]] += r["size"]
+    assert len(got) == 1500 and set(size) == set(range(8)) and max(size.values()) - min(size.values()) <= 4 * 1001
+    assert Counter((r["shard"], r["slot"]) for r in got).most_common(1)[0][1] == 1
+    by_target = kd_shards(d, target_bytes=sum(size.values()) // 5).collect()
+    assert {r["shard"] for r in by_target} == set(range(8))  # the power of two that does not exceed the target
+    # metadata, not a hash of the id, keeps like with like
+    first = kd_shards(d, levels=1, dims=("lang",)).collect()
+    lang = {i: x for i, _, _, x, _ in rows}
+    sides = {s: {lang[r["doc_id"]] for r in first if r["shard"] == s} for s in (0, 1)}
+    assert len(sides[0] & sides[1]) <= 1
+
+
 def test_plan_uses_up_the_histogram():
     rng = np.random.default_rng(2)
     for n, cap in ((0, 64), (5, 64), (5000, 128), (200_000, 128)):
