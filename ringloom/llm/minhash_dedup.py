@@ -50,7 +50,7 @@ from ringloom.llm.common import GOLD, LOWER, SPACE, components, lean, mix, piece
 
 ROWS, BANDS = 6, 42
 #: Ranges of a sketch and of its summary; members of a block; pairs that a copy of a hub's set serves.
-RANGES, COARSE, BLOCK, FAN = 256, 16, 1024, 4096
+RANGES, COARSE, BLOCK, FAN = 256, 16, 512, 4096
 #: Bits of the bitmap that says which texts are candidates; 2 MB at any input size.
 BITMAP = 1 << 24
 
