@@ -16,6 +16,39 @@ def revcomp(seq: Column) -> Column:
     return F.reverse(F.translate(seq, "ACGTN", "TGCAN"))
 
 
+def reverse_quality(qual: Column) -> Column:
+    """Qualities of the reverse complement."""
+    return F.reverse(qual)
+
+
+def cigar_text(steps: Column) -> Column:
+    """CIGAR of an array of structs (n, op)."""
+    return F.array_join(F.transform(steps, lambda s: F.concat(s["n"].cast("string"), s["op"])), "")
+
+
+def bounded_distance(a: Column, b: Column, most: int = 3) -> Column:
+    """Edit distance of two short words, ``most`` for that and more."""
+    d = F.levenshtein(a, b, most)
+    return F.when(d < 0, most).otherwise(F.least(d, F.lit(most)))
+
+
+def tsv_line(*fields: Column) -> Column:
+    """Fields as one tab-separated line; null is empty."""
+    return F.concat_ws("\t", *(F.coalesce(f.cast("string"), F.lit("")) for f in fields))
+
+
+def alignment_line(query: Column, chrom: Column, strand: Column, exons: Column, exon_len: Column, query_start: Column, query_end: Column, left: Column, right: Column) -> Column:
+    """An exon-block alignment as a line: bounds, comma-joined exon bounds, length, strand, flanks."""
+    side = lambda f: joined(F.transform(exons, lambda e: e[f]))
+    return tsv_line(query, chrom, F.get(exons, F.lit(0))["start"], F.element_at(exons, -1)["end"], query_start, query_end, side("start"), side("end"), exon_len, strand, left, right)
+
+
+def circle_line(query: Column, chrom: Column, strand: Column, start: Column, end: Column, exons: Column) -> Column:
+    """A read's circle as a line: ids, bounds, comma-joined exon bounds, length."""
+    side = lambda f: joined(F.transform(exons, lambda e: e[f]))
+    return tsv_line(query, chrom, strand, start, end, side("start"), side("end"), exon_length(exons), circ_id(chrom, start, end, strand), F.concat(circ_id(chrom, start, end, strand), F.lit("|"), exon_text(exons)))
+
+
 def iupac_mask(base: Column) -> Column:
     """Bit mask of one IUPAC letter; unknown letters are 0."""
     out = F.lit(0)

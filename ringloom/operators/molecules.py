@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringloom.operators.relational import samples
@@ -26,6 +26,41 @@ def vote_clusters(cands: DataFrame, least: int = 2) -> DataFrame:
     return out.withColumn("confident", F.col("n_umi") >= least)
 
 
+def with_clusters(cands: DataFrame, clusters: DataFrame) -> DataFrame:
+    """cands (read_id, ...) with cluster_id, '' where the read is in no cluster (read_id, cluster_id)."""
+    return cands.join(clusters.select("read_id", "cluster_id"), "read_id", "left").withColumn("cluster_id", F.coalesce("cluster_id", F.lit("")))
+
+
+def candidate_tables(votes: DataFrame, least: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Of vote_clusters: the isoforms (circ_id, isoform_id, n_umi) that have enough molecules, and the circles
+    (circ_id, circ_umi) that have, whatever their isoforms."""
+    iso = votes.where(F.col("n_umi") >= least).select("circ_id", "isoform_id", "n_umi")
+    return iso, votes.where(F.col("circ_umi") >= least).select("circ_id", "circ_umi").distinct()
+
+
+def cluster_rows(members: DataFrame) -> DataFrame:
+    """cluster_no, idx, len, read_id, identity (null: the representative) of clustered reads (read_id, seq,
+    representative, identity): clusters by length of their representative, longest first, then by its letters; in a cluster the
+    representative comes first, the others by length and read."""
+    from ringloom.operators.relational import numbered
+
+    reps = members.select("representative").distinct().withColumn("_l", -F.length("representative"))
+    d = members.join(numbered(reps, ["_l", "representative"], "cluster_no").drop("_l"), "representative")
+    first = F.when(F.col("seq") == F.col("representative"), F.col("read_id"))
+    d = d.withColumn("_head", F.min(first).over(Window.partitionBy("cluster_no")))
+    lead = (F.col("read_id") == F.col("_head")) & (F.col("seq") == F.col("representative"))
+    idx = F.row_number().over(Window.partitionBy("cluster_no").orderBy((~lead).cast("int"), F.desc(F.length("seq")), "read_id")) - 1
+    return d.select("cluster_no", idx.alias("idx"), F.length("seq").alias("len"), "read_id", F.when(~lead, F.col("identity")).alias("identity"))
+
+
+def n50(seqs: DataFrame, seq: str = "seq") -> DataFrame:
+    """One row: n, total and the length that sequences of it and more make up half of the total with."""
+    by = seqs.select(F.length(seq).cast("long").alias("len")).where("len is not null").groupBy("len").agg(F.count("*").alias("m"))
+    w = Window.orderBy(F.desc("len"))  # a row per length, not per sequence
+    d = by.withColumn("run", F.sum(F.col("len") * F.col("m")).over(w)).withColumn("all", F.sum(F.col("len") * F.col("m")).over(Window.partitionBy()))
+    return d.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n"), F.coalesce(F.max("all"), F.lit(0)).alias("total"), F.max(F.when(2 * F.col("run") >= F.col("all"), F.col("len"))).alias("n50"))
+
+
 def molecule_segments(ccs: DataFrame, clusters: DataFrame) -> DataFrame:
     """Segments of all reads of a cluster in a fixed order: cluster_id, n_reads, segments.
     ccs: read_id, segments (array of strings). Reads outside clusters go."""
@@ -33,11 +68,25 @@ def molecule_segments(ccs: DataFrame, clusters: DataFrame) -> DataFrame:
     return d.groupBy("cluster_id").agg(F.countDistinct("read_id").alias("n_reads"), F.count("*").alias("n_segments"), F.sum(F.length("segment")).alias("n_bases"))
 
 
-def saturation(reads: DataFrame, sizes: Sequence[int], repeats: int) -> DataFrame:
+def saturation(reads: DataFrame, sizes: Sequence[int], repeats: int, unit: str = "read_id") -> DataFrame:
     """sample_size, rep, total_len, n_circ over samples without replacement.
-    reads: read_id, len, circ_id (null where the read has none)."""
-    picked = samples(reads.select("read_id").distinct(), "read_id", sizes, repeats)
-    return picked.join(reads, "read_id").groupBy("sample_size", "rep").agg(F.sum("len").alias("total_len"), F.countDistinct("circ_id").alias("n_circ"))
+    reads: read_id, len, circ_id (null where the read has none). unit: what is
+    sampled, read_id or a molecule's column, whose reads then come together."""
+    picked = samples(reads.select(unit).where(F.col(unit).isNotNull()).distinct(), unit, sizes, repeats)
+    return picked.join(reads, unit).groupBy("sample_size", "rep").agg(F.sum("len").alias("total_len"), F.countDistinct("circ_id").alias("n_circ"))
+
+
+def skipping_kmers(seqs: DataFrame, k: int, squeezed: bool = False) -> DataFrame:
+    """(id, pos, kmer) of every k letters in a row among the ACGT of a sequence, other letters being skipped; squeezed: of a
+    run of one letter only the first counts. pos (from 0) is where the last letter stands."""
+    at = F.filter(F.sequence(F.lit(1), F.length("seq")), lambda i: F.substring(F.col("seq"), i, F.lit(1)).rlike("[ACGT]"))
+    d = seqs.where(F.length("seq") > 0).withColumn("_at", at).withColumn("_s", F.array_join(F.transform("_at", lambda i: F.substring(F.col("seq"), i, F.lit(1))), ""))
+    if squeezed:
+        keep = F.filter(F.sequence(F.lit(1), F.length("_s")), lambda i: (i == 1) | (F.substring(F.col("_s"), i, F.lit(1)) != F.substring(F.col("_s"), i - 1, F.lit(1))))
+        d = d.where(F.length("_s") > 0).withColumn("_keep", keep)
+        d = d.withColumn("_at", F.transform("_keep", lambda i: F.get("_at", i - 1))).withColumn("_s", F.array_join(F.transform("_keep", lambda i: F.substring(F.col("_s"), i, F.lit(1))), ""))
+    d = d.where(F.length("_s") >= k).withColumn("_i", F.explode(F.sequence(F.lit(1), F.length("_s") - k + 1)))
+    return d.select("id", (F.get("_at", F.col("_i") + k - 2) - 1).alias("pos"), F.substring("_s", F.col("_i"), F.lit(k)).alias("kmer"))
 
 
 def kmers(seqs: DataFrame, k: int) -> DataFrame:

@@ -103,6 +103,21 @@ def interval_union(df: DataFrame, group: Sequence[str], start: str, end: str) ->
     return edges.where("depth > 0").select(*group, F.col("pos").alias("union_start"), "union_end")
 
 
+def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """df with gapless numbers from 0 in a total order. Rows are range-partitioned and counted by
+    partition; the driver sees one count a partition."""
+    from ringloom.operators.storage import materialised
+
+    d = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    d = materialised(d).withColumn("_p", F.shiftright("_m", 33))
+    before, offsets = 0, [(-1, 0)]
+    for r in sorted(d.groupBy("_p").count().collect()):
+        offsets.append((r["_p"], before))
+        before += r["count"]
+    offsets = df.sparkSession.createDataFrame(offsets, "_p long, _o long")
+    return d.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_o") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_p", "_o", "_m")
+
+
 def split_members(df: DataFrame, members: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Rows whose keys are among the members, and the others."""
     m = members.select(*keys).distinct()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ringloom.functions import sequence as S
 from ringloom.operators import annotate as A
+from ringloom.operators import isoforms as I
 from ringloom.operators import junctions as J
 from ringloom.operators import kernels as K
 from ringloom.operators import molecules as M
@@ -206,6 +207,86 @@ def fusion_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.fusion_groups(R.fusion_pairs(V.ALIGNMENTS.frame(spark, sf_dir)))
 
 
+#: Alignments of one exon, or of two where the span is long: its first and its last third.
+_FA = f"(select *, case when ref_end - ref_start > 400 then [struct_pack(s := ref_start, e := ref_start + exon_len // 3), struct_pack(s := ref_end - exon_len // 3, e := ref_end)] else [struct_pack(s := ref_start, e := ref_end)] end as x from {AL})"
+_GENOME = f"(select 'chr' || (id % 2 + 1) as chr, string_agg(seq, '' order by id) as seq from {SQ} group by 1)"
+
+
+def _fusion_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    third = F.floor(F.col("exon_len") / 3)
+    e = lambda a, b: F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"))
+    two = F.array(e(F.col("ref_start"), F.col("ref_start") + third), e(F.col("ref_end") - third, F.col("ref_end")))
+    return V.ALIGNMENTS.frame(spark, sf_dir).withColumn("exons", F.when(F.col("ref_end") - F.col("ref_start") > 400, two).otherwise(F.array(e(F.col("ref_start"), F.col("ref_end")))))
+
+
+_FUSION_ROWS = _FUSION[: _FUSION.index("p as (select query_id, case when side")].rstrip().rstrip(",")
+_SIDE = lambda i, n: ", ".join(f"{c}{i} as {f}_{n}" for c, f in (("c", "chr"), ("s", "start"), ("e", "end"), ("len", "len"), ("m", "exonNum"), ("xs", "exon_start"), ("xe", "exon_end"), ("l", "exon_leftSeq"), ("r", "exon_rightSeq"), ("t", "strand"), ("g", "geneName")))
+
+
+@_query(f"""
+with {_FUSION_ROWS},
+fa as {_FA}, ge as {_GENOME}, gx as {E},
+lo as (select k.query_id, case when side = s1 then 1 else 2 end as locus, k.chr, k.strand, k.exon_len, fa.x, len(fa.x) as m from k join fa on k.query_id = fa.query_id and k.chr = fa.chr and k.strand = fa.strand and k.ref_start = fa.ref_start and k.ref_end = fa.ref_end and k.query_start = fa.query_start and k.query_end = fa.query_end and k.exon_len = fa.exon_len),
+b1 as (select * from lo qualify m = max(m) over (partition by query_id, locus)), b2 as (select * from b1 qualify exon_len = max(exon_len) over (partition by query_id, locus)),
+st as (select query_id, locus, min(chr) as chr, case when sum(case when strand = '+' then 1 else -1 end) >= 0 then '+' else '-' end as strand from b2 group by all),
+ex as (select query_id, locus, j, x[j].s as s, x[j].e as e from (select *, unnest(range(1, m + 1)) as j from b2)),
+vo as (select query_id, locus, j, s, e from (select *, count(*) as n from ex group by all) qualify row_number() over (partition by query_id, locus, j order by n desc, s, e) = 1),
+vk as (select vo.*, chr, strand, min(j) over w as j0, max(j) over w as j1 from vo join st using (query_id, locus) where e - s > 10 window w as (partition by query_id, locus)),
+kd as (select distinct chr, strand, s, e from vk),
+ns as (select kd.*, gene_id, min(row(abs(start_pos - s), start_pos)) as d from kd join gx using (chr, strand) where abs(start_pos - s) <= 14 group by all),
+ne as (select kd.*, gene_id, min(row(abs(end_pos - e), end_pos)) as d from kd join gx using (chr, strand) where abs(end_pos - e) <= 14 group by all),
+sn as (select chr, strand, s, e, ns.d[2] as s2, ne.d[2] as e2 from ns join ne using (chr, strand, s, e, gene_id) qualify row_number() over (partition by chr, strand, s, e order by ns.d[1] + ne.d[1], gene_id) = 1),
+xx as (select query_id, locus, chr, strand, case when j = j0 then s else coalesce(s2, s) end as s, case when j = j1 then e else coalesce(e2, e) end as e from vk left join sn using (chr, strand, s, e)),
+xj as (select *, row_number() over (partition by query_id, locus order by s, e) as j from xx),
+gs as (select distinct x.chr, x.strand, x.s, x.e, gene_id from (select distinct chr, strand, s, e from xj) x join gx using (chr, strand) where abs(start_pos - s) <= 14),
+gn as (select distinct x.chr, x.strand, x.s, x.e, gene_id from (select distinct chr, strand, s, e from xj) x join gx using (chr, strand) where abs(end_pos - e) <= 14),
+gb as (select * from gs join gn using (chr, strand, s, e, gene_id)),
+gg as (select query_id, locus, string_agg(distinct gene_id, ',' order by gene_id) as g from xj join gb using (chr, strand, s, e) group by all),
+fq as (select xj.*, case when seq is null then '' when s - 2 < 0 or s > length(seq) then 'NA' else substring(seq, s - 1, 2) end as l, case when seq is null then '' when e + 2 > length(seq) then 'NA' else substring(seq, e + 1, 2) end as r from xj left join ge using (chr)),
+lc as (select query_id, locus, chr as c, strand as t, min(s) as s, max(e) filter (j = n) as e, sum(e - s + 1)::bigint as len, count(*) as m, string_agg(s::varchar, ',' order by j) as xs, string_agg(e::varchar, ',' order by j) as xe, string_agg(l, ',' order by j) as l, string_agg(r, ',' order by j) as r, string_agg(s || '-' || e, ',' order by j) as txt
+  from (select *, count(*) over (partition by query_id, locus) as n from fq) group by query_id, locus, chr, strand),
+lg as (select lc.*, coalesce(g, 'intergenic') as g, count(*) over (partition by query_id) as loci, row_number() over (partition by query_id order by case when cmin = cmax then s end, locus) as side from (select *, min(c) over (partition by query_id) as cmin, max(c) over (partition by query_id) as cmax from lc) lc left join gg using (query_id, locus)),
+pr as (select {', '.join(f"{v}.{f} as {f}{i}" for i, v in ((1, "a"), (2, "b")) for f in ("c", "s", "e", "len", "m", "xs", "xe", "l", "r", "t", "g", "txt"))}, a.query_id from lg a join lg b on a.query_id = b.query_id and a.side = 1 and b.side = 2 where a.loci = 2),
+pi as (select *, c1 || ':' || s1 || '-' || e1 || ':' || t1 || '|' || c2 || ':' || s2 || '-' || e2 || ':' || t2 as cid, c1 || ':' || txt1 || ':' || t1 || '|' || c2 || ':' || txt2 || ':' || t2 as iid from pr),
+pn as (select *, count(*) over (partition by iid) as n, string_agg(query_id::varchar, ',') over (partition by iid order by query_id rows between unbounded preceding and unbounded following) as ids, row_number() over (partition by iid order by query_id) as rn from pi)
+select cid as "circID", iid as "isoID", {_SIDE(1, "first")}, {_SIDE(2, "second")}, n as "readCount", ids as "readID" from pn where rn = 1""")
+def fusion_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole fusion table of the alignments, with the customers' bases as the genome."""
+    from ringloom.plans.calling import fetched
+
+    s = V.SEQUENCES.frame(spark, sf_dir)
+    chrom = F.concat(F.lit("chr"), (F.col("id") % 2 + 1).cast("string"))
+    genome = s.groupBy(chrom.alias("chr")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "seq"))), lambda x: x["seq"]), "").alias("seq"))
+    gtf = V.EXONS.frame(spark, sf_dir)
+    return I.fusion_table(I.fusion_structure(_fusion_rows(spark, sf_dir), gtf), gtf, lambda d, at, name: fetched(d, F.col(at), genome, name))
+
+
+#: Isoforms of two exons, whose inner bounds vary by some bases.
+_ISO = f"(select query_id, chr, strand, start_pos, end_pos, [struct_pack(s := start_pos, e := start_pos + 60 + (query_id % 7) * (query_id % 5)), struct_pack(s := end_pos - 70 + query_id % 4 * 5, e := end_pos)] as x from {SI})"
+
+
+def _isoforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = lambda a, b: F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"))
+    q = F.col("query_id")
+    exons = F.array(e(F.col("start_pos"), F.col("start_pos") + 60 + (q % 7) * (q % 5)), e(F.col("end_pos") - 70 + q % 4 * 5, F.col("end_pos")))
+    return V.SITES.frame(spark, sf_dir).withColumn("exons", exons).select("query_id", "chr", "strand", "start_pos", "end_pos", "exons")
+
+
+@_query(f"""
+with i as {_ISO}, k as (select chr, strand, start_pos, end_pos, x, count(*) as n from i group by all), z as (select chr, strand, start_pos, end_pos, x, n, j, x[j].s as s, x[j].e as e from (select *, unnest([1, 2]) as j from k)),
+a as (select z.chr, z.strand, z.start_pos, z.end_pos, z.x, z.j, min(row(abs(h.s - z.s), h.s)) filter (abs(h.s - z.s) < 14) as ns, min(row(abs(h.e - z.e), h.e)) filter (abs(h.e - z.e) < 14) as ne, any_value(z.s) as s, any_value(z.e) as e
+  from z left join z h on h.n > 1 and z.chr = h.chr and z.strand = h.strand and z.start_pos = h.start_pos and z.end_pos = h.end_pos and z.j = h.j where z.n = 1 group by z.chr, z.strand, z.start_pos, z.end_pos, z.x, z.j),
+t as (select chr, strand, start_pos, end_pos, x, string_agg(coalesce(ns[2], s) || '-' || coalesce(ne[2], e), ',' order by j) as txt from a group by all)
+select query_id, coalesce(txt, x[1].s || '-' || x[1].e || ',' || x[2].s || '-' || x[2].e) as exon_text from i left join t using (chr, strand, start_pos, end_pos, x)""")
+def isoform_low_to_high(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.to_confident(_isoforms(spark, sf_dir)).select("query_id", S.exon_text(F.col("exons")).alias("exon_text"))
+
+
+@_query()
+def isoform_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.absorb_bounds(_isoforms(spark, sf_dir)).select("query_id", S.exon_text(F.col("exons")).alias("exon_text"))
+
+
 # --- annotation ----------------------------------------------------------------
 
 
@@ -311,6 +392,32 @@ def saturation_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.saturation(V.MOLECULES.frame(spark, sf_dir), (500, 1000, 2000, 4000), 3)
 
 
+@_query(f"""
+with m as {MO}, c as (select event_id as read_id, 'u' || event_id % 11 as cluster_id from events where event_id % 3 = 0)
+select m.read_id, circ_id, coalesce(c.cluster_id, '') as cluster_id from m left join c using (read_id)""")
+def candidate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = V.MOLECULES.frame(spark, sf_dir).drop("cluster_id")
+    c = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 3 = 0").selectExpr("event_id as read_id", "concat('u', cast(event_id % 11 as string)) as cluster_id")
+    return M.with_clusters(m, c).select("read_id", "circ_id", "cluster_id")
+
+
+@_query(f"with s as (select repeat(seq, (id % 5 + 1)::int) as seq from {SQ}), l as (select length(seq)::bigint as len, count(*) as m from s group by 1), r as (select *, sum(len * m) over (order by len desc) as run, sum(len * m) over () as t from l) select sum(m)::bigint as n, max(t)::bigint as total, max(len) filter (2 * run >= t) as n50 from r")
+def sequence_n50(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = V.SEQUENCES.frame(spark, sf_dir)
+    return M.n50(s.select(F.repeat("seq", (F.col("id") % 5 + 1).cast("int")).alias("seq")))
+
+
+@_query(f"with s as (select id, regexp_replace(seq, '(A+|C+|G+|T+)', '\\1 ', 'g') as p from {SQ}), l as (select id, list_transform(list_filter(string_split(p, ' '), lambda x: x <> ''), lambda x: x[1]) as h from s), k as (select array_to_string(h[i:i+5], '') as kmer from (select h, unnest(range(1, len(h) - 4)) as i from l)) select kmer, count(*) as n from k group by 1")
+def kmer_squeezed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.skipping_kmers(V.SEQUENCES.frame(spark, sf_dir), 6, True).groupBy("kmer").agg(F.count("*").alias("n"))
+
+
+@_query(f"with s as {SQ}, w as (select id, substring(seq, 1, 11) as a, substring(seq, 12, 11) as b from s) select id, least(levenshtein(a, b), 3)::int as distance from w")
+def bounded_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = V.SEQUENCES.frame(spark, sf_dir)
+    return s.select("id", S.bounded_distance(F.substring("seq", 1, 11), F.substring("seq", 12, 11)).alias("distance"))
+
+
 @_query(f"with s as {SQ}, k as (select substring(seq, i, 6) as kmer from (select seq, unnest(range(1, length(seq) - 4)) as i from s)) select kmer, count(*) as n from k group by 1")
 def kmer_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.kmers(V.SEQUENCES.frame(spark, sf_dir), 6).groupBy("kmer").agg(F.count("*").alias("n"))

@@ -118,15 +118,16 @@ def bam(spark: SparkSession, path: str) -> DataFrame:
 
 
 def clusters(spark: SparkSession, path: str) -> DataFrame:
-    """read_id and cluster_id of a cluster table; a read listed twice keeps its last (largest) cluster."""
+    """read_id and cluster_id of a cluster table; a read listed twice keeps its last cluster, by file and line."""
     c = F.split(F.trim("value"), r"\s+")
-    d = spark.read.text(path).select(c.alias("c")).where(F.size("c") >= 4)
-    d = d.select(F.get("c", F.lit(0)).alias("cluster_id"), F.get("c", F.lit(3)).alias("read_id"))
-    return d.groupBy("read_id").agg(F.max("cluster_id").alias("cluster_id"))
+    d = spark.read.text(path).select(c.alias("c"), F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("at")).where(F.size("c") >= 4)
+    d = d.select(F.get("c", F.lit(0)).alias("cluster_id"), F.get("c", F.lit(3)).alias("read_id"), "at")
+    return d.groupBy("read_id").agg(F.max_by("cluster_id", "at").alias("cluster_id"))
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Header fields of candidate records: read_id, circ_id, strand, isoform_id, splice_site."""
+    """Header fields of candidate records: read_id, circ_id, strand, isoform_id, splice_site; molecules.with_clusters
+    adds the reads' clusters."""
     c = F.split(F.substring("value", 2, 1 << 30), "\t")
     at = lambda i, n: F.trim(F.get("c", F.lit(i))).alias(n)
     d = spark.read.text(path).where(F.col("value").startswith(">")).select(c.alias("c"))
