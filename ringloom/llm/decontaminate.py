@@ -1,12 +1,13 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
 Short test items are looked for inside long documents. Items are partitioned by
-their number of shingles into sizes (u/2, u], u a power of two. For each
+their number of shingle runs into sizes (u/2, u], u a power of two, and by that of their distinct shingles into
+(v/2, v]; but for items that repeat themselves v is u. For each
 partition a document is cut into windows of 2u shingles that overlap by u, so
 that an item lies whole in some window and a window is at most about four times
 an item. Containment t of an item then means a Jaccard similarity of at least
 
-    s = t * (u/2) / (2u + (1 - t) * u/2)
+    s = t * (v/2) / (2u + (1 - t) * v/2)
 
 with that window, whatever the document's length, and single-row bands over
 
@@ -43,9 +44,9 @@ from ringloom.llm.common import GOLD, LOWER, PUNCT, pieces, shingles, text_bytes
 SCHEMA = "doc_id long, item_id long, n_item long, n_shared long, containment double"
 
 
-def bands(u: int, t: float, miss: float) -> int:
-    """MinHash functions needed by the partition (u/2, u]."""
-    q, w = max(1.0, u / 2), 2.0 * u
+def bands(u: int, v: int, t: float, miss: float) -> int:
+    """MinHash functions needed by the partition of (u/2, u] runs and (v/2, v] distinct shingles."""
+    q, w = max(1.0, v / 2), 2.0 * u
     s = t * q / (w + (1 - t) * q)
     return max(1, math.ceil(math.log(miss) / math.log(1 - s)))
 
@@ -63,24 +64,25 @@ def _words(col: pa.Array):
 
 
 def index(texts: list[str | None], k: int, t: float, miss: float) -> dict:
-    """{(width, u): minima per function, sorted, and their items}, and each item's set."""
+    """{(width, u, v): minima per function, sorted, and their items}, and each item's set."""
     words, first = _words(pa.array(texts, pa.large_string()))
     counts = np.diff(first)
     sets: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(texts)
-    parts: dict[tuple[int, int], list[int]] = {}
+    parts: dict[tuple[int, int, int], list[int]] = {}
+    power = lambda n: 1 << max(0, int(n - 1).bit_length())
     for i, n in enumerate(counts):
         if n:
             width = int(min(k, n))
             h, _ = shingles(words[first[i] : first[i + 1]], np.array([0, n]), width)
             sets[i] = np.unique(h)
-            parts.setdefault((width, 1 << max(0, int(len(h) - 1).bit_length())), []).append(i)
+            parts.setdefault((width, power(len(h)), power(len(sets[i]))), []).append(i)
     out = {}
-    for (width, u), own in parts.items():
-        n = bands(u, t, miss)
+    for (width, u, v), own in parts.items():
+        n = bands(u, v, t, miss)
         add, mul = _functions(n)
         low = np.stack([((sets[i][:, None] ^ add) * mul).min(axis=0) for i in own])
         order = np.argsort(low, axis=0, kind="stable")
-        out[width, u] = [(np.take_along_axis(low, order, 0)[:, f], np.array(own)[order[:, f]]) for f in range(n)]
+        out[width, u, v] = [(np.take_along_axis(low, order, 0)[:, f], np.array(own)[order[:, f]]) for f in range(n)]
     return {"parts": out, "sets": sets}
 
 
@@ -116,11 +118,11 @@ def _search(ids: list[int | None], idx: dict, t: float):
                 part = batch.slice(lo, hi - lo)
                 words, first = _words(part.column("text"))
                 doc, rows = part.column("doc_id").to_pylist(), []
-                for width in sorted({w for w, _ in idx["parts"]}):
+                for width in sorted({w for w, _, _ in idx["parts"]}):
                     h, begin = shingles(words, first, width)
                     keep = np.diff(first) >= width
                     pairs = set()
-                    for (w, u), tables in idx["parts"].items():
+                    for (w, u, _), tables in idx["parts"].items():
                         if w == width:
                             pairs |= candidates(h, begin, u, tables)
                     sets: dict[int, np.ndarray] = {}

@@ -156,24 +156,67 @@ def inputs(w: dict, word: np.ndarray, buckets: np.ndarray, begin: np.ndarray) ->
     return np.concatenate([w["word"][word], c], axis=1).astype(np.float32)
 
 
+def lexicon(texts: list[str], most: int = 1 << 20):
+    """Hashes of the distinct words, the place among them of every word, each text's first word, and the
+    trigram buckets of the distinct words with each one's first. About ``most`` bytes of text are worked on at a time."""
+    hashes, bounds, seen, lo = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], [], 0
+    while lo < len(texts):
+        hi, size = lo, 0
+        while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= most):
+            size += len(texts[hi])
+            hi += 1
+        data, starts, ends, h, first = tokens(pa.array(texts[lo:hi], pa.large_string()))
+        u, at = np.unique(h, return_index=True)
+        buckets, begin = trigrams(data, starts[at], ends[at])
+        seen.append((u, buckets.astype(np.int16), begin))
+        hashes.append(h)
+        bounds.append(first[1:] + bounds[-1][-1])
+        lo = hi
+    kinds, own = np.unique(np.concatenate(hashes), return_inverse=True)
+    size, fresh = np.zeros(len(kinds), np.int64), []
+    for u, _, begin in seen:
+        at = np.searchsorted(kinds, u)
+        new = np.flatnonzero(size[at] == 0)
+        size[at[new]] = np.diff(begin)[new]
+        fresh.append((at[new], new))
+    begin = np.concatenate([[0], np.cumsum(size)])
+    out = np.zeros(begin[-1], np.int16)
+    for (at, new), (_, buckets, there) in zip(fresh, seen, strict=True):
+        n = size[at]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(begin[at], n) + step] = buckets[np.repeat(there[new], n) + step]
+    return kinds, own.astype(np.int32), np.concatenate(bounds), out, begin
+
+
 def train(texts: list[str], y: np.ndarray, rounds: int = 5, epochs: int = 2, batch: int = 128, least: int = 4, seed: int = 11) -> dict | None:
     """Weights and vocabulary, or None without both labels."""
     if len(texts) < 2 or y.min() == y.max():
         return None
     rng = np.random.default_rng(seed)
-    data, starts, ends, h, first = tokens(pa.array(texts, pa.large_string()))
-    kinds, at, own = np.unique(h, return_index=True, return_inverse=True)
-    row = np.repeat(np.arange(len(texts)), np.diff(first))
-    held = np.bincount(np.unique(own.astype(np.int64) * len(texts) + row) // len(texts), minlength=len(kinds))
+    kinds, own, first, buckets, begin = lexicon(texts)
+    # texts that hold a word: its places, less those that its text repeats
+    order = np.argsort(own, kind="stable").astype(np.int32)
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(first))[order]
+    word_of = own[order]
+    again = np.concatenate([[False], (word_of[1:] == word_of[:-1]) & (row[1:] == row[:-1])]) if len(row) else np.zeros(0, bool)
+    held = np.bincount(word_of[~again], minlength=len(kinds))
+    del order, row, word_of, again
     known = np.flatnonzero(held >= least)
     word = np.full(len(kinds), len(known), np.int64)
     word[known] = np.arange(len(known))
-    buckets, begin = trigrams(data, starts[at], ends[at])
     net = Network(len(known), rng)
     doc, lo, size = windows(first)
-    own = own.astype(np.int32)
-    ids = np.concatenate([own[np.minimum(lo[a : a + 8192, None] + np.arange(WINDOW), np.maximum(lo + size - 1, 0)[a : a + 8192, None])] for a in range(0, max(1, len(lo)), 8192)])
-    del own, h, row
+
+    def window_words(at: np.ndarray) -> np.ndarray:
+        return own[np.minimum(lo[at, None] + np.arange(WINDOW), np.maximum(lo + size - 1, 0)[at, None])]
+
+    def vectors(use: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Input vectors of some distinct words, and their buckets with each one's first."""
+        n = begin[use + 1] - begin[use]
+        b0 = np.concatenate([[0], np.cumsum(n)])
+        bk = buckets[np.repeat(begin[use] - b0[:-1], n) + np.arange(b0[-1])].astype(np.int64)
+        return inputs(net.w, words, bk, b0), bk, b0
+
     bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
     there = np.flatnonzero(np.diff(bounds))
     m = {k: np.zeros_like(v) for k, v in net.w.items()}
@@ -183,11 +226,11 @@ def train(texts: list[str], y: np.ndarray, rounds: int = 5, epochs: int = 2, bat
         if not turn:
             chosen = np.array([rng.integers(bounds[i], bounds[i + 1]) for i in there for _ in range(2)])
         else:
-            tab = np.empty((len(kinds), 2, 3 * HIDDEN), np.float32)
-            for a in range(0, len(kinds), 20_000):
-                part = begin[a : a + 20_001]
-                tab[a : a + 20_000] = net.table(inputs(net.w, word[a : a + 20_000], buckets[part[0] : part[-1]], part - part[0]))
-            s = np.concatenate([net.forward(tab, ids[a : a + 2048], size[a : a + 2048]) for a in range(0, len(ids), 2048)])
+            s = np.empty(len(lo), np.float32)
+            for a in range(0, len(lo), 2048):
+                part = np.arange(a, min(a + 2048, len(lo)))
+                use, inv = np.unique(window_words(part), return_inverse=True)
+                s[part] = net.forward(net.table(vectors(use, word[use])[0]), inv.reshape(len(part), WINDOW), size[part])
             chosen = np.array([bounds[i] + int(s[bounds[i] : bounds[i + 1]].argmax()) for i in there])
             spare = np.array([rng.integers(bounds[i], bounds[i + 1]) for i in there if not y[i]], np.int64)
             chosen = np.concatenate([chosen, spare])
@@ -195,13 +238,11 @@ def train(texts: list[str], y: np.ndarray, rounds: int = 5, epochs: int = 2, bat
             order = rng.permutation(chosen)
             for a in range(0, len(order), batch):
                 part = order[a : a + batch]
-                use, inv = np.unique(ids[part], return_inverse=True)
+                use, inv = np.unique(window_words(part), return_inverse=True)
                 inv = inv.reshape(len(part), WINDOW)
-                n = begin[use + 1] - begin[use]
-                b0 = np.concatenate([[0], np.cumsum(n)])
-                bk = buckets[np.repeat(begin[use] - b0[:-1], n) + np.arange(b0[-1])]
                 wd = np.where(rng.random(len(use)) < 0.1, len(known), word[use])  # words are hidden now and then: the trigrams must do
-                x = inputs(net.w, wd, bk, b0)
+                x, bk, b0 = vectors(use, wd)
+                n = np.diff(b0)
                 g, dx = net.gradients(net.table(x), inv, size[part], y[doc[part]])
                 flat = np.zeros((len(use), 2, 3 * HIDDEN), np.float32)
                 np.add.at(flat, inv.reshape(-1), dx.reshape(-1, 2, 3 * HIDDEN))
@@ -313,7 +354,7 @@ def _score(model: dict | None):
     return F.arrow_udf(score, "double").asNondeterministic()
 
 
-def toxicity_model(rows: DataFrame, labels: DataFrame, train_rows: int = 8000, train_chars: int = 24_000_000) -> dict | None:
+def toxicity_model(rows: DataFrame, labels: DataFrame, train_rows: int = 8000, train_chars: int = 12_000_000) -> dict | None:
     """Fits on documents (doc_id, text) that labels (doc_id, toxic) marks."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = rows.select("doc_id", "text").where(F.length("text").between(1, train_chars)).join(marks, "doc_id")
