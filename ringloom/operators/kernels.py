@@ -37,6 +37,20 @@ def _masks(seqs: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
+def _by_length(f, seqs: list[str], cells: int = 1 << 21) -> list:
+    """f of the sequences, in groups of similar lengths that fill at most ``cells`` places when padded, so
+    that one long read neither pads the others nor the memory."""
+    order, out, lo = sorted(range(len(seqs)), key=lambda i: len(seqs[i])), [None] * len(seqs), 0
+    while lo < len(order):
+        hi = lo + 1
+        while hi < len(order) and (hi + 1 - lo) * len(seqs[order[hi]]) <= cells:
+            hi += 1
+        for i, r in zip(order[lo:hi], f([seqs[i] for i in order[lo:hi]]), strict=True):
+            out[i] = r
+        lo = hi
+    return out
+
+
 def match_pattern(seqs: list[str], pattern: str = PATTERN) -> list[tuple[int, int, int]]:
     """(score, start, end) of the best match in each sequence that ends with the
     pattern's end; it may start anywhere in both. A gap that follows a gap of its
@@ -98,7 +112,7 @@ def extract_umis(ids: list[str], seqs: list[str], anchor: str, pattern: str = PA
     if not own:
         return []
     both = [s for _, s in own], [revcomp(s) for _, s in own]
-    fwd, rev = local_anchor(both[0], anchor), local_anchor(both[1], anchor)
+    fwd, rev = (_by_length(lambda part: local_anchor(part, anchor), x) for x in both)
     plus = [f[0] > r[0] for f, r in zip(fwd, rev, strict=True)]
     read = [both[0][i] if p else both[1][i] for i, p in enumerate(plus)]
     ends = [(fwd if p else rev)[i][1] for i, p in enumerate(plus)]

@@ -28,7 +28,8 @@ def _gaps(a: Column, start: str, end: str, far: bool) -> Column:
 
 
 def read_types(aln: DataFrame, remapped: Column | None = None) -> DataFrame:
-    """query_id, n_aln, n_chr, n_switch, read_type of reads with two alignments or more.
+    """query_id, n_aln, n_chr, n_switch, min_gap (least query distance of neighbours), read_type of reads
+    with two alignments or more.
 
     aln: query_id, chr, strand, ref_start, ref_end (0-based half-open), query_start,
     query_end, exon_len. remapped: an aggregate telling whether the read maps
@@ -41,6 +42,7 @@ def read_types(aln: DataFrame, remapped: Column | None = None) -> DataFrame:
     g = g.withColumns({
         "n_chr": F.size(F.array_distinct(chrs)),
         "n_switch": F.size(F.filter(F.sequence(F.lit(0), n - 2), lambda i: F.get(a, i)["chr"] != F.get(a, i + 1)["chr"])),
+        "min_gap": F.array_min(F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.abs(F.get(a, i + 1)["query_start"] - F.get(a, i)["query_end"]))),
         "n_locus": F.size(F.array_distinct(F.transform(a, lambda x: F.struct(x["chr"], x["strand"])))),
     })
     at = lambda i: F.get(a, F.lit(i))
@@ -64,7 +66,7 @@ def read_types(aln: DataFrame, remapped: Column | None = None) -> DataFrame:
         .when((n >= 4) & _alternates(chrs) & _gaps(a, "query_start", "query_end", True), "twoChrsFusion").otherwise("twoChrsFusionLowConf")
     )
     kind = F.when(F.col("n_chr") > 2, "multipleChrs").when(F.col("n_chr") == 2, two).otherwise(one)
-    return g.select("query_id", n.cast("long").alias("n_aln"), F.col("n_chr").cast("long").alias("n_chr"), F.col("n_switch").cast("long").alias("n_switch"), kind.alias("read_type"))
+    return g.select("query_id", n.cast("long").alias("n_aln"), F.col("n_chr").cast("long").alias("n_chr"), F.col("n_switch").cast("long").alias("n_switch"), F.col("min_gap").cast("long").alias("min_gap"), kind.alias("read_type"))
 
 
 def top_alignment(aln: DataFrame) -> DataFrame:

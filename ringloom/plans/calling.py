@@ -54,6 +54,15 @@ def flanks(sites: DataFrame, contigs: DataFrame) -> DataFrame:
     return fetched(fetched(sites, F.col("start_pos") - 3, contigs, "left_seq"), F.col("end_pos"), contigs, "right_seq")
 
 
+def molecule_consensus(ccs: DataFrame, clusters: DataFrame) -> DataFrame:
+    """cluster_id, seq: the consensus of all segments of all reads (read_id, segments, raw) of each molecule
+    (read_id, cluster_id); reads outside clusters go."""
+    d = ccs.join(clusters.select("read_id", "cluster_id").where("cluster_id <> ''"), "read_id")
+    d = d.select("cluster_id", "read_id", F.posexplode(S.segments_of(F.col("segments"), F.col("raw"))).alias("i", "seq"))
+    place = F.row_number().over(Window.partitionBy("cluster_id").orderBy("read_id", "i"))
+    return kernels.consensus_by(d.withColumn("ord", place), "cluster_id")
+
+
 def regions(rows: DataFrame, key: list[str], contigs: DataFrame, block: int = 1 << 16) -> DataFrame:
     """key, seq: the joined sequence of the regions (key, ord, chr, start0, end0) of each key, fetched from
     genome blocks; keys with a region outside its contig are left out."""
@@ -161,6 +170,10 @@ def main(argv: list[str] | None = None) -> None:
     x.add_argument("fasta"), x.add_argument("out")
     x = sub.add_parser("ccs", help="tandem-repeat consensus of reads")
     x.add_argument("fastq"), x.add_argument("out")
+    x = sub.add_parser("cluster-reads", help="cluster whole reads of a FASTA file")
+    x.add_argument("fasta"), x.add_argument("out")
+    x = sub.add_parser("consensus", help="tripled consensus of each molecule, or of each read without clusters")
+    x.add_argument("ccs"), x.add_argument("out"), x.add_argument("--clusters", help="cluster table of the reads' UMIs")
     x = sub.add_parser("call", help="circles from alignments")
     x.add_argument("alignments"), x.add_argument("gtf"), x.add_argument("genome"), x.add_argument("out"), x.add_argument("--threshold", type=int, default=2)
     x.add_argument("--reads", help="FASTQ or FASTA of the aligned reads"), x.add_argument("--hypotheses", help="table of proposed back-splices")
@@ -172,8 +185,20 @@ def main(argv: list[str] | None = None) -> None:
         kernels.umi_reads(files.fastq(spark, a.fastq), a.anchor, a.pattern).write.parquet(a.out)
     elif a.command == "cluster-umi":
         molecules.cluster_umis(files.fasta(spark, a.fasta).withColumnRenamed("id", "read_id")).write.parquet(a.out)
+    elif a.command == "cluster-reads":
+        molecules.cluster_umis(files.fasta(spark, a.fasta).withColumnRenamed("id", "read_id"), 0.95, 10).write.parquet(a.out)
     elif a.command == "ccs":
         kernels.ccs_reads(files.fastq(spark, a.fastq)).write.parquet(a.out)
+        found = spark.read.parquet(a.out)
+        for name in ("ccs", "raw"):
+            sinks.fasta(found.select("read_id", F.col(name).alias("seq"))).select("line").write.text(f"{a.out}.{name}.fa")
+    elif a.command == "consensus":
+        found = spark.read.parquet(a.ccs)
+        if a.clusters:
+            found = molecule_consensus(found, files.clusters(spark, a.clusters)).withColumnRenamed("cluster_id", "read_id")
+        else:
+            found = found.select("read_id", F.col("ccs").alias("seq"))
+        sinks.fasta(sinks.tripled(found)).select("line").write.text(a.out)
     elif a.command == "call":
         aln = (files.bam if a.alignments.endswith(".bam") else files.sam)(spark, a.alignments)
         hyp = files.tsv(spark, a.hypotheses, "query_id string, chr string, strand string, start_pos long, end_pos long") if a.hypotheses else None

@@ -141,23 +141,33 @@ def most_frequent_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 _O = lambda a, b: f"(a[{a}].ref_start < a[{b}].ref_end and a[{b}].ref_start < a[{a}].ref_end)"
 
 
-@_query(f"""
-with al as {AL},
-g as (select query_id, list(struct_pack(query_start := query_start, query_end := query_end, ref_start := ref_start, ref_end := ref_end, chr := chr, strand := strand, exon_len := exon_len) order by query_start, query_end, ref_start, ref_end, chr, strand, exon_len) as a, count(*) as n, count(distinct chr) as nc, count(distinct chr || strand) as nl from al group by 1 having count(*) >= 2),
-r as (select query_id, a, n, nc, nl, list_transform(range(1, n), lambda i: (a[i].chr <> a[i + 1].chr)::int) as sw, list_sort(list_transform(range(1, n + 1), lambda i: row(-a[i].exon_len, i)))[1][2] as li from g),
+def _router(al: str, again: str) -> str:
+    """SQL of the read types; again: whether a row is one that the read maps to repeatedly."""
+    return f"""
+with al as {al},
+g as (select query_id, list(struct_pack(query_start := query_start, query_end := query_end, ref_start := ref_start, ref_end := ref_end, chr := chr, strand := strand, exon_len := exon_len) order by query_start, query_end, ref_start, ref_end, chr, strand, exon_len) as a, count(*) as n, count(distinct chr) as nc, count(distinct chr || strand) as nl, bool_or({again}) as again from al group by 1 having count(*) >= 2),
+r as (select query_id, a, n, nc, nl, again, list_transform(range(1, n), lambda i: (a[i].chr <> a[i + 1].chr)::int) as sw, list_sort(list_transform(range(1, n + 1), lambda i: row(-a[i].exon_len, i)))[1][2] as li from g),
 o as (select *, list_transform(range(1, n + 1), lambda i: a[i].ref_start < a[li].ref_end and a[li].ref_start < a[i].ref_end) as ov from r),
 p as (select *, list_sum(sw) as n_switch, list_sum(list_transform(ov, lambda x: x::int)) as hits, list_bool_and(list_transform(range(1, n), lambda i: ov[i] <> ov[i + 1])) as alt, list_min(sw) = 1 as calt,
   a[3].ref_start - a[1].ref_end > 40 and a[4].ref_start - a[2].ref_end > 40 and a[2].ref_end - a[1].ref_end > 40 and a[3].ref_end - a[2].ref_end > 40 and a[4].ref_end - a[3].ref_end > 40 and a[2].ref_start - a[1].ref_end > -40 and a[3].ref_start - a[2].ref_end > -40 and a[4].ref_start - a[3].ref_end > -40 as rg,
   a[3].query_start - a[1].query_end > 40 and a[4].query_start - a[2].query_end > 40 and a[2].query_end - a[1].query_end > 40 and a[3].query_end - a[2].query_end > 40 and a[4].query_end - a[3].query_end > 40 and a[2].query_start - a[1].query_end > -40 and a[3].query_start - a[2].query_end > -40 and a[4].query_start - a[3].query_end > -40 as qg from o)
-select query_id, n as n_aln, nc as n_chr, n_switch::bigint as n_switch, case when nc > 2 then 'multipleChrs'
- when nc = 2 then case when n_switch <= 1 then 'twoChrLowConf' when nl > 2 then 'twoChrsNotCandidate' when n >= 4 and calt and qg then 'twoChrsFusion' else 'twoChrsFusionLowConf' end
- when n = 2 then case when {_O(1, 2)} then 'sameChrCandidate' else 'sameChrNotCandidate' end
- when n = 3 and ({_O(1, 2)} or {_O(1, 3)}) and ({_O(3, 2)} or {_O(3, 1)}) then case when {_O(1, 2)} then 'sameChrCandidate' else 'sameChrFusionLowConf' end
- when n = 3 then 'sameChrLowConf' when hits > n - 2 then 'sameChrCandidate' when not alt then 'sameChrLowConf' when rg then 'sameChrFusion' else 'sameChrFusionLowConf' end as read_type from p""")
+select query_id, n as n_aln, nc as n_chr, n_switch::bigint as n_switch, list_min(list_transform(range(1, n), lambda i: abs(a[i + 1].query_start - a[i].query_end)))::bigint as min_gap, case when nc > 2 then 'multipleChrs'
+ when nc = 2 then case when n_switch <= 1 then 'twoChrLowConf' when again then 'sameChrCandidate' when nl > 2 then 'twoChrsNotCandidate' when n >= 4 and calt and qg then 'twoChrsFusion' else 'twoChrsFusionLowConf' end
+ when n = 2 then case when {_O(1, 2)} or again then 'sameChrCandidate' else 'sameChrNotCandidate' end
+ when n = 3 and ({_O(1, 2)} or {_O(1, 3)}) and ({_O(3, 2)} or {_O(3, 1)}) then case when {_O(1, 2)} or again then 'sameChrCandidate' else 'sameChrFusionLowConf' end
+ when n = 3 then case when again then 'sameChrCandidate' else 'sameChrLowConf' end when hits > n - 2 or again then 'sameChrCandidate' when not alt then 'sameChrLowConf' when rg then 'sameChrFusion' else 'sameChrFusionLowConf' end as read_type from p"""
+
+
+@_query(_router(AL, "false"))
 def read_type_router(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.read_types(V.ALIGNMENTS.frame(spark, sf_dir))
 
 
+@_query(_router(AL, "ref_start % 7 = 0"))
+def read_type_remapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.read_types(V.ALIGNMENTS.frame(spark, sf_dir), F.max(F.col("ref_start") % 7 == 0))
+
+
 @_query(f"with a as {AL} select * from a qualify row_number() over (partition by query_id order by exon_len desc, query_start, chr, ref_start, ref_end, strand, query_end) = 1")
 def read_top_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top_alignment(V.ALIGNMENTS.frame(spark, sf_dir))
