@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from ringloom.llm.common import lean, pieces, saved
 
 CAP = 2048
-CACHE = 200_000  # words of a generation; a worker keeps the newest and the one before it
+CACHE = 100_000  # words of a generation; a worker keeps the newest and the one before it
 #: Printable ASCII and the letters of Latin-1: normal forms of one code point, lower-cased one to one.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 #: The pre-tokenizer's pattern as far as lower-case words of PLAIN go.
