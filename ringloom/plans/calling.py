@@ -114,7 +114,7 @@ def isoform_rows(recs: DataFrame, sites: DataFrame, gtf: DataFrame, opt: CallOpt
 
 
 def from_alignments(aln: DataFrame, gtf: DataFrame, contigs: DataFrame, reads: DataFrame | None = None, hypotheses: DataFrame | None = None, opt: CallOptions = CallOptions()) -> dict[str, DataFrame]:
-    """types, sites, circles, fusions, lines.
+    """types, sites, circles, fusions, lines, and what lies between: candidates, hypotheses, isoforms, loci.
 
     reads (read_id, seq): the sequences that were aligned; they are mapped again to tell circles from
     other repeats, and over the seam of their longest alignment to propose back-splices. hypotheses (query_id, chr,
@@ -158,7 +158,7 @@ def from_alignments(aln: DataFrame, gtf: DataFrame, contigs: DataFrame, reads: D
     fused = recs.join(types.where("read_type in ('twoChrsFusion', 'sameChrFusion')").select("query_id"), "query_id", "left_semi")
     loci = materialised(isoforms.fusion_structure(fused, gtf, opt.exon_tol))
     fusions = isoforms.fusion_table(loci, gtf, lambda d, at, name: fetched(d, F.col(at), contigs, name), opt.exon_tol)
-    return {"types": types, "sites": sites, "circles": circles, "fusions": fusions, "lines": sinks.gtf_lines(iso, opt.threshold)}
+    return {"types": types, "sites": sites, "circles": circles, "fusions": fusions, "lines": sinks.gtf_lines(iso, opt.threshold), "candidates": cands, "hypotheses": hyp, "isoforms": iso, "loci": loci}
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -176,6 +176,7 @@ def main(argv: list[str] | None = None) -> None:
     x.add_argument("ccs"), x.add_argument("out"), x.add_argument("--clusters", help="cluster table of the reads' UMIs")
     x = sub.add_parser("call", help="circles from alignments")
     x.add_argument("alignments"), x.add_argument("gtf"), x.add_argument("genome"), x.add_argument("out"), x.add_argument("--threshold", type=int, default=2)
+    x.add_argument("--debug", help="folder for the tables between the steps")
     x.add_argument("--reads", help="FASTQ or FASTA of the aligned reads"), x.add_argument("--hypotheses", help="table of proposed back-splices")
     x = sub.add_parser("saturation", help="circles found in samples of reads")
     x.add_argument("reads"), x.add_argument("out"), x.add_argument("--interval", type=int, default=1000), x.add_argument("--repeat", type=int, default=10)
@@ -208,6 +209,8 @@ def main(argv: list[str] | None = None) -> None:
         got = from_alignments(aln, files.gtf(spark, a.gtf), files.genome(spark, a.genome), seqs, hyp, CallOptions(a.threshold))
         got["circles"].write.parquet(f"{a.out}/circles")
         got["fusions"].orderBy("isoID").write.csv(f"{a.out}/fusions", sep="\t", header=True)
+        for name in ("types", "candidates", "hypotheses", "sites", "isoforms", "loci") if a.debug else ():
+            got[name].write.parquet(f"{a.debug}/{name}")
         sinks.write_sorted_text(got["lines"], ["circ_id", "transcript", "ord"], f"{a.out}/gtf")
     else:
         d = files.tsv(spark, a.reads, "read_id string, len long, circ_id string")
