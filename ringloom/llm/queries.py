@@ -33,7 +33,7 @@ def op2_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lm_scores(table(ship(spark), sf_dir, "documents"), remainder(7) != 2)
     cols = "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"
-    return out.select("doc_id", (remainder(7) == 2).alias("held_out"), *cols)
+    return out.select("doc_id", held_out(7, 2), *cols)
 
 
 def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,18 +63,23 @@ def remainder(n: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
 
+def held_out(n: int, r: int) -> Column:
+    """Whether the remainder is r; a row without a doc_id has none."""
+    return F.coalesce(remainder(n) == r, F.lit(False)).alias("held_out")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(ship(spark), sf_dir, "documents").select("doc_id", "text")
     model = toxicity_model(docs.where(remainder(5) != 0), table(spark, sf_dir, "labels"))
     out = scored(docs, model)
-    return out.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out(5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(ship(spark), sf_dir, "documents")
     model = language_model(docs.where(remainder(3) != 1))
     out = predicted(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", held_out(3, 1), "lang_pred", "score")
 
 
 def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
