@@ -116,36 +116,49 @@ def kde_peak(values: DataFrame, group: str, value: str) -> DataFrame:
     return best.select(group, "b.peak", "b.support", (-F.col("b.d")).alias("density"))
 
 
-def identity(a: str, b: str, band: int = 20) -> float:
-    """Matches on the best global path over the length of the shorter sequence.
-    Match 2, mismatch -2, gap -6 and -1 further; gaps at the ends cost -1 each."""
-    if len(a) > len(b):
-        a, b = b, a
-    n, m, low = len(a), len(b), -(10**9)
-    best = [[(low, 0)] * (m + 1) for _ in range(3)]
-    row = [(-j, 0) for j in range(m + 1)]
-    best = [row, [(low, 0)] * (m + 1), [(low, 0)] * (m + 1)]
-    for i in range(1, n + 1):
-        mt, up, left = ([(low, 0)] * (m + 1) for _ in range(3))
-        mt[0] = (-i, 0)
-        for j in range(max(1, i - band), min(m, i + band + (m - n)) + 1):
-            same = a[i - 1] == b[j - 1]
-            s, k = max(best[0][j - 1], best[1][j - 1], best[2][j - 1])
-            mt[j] = (s + (2 if same else -2), k + same)
-            edge = -1 if j == m else -6
-            up[j] = max((best[0][j][0] + edge, best[0][j][1]), (best[1][j][0] - 1, best[1][j][1]))
-            edge = -1 if i == n else -6
-            left[j] = max((mt[j - 1][0] + edge, mt[j - 1][1]), (left[j - 1][0] - 1, left[j - 1][1]))
-        best = [mt, up, left]
-    return max(x[m] for x in best)[1] / max(1, n)
+def identities(first: list[str], second: list[str], band: int = 20) -> np.ndarray:
+    """Matches on the best global path over the length of the shorter sequence, of each pair.
+    Match 2, mismatch -2, gap -6 and -1 further; gaps at the ends cost -1 each. Of equal scores the path with
+    more matches counts. Pairs of equal lengths are aligned together, a row of all of them at a time."""
+    out = np.zeros(len(first))
+    groups: dict[tuple[int, int], list[int]] = {}
+    pairs = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(first, second, strict=True)]
+    for i, (x, y) in enumerate(pairs):
+        groups.setdefault((len(x), len(y)), []).append(i)
+    one, low = 1 << 20, -(1 << 50)  # a point of score, above the count of matches in the bits below
+    for (n, m), own in groups.items():
+        for at in range(0, len(own), 4096):
+            part = own[at : at + 4096]
+            if not n:
+                continue
+            x, y = (np.frombuffer("".join(pairs[i][k] for i in part).encode("latin-1", "replace"), np.uint8).reshape(len(part), -1) for k in (0, 1))
+            j = np.arange(m + 1, dtype=np.int64)
+            best = np.broadcast_to(-j * one, (len(part), m + 1))
+            up = left = np.full((len(part), m + 1), low)
+            for i in range(1, n + 1):
+                lo, hi = max(1, i - band), min(m, i + band + m - n)
+                same = x[:, i - 1, None] == y[:, lo - 1 : hi]
+                top = np.maximum(np.maximum(best, up), left)
+                mt, nu, nl = (np.full((len(part), m + 1), low) for _ in range(3))
+                mt[:, 0] = -i * one
+                mt[:, lo : hi + 1] = top[:, lo - 1 : hi] + np.where(same, 2 * one + 1, -2 * one)
+                edge = np.where(j[lo : hi + 1] == m, -1, -6) * one
+                nu[:, lo : hi + 1] = np.maximum(best[:, lo : hi + 1] + edge, up[:, lo : hi + 1] - one)
+                # gaps along the longer one: a running maximum of where they open
+                opened = np.maximum.accumulate((mt + j * one)[:, lo - 1 : hi], axis=1)
+                nl[:, lo : hi + 1] = opened + ((-1 if i == n else -6) - (j[lo : hi + 1] - 1)) * one
+                best, up, left = mt, nu, nl
+            end = np.maximum(np.maximum(best, up), left)[:, m]
+            out[part] = (end & (one - 1)) / n
+    return out
 
 
 def _linked(least: float):
     def run(batches):
         for b in batches:
-            ok = [identity(x, y) for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True)]
+            ok = identities(b.column("sa").to_pylist(), b.column("sb").to_pylist())
             out = pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.float64())], ["a", "b", "identity"])
-            yield out.filter(pa.array(np.array(ok) >= least))
+            yield out.filter(pa.array(ok >= least))
 
     return run
 

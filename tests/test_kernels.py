@@ -1,7 +1,7 @@
 import random
 
 from ringloom.operators import kernels as K
-from ringloom.operators.molecules import identity
+from ringloom.operators.molecules import identities
 
 rnd = random.Random(5)
 
@@ -64,6 +64,6 @@ def test_mapping():
 
 
 def test_identity():
-    assert identity("ACGTACGTACGT", "ACGTACGTACGT") == 1
-    assert identity("ACGTACGTACG", "ACGTACGTACGT") == 1  # contained
-    assert identity("ACGTACGTACGT", "ACGTTCGTACGT") < 0.98
+    assert identities(["ACGTACGTACGT"], ["ACGTACGTACGT"])[0] == 1
+    assert identities(["ACGTACGTACG"], ["ACGTACGTACGT"])[0] == 1  # contained
+    assert identities(["ACGTACGTACGT"], ["ACGTTCGTACGT"])[0] < 0.98
