@@ -175,10 +175,17 @@ def cluster_umis(umis: DataFrame, least: float = 0.98, k: int = 8, shortest: int
     u = umis.where(F.length("seq") > shortest)
     nodes = u.groupBy("seq").agg(F.count("*").alias("n")).select(F.col("seq").alias("id"), "seq")
     word = kmers(nodes, k).select("id", "kmer").distinct()
-    pair = word.select(F.col("id").alias("a"), "kmer").join(word.select(F.col("id").alias("b"), "kmer"), "kmer").where("a <> b")
+    rarity = word.groupBy("kmer").agg(F.count("*").alias("m"))
+    words = word.join(rarity, "kmer").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("m", "kmer"))), lambda x: x["kmer"]).alias("words"))
+    words = materialised(words.withColumn("need", F.greatest(F.lit(1), F.floor(F.length("id") - k + 1 - (1 - least) * F.length("id") * k)).cast("int")))
+    # who shares ``need`` of a sequence's words has one of all but need - 1 of them: the rarest will do
+    some = words.where(F.size("words") >= F.col("need")).select(F.col("id").alias("b"), F.col("words").alias("wb"), "need")
+    some = some.withColumn("kmer", F.explode(F.slice("wb", F.lit(1), F.size("wb") - F.col("need") + 1)))
+    pair = words.select(F.col("id").alias("a"), F.explode("words").alias("kmer")).join(some.select("b", "kmer"), "kmer")
     earlier = (F.length("a") > F.length("b")) | ((F.length("a") == F.length("b")) & (F.col("a") < F.col("b")))
-    need = F.greatest(F.lit(1), F.floor(F.length("b") - k + 1 - (1 - least) * F.length("b") * k))
-    pair = pair.where(earlier).groupBy("a", "b").agg(F.count("*").alias("w")).where(F.col("w") >= need)
+    pair = pair.where(earlier).select("a", "b").distinct()
+    pair = pair.join(words.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(words.select(F.col("id").alias("b"), F.col("words").alias("wb"), "need"), "b")
+    pair = pair.where(F.size(F.array_intersect("wa", "wb")) >= F.col("need"))
     links = pair.select("a", "b", F.col("a").alias("sa"), F.col("b").alias("sb")).mapInArrow(_linked(least), "a string, b string, identity double")
     links = materialised(links)
     rep = materialised(nodes.select("id").join(links.select(F.col("b").alias("id")).distinct(), "id", "left_anti"))
