@@ -79,14 +79,14 @@ def saturation(reads: DataFrame, sizes: Sequence[int], repeats: int, unit: str =
 def skipping_kmers(seqs: DataFrame, k: int, squeezed: bool = False) -> DataFrame:
     """(id, pos, kmer) of every k letters in a row among the ACGT of a sequence, other letters being skipped; squeezed: of a
     run of one letter only the first counts. pos (from 0) is where the last letter stands."""
-    at = F.filter(F.sequence(F.lit(1), F.length("seq")), lambda i: F.substring(F.col("seq"), i, F.lit(1)).rlike("[ACGT]"))
-    d = seqs.where(F.length("seq") > 0).withColumn("_at", at).withColumn("_s", F.array_join(F.transform("_at", lambda i: F.substring(F.col("seq"), i, F.lit(1))), ""))
-    if squeezed:
-        keep = F.filter(F.sequence(F.lit(1), F.length("_s")), lambda i: (i == 1) | (F.substring(F.col("_s"), i, F.lit(1)) != F.substring(F.col("_s"), i - 1, F.lit(1))))
-        d = d.where(F.length("_s") > 0).withColumn("_keep", keep)
-        d = d.withColumn("_at", F.transform("_keep", lambda i: F.get("_at", i - 1))).withColumn("_s", F.array_join(F.transform("_keep", lambda i: F.substring(F.col("_s"), i, F.lit(1))), ""))
+    bare = F.regexp_replace("seq", "[^ACGT]", "")
+    d = seqs.where(F.length("seq") > 0).withColumn("_s", F.regexp_replace(bare, r"(.)\1+", "$1") if squeezed else bare)
     d = d.where(F.length("_s") >= k).withColumn("_i", F.explode(F.sequence(F.lit(1), F.length("_s") - k + 1)))
-    return d.select("id", (F.get("_at", F.col("_i") + k - 2) - 1).alias("pos"), F.substring("_s", F.col("_i"), F.lit(k)).alias("kmer"))
+    # the place of a word's last letter: behind as many kept letters as come before it
+    # (letters that are skipped do not end a run)
+    kept = "[^ACGT]*(?:A[^CGT]*|C[^AGT]*|G[^ACT]*|T[^ACG]*)" if squeezed else "[^ACGT]*[ACGT]"
+    before = F.call_function("regexp_extract", F.col("seq"), F.concat(F.lit(f"^((?:{kept}){{"), (F.col("_i") + k - 2).cast("string"), F.lit("}[^ACGT]*)")), F.lit(1))
+    return d.select("id", F.length(before).alias("pos"), F.substring("_s", F.col("_i"), F.lit(k)).alias("kmer"))
 
 
 def kmers(seqs: DataFrame, k: int) -> DataFrame:

@@ -20,6 +20,7 @@ from ringloom.operators import kernels as K
 from ringloom.operators import molecules as M
 from ringloom.operators import reads as R
 from ringloom.operators import relational as rel
+from ringloom.operators.storage import materialised
 from ringloom.plans import views as V
 from ringloom.sources import sinks
 
@@ -268,7 +269,8 @@ def fusion_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     chrom = F.concat(F.lit("chr"), (F.col("id") % 2 + 1).cast("string"))
     genome = s.groupBy(chrom.alias("chr")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "seq"))), lambda x: x["seq"]), "").alias("seq"))
     gtf = V.EXONS.frame(spark, sf_dir)
-    return I.fusion_table(I.fusion_structure(_fusion_rows(spark, sf_dir), gtf), gtf, lambda d, at, name: fetched(d, F.col(at), genome, name))
+    loci = materialised(I.fusion_structure(_fusion_rows(spark, sf_dir), gtf))
+    return I.fusion_table(loci, gtf, lambda d, at, name: fetched(d, F.col(at), genome, name))
 
 
 #: Isoforms of two exons, whose inner bounds vary by some bases.
