@@ -15,7 +15,7 @@
 4. Pairs are confirmed on full sets: ``100 * intersection >= percent * union``
    in integers. The sets of bucket members, made from the texts in one pass through
    a bitmap of fixed size, travel once a pair; a hub's set travels once
-   for some thousands of its pairs, which also deals out a hot hub.
+   for some hundreds of its pairs, which also deals out a hot hub.
 5. Links become components. Buckets whose members still lie in several
    components get two more stars, around the hubs of their two largest components.
 6. The rest is exact. In every bucket that still holds several components, all
@@ -50,7 +50,7 @@ from ringloom.llm.common import GOLD, LOWER, SPACE, components, lean, mix, piece
 
 ROWS, BANDS = 6, 42
 #: Ranges of a sketch and of its summary; members of a block; pairs that a copy of a hub's set serves.
-RANGES, COARSE, BLOCK, FAN = 256, 16, 512, 4096
+RANGES, COARSE, BLOCK, FAN = 256, 16, 512, 512
 #: Bits of the bitmap that says which texts are candidates; 2 MB at any input size.
 BITMAP = 1 << 24
 

@@ -357,12 +357,15 @@ def _score(model: dict | None):
 def toxicity_model(rows: DataFrame, labels: DataFrame, train_rows: int = 8000, train_chars: int = 12_000_000) -> dict | None:
     """Fits on documents (doc_id, text) that labels (doc_id, toxic) marks."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = rows.select("doc_id", "text").where(F.length("text").between(1, train_chars)).join(marks, "doc_id")
-    n, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    rows = rows.select("doc_id", "text").where(F.length("text").between(1, train_chars))
+    # texts are fetched for the chosen ids only, which are few enough to be broadcast; none is shuffled
+    sizes = rows.select("doc_id", F.length("text").alias("n")).join(marks, "doc_id")
+    n, chars = sizes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     h = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 40))
     share = min(1.0, 1.1 * (train_rows + 100) / max(n, 1), 1.1 * train_chars / max(chars, 1))
+    chosen = sizes.select("doc_id", "toxic", h.alias("h")).where(F.col("h") <= F.lit(int((1 << 40) * share))).distinct().orderBy("h", "doc_id").limit(train_rows)
     # of repeated rows, which share a hash, the limit leaves no more than is asked for
-    few = rows.where(h <= F.lit(int((1 << 40) * share))).select(h.alias("h"), "doc_id", "text", "toxic").orderBy("h", "doc_id", "text").limit(train_rows)
+    few = rows.join(F.broadcast(chosen), "doc_id").select("h", "doc_id", "text", "toxic").orderBy("h", "doc_id", "text").limit(train_rows)
     got, left = [], train_chars
     for r in few.toLocalIterator() if n else ():
         left -= len(r["text"])
