@@ -21,7 +21,7 @@ Place. The model is a table in the shared folder, dealt into shards by the hash
 ``SPLIT`` bytes nearest to the predicted one, so that a shard has whole subtrees. Only the
 depths below ``SPLIT`` are built on the driver and broadcast (at most 2^24 runs). Texts are
 packed into rows of about ``PIECE`` bytes; each asks the shards for its distinct runs,
-and their costs come back to it. Runs travel as sorted arrays, not as rows.
+and their costs come back to it. Runs travel as sorted arrays, packed by differences, not as rows.
 
 Base. Sum over tokens of log10((c + 1) / (N + V + 1)). Counts of frequent words
 (at least one in ``nodes`` of all tokens, thus at most ``nodes`` words) are
@@ -47,7 +47,9 @@ from ringloom.llm.common import LOWER, SPACE, lean, mix, pieces, saved, text_byt
 from ringloom.llm.language_id import Vocabulary
 
 DEPTH, NODES, LEAST = 6, 1 << 18, 2
-SPLIT, PIECE, SHARDS = 3, 1 << 21, 32
+SPLIT, SHARDS = 3, 32
+#: Bytes of text that ask together, and bytes of training text that a shard stands for.
+PIECE, SHARD = 1 << 22, 1 << 21
 END = np.uint64(0x5E0F7E87)  # the end token's place among word hashes
 KEEP = 1 << 20  # rows of counts that a task holds before it passes them on
 _EIGHT = np.uint64(8)
@@ -96,8 +98,23 @@ def _dealt(keys: np.ndarray, depth: int, shards: int) -> tuple[np.ndarray, np.nd
     return order, met, np.append(first, len(keys))
 
 
-def _blobs(x: np.ndarray, at: np.ndarray) -> pa.Array:
-    return pa.array([x[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+def _pack(x: np.ndarray, rising: bool = False) -> bytes:
+    """Numbers as compressed bytes, place by place: what they share costs little. rising: sorted
+    ones, kept as differences."""
+    if rising and len(x):
+        x = np.concatenate([x[:1], x[1:] - x[:-1]])
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), codec="zstd", asbytes=True) + len(x).to_bytes(4, "little")
+
+
+def _unpack(blob: bytes, kind: type, rising: bool = False) -> np.ndarray:
+    n, size = int.from_bytes(blob[-4:], "little"), np.dtype(kind).itemsize
+    raw = pa.decompress(blob[:-4], decompressed_size=n * size, codec="zstd", asbytes=True) if n else b""
+    x = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(kind).reshape(n)
+    return np.cumsum(x, dtype=kind) if rising else x
+
+
+def _blobs(x: np.ndarray, at: np.ndarray, rising: bool = False) -> pa.Array:
+    return pa.array([_pack(x[a:b], rising) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
 
 
 def _count(depth: int, shards: int):
@@ -106,7 +123,7 @@ def _count(depth: int, shards: int):
     def rows(parts: list) -> pa.RecordBatch:
         key, n = _merged(parts)
         order, met, at = _dealt(key, depth, shards)
-        return pa.RecordBatch.from_arrays([pa.array(met), _blobs(key[order], at), _blobs(n[order], at)], ["shard", "keys", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(met), _blobs(key[order], at, True), _blobs(n[order], at)], ["shard", "keys", "n"])
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,13 +337,13 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for shard, rows in _by_shard(batches):
         held, size, done = [], 0, 0
         for r in rows:
-            held.append((np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["n"], np.int64)))
+            held.append((_unpack(r["keys"], np.uint64, True), _unpack(r["n"], np.int64)))
             size += len(held[-1][0])
             if size > max(KEEP, 2 * done):
                 held = [_merged(held)]
                 size = done = len(held[0][0])
         key, n = _merged(held)
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([key.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["shard", "keys", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([_pack(key, True)], pa.binary()), pa.array([_pack(n)], pa.binary())], ["shard", "keys", "n"])
 
 
 def _roots(depth: int):
@@ -338,7 +355,7 @@ def _roots(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                key, n = np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["n"], np.int64)
+                key, n = _unpack(r["keys"], np.uint64, True), _unpack(r["n"], np.int64)
                 own, c = _merged([(key & _mask(split - 1), n)])
                 parts = [(np.full(len(own), -1), own, c.astype(float), np.zeros(len(own)), np.zeros(len(own)))]
                 levels = _kept(key, n, split, depth)
@@ -409,7 +426,7 @@ def _ask(depth: int, shards: int):
             for i, piece in enumerate(batch.column("piece").to_pylist()):
                 key = _distinct(batch.column("texts")[i].values, depth)
                 order, met, at = _dealt(key, depth, shards)
-                yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(np.full(len(met), piece)), _blobs(key[order], at), pa.nulls(len(met), pa.binary())], ["shard", "piece", "keys", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(np.full(len(met), piece)), _blobs(key[order], at, True), pa.nulls(len(met), pa.binary())], ["shard", "piece", "keys", "n"])
 
     return run
 
@@ -430,9 +447,9 @@ def _answer(depth: int, top: list[dict], ends: list):
                 return pa.RecordBatch.from_arrays([pa.array([p for p, _ in held], pa.int64()), pa.array(np.full(len(held), shard, np.int32)), _blobs(cost, at)], ["piece", "shard", "cost"])  # noqa: B023
 
             for r in rows:  # the model's row is the first
-                key = np.frombuffer(r["keys"], np.uint64)
+                key = _unpack(r["keys"], np.uint64, True)
                 if r["piece"] < 0:
-                    tree = Tree([*above, *build(_kept(key, np.frombuffer(r["n"], np.int64), split, depth), split, ends)])
+                    tree = Tree([*above, *build(_kept(key, _unpack(r["n"], np.int64), split, depth), split, ends)])
                     continue
                 tree = tree or Tree(above)
                 held.append((r["piece"], key))
@@ -460,7 +477,7 @@ def _apply(words: tuple[np.ndarray, np.ndarray], depth: int, shards: int):
             keys = _distinct(texts, depth)
             order, met, _ = _dealt(keys, depth, shards)
             costs, place = np.empty(len(keys)), Vocabulary(keys + np.uint64(1))
-            costs[order] = np.concatenate([np.frombuffer(answers[s], np.float32) for s in met.tolist()])
+            costs[order] = np.concatenate([np.zeros(0, np.float32), *[_unpack(answers[s], np.float32) for s in met.tolist()]])
             for lo, hi in pieces(texts, 1 << 19):
                 data, off = _text(texts.slice(lo, hi - lo))
                 key, begin = framed(data, off, depth)
@@ -490,9 +507,9 @@ def lm_scores(docs: DataFrame, training: Column, depth: int = DEPTH, nodes: int
     docs = docs.withColumn("_own", training).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "_own")
     train = docs.where("_own").select("text")
     staged = saved(docs.select("doc_id", "text").mapInArrow(_packed, "piece long, ids array<long>, texts array<string>, size long"), "pieces")
-    # shards grow with the texts, so that each holds about one piece's share of them
+    # shards grow with the texts, so that each stands for about as many bytes
     shards = SHARDS
-    while shards * PIECE < (staged.agg(F.sum("size")).first()[0] or 0):
+    while shards * SHARD < (staged.agg(F.sum("size")).first()[0] or 0):
         shards *= 2
     runs = train.mapInArrow(_count(depth, shards), "shard int, keys binary, n binary")
     table = saved(runs.repartition("shard").sortWithinPartitions("shard").mapInArrow(_gather, "shard int, keys binary, n binary"), "model")
