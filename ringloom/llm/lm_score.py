@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ringloom.llm.common import LOWER, SPACE, lean, mix, pieces, saved, text_bytes, word_hashes, word_spans
+from ringloom.llm.common import LOWER, SPACE, lean, mix, pieces, release, saved, text_bytes, word_hashes, word_spans
 from ringloom.llm.language_id import Vocabulary
 
 DEPTH, NODES, LEAST = 6, 1 << 18, 2
@@ -513,9 +513,12 @@ def lm_scores(docs: DataFrame, training: Column, depth: int = DEPTH, nodes: int
         shards *= 2
     runs = train.mapInArrow(_count(depth, shards), "shard int, keys binary, n binary")
     table = saved(runs.repartition("shard").sortWithinPartitions("shard").mapInArrow(_gather, "shard int, keys binary, n binary"), "model")
+    del runs
     top, ends = _top(table, depth)
+    release(docs.sparkSession)
     words = saved(train.mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    release(docs.sparkSession)
     least = max(1, -(-tokens // nodes))
     got = words.where(F.col("n") >= least).toArrow()
     often = got.column("key").to_numpy().view(np.uint64), got.column("n").to_numpy()
@@ -524,7 +527,10 @@ def lm_scores(docs: DataFrame, training: Column, depth: int = DEPTH, nodes: int
     costs = asked.repartition("shard").sortWithinPartitions("shard", "piece").mapInArrow(_answer(depth, top, ends), "piece long, shard int, cost binary")
     first = staged.select("piece", "ids", "texts").groupBy("piece").cogroup(costs.groupBy("piece"))
     first = first.applyInArrow(_apply(often, depth, shards), "doc_id long, n_bytes long, n_tokens long, met long, base double, score double, rest array<long>")
-    first = saved(first, "first").withColumn("rid", F.monotonically_increasing_id())
+    first = saved(first, "first")
+    del asked, costs
+    release(docs.sparkSession)
+    first = first.withColumn("rid", F.monotonically_increasing_id())
     rest = first.select("rid", F.explode("rest").alias("key")).join(words.where(F.col("n") < least), "key")
     rest = rest.groupBy("rid").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("part"))
     out = first.drop("rest").join(rest, "rid", "left")
