@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import gc
 import os
 import tempfile
 import uuid
@@ -100,13 +99,6 @@ def trim() -> None:
         pass
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of results that nothing refers to any more; it finds
-    them when the driver collects its garbage, which may otherwise take long."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back, which cuts
     the lineage: a lost executor costs a re-read, not a recomputation."""
