@@ -18,10 +18,12 @@ the path that met it holds, and one half where none did. Bit probabilities are
 rounded to 16 bits, so the code stays exact.
 
 Place. The model is a table in the shared folder, dealt into shards by the hash of the
-``SPLIT`` bytes nearest to the predicted one, so that a shard has whole subtrees. Only the
+``SPLIT`` bytes nearest to the predicted one, so that a shard has whole subtrees; a large shard is
+built some subtrees at a time. Only the
 depths below ``SPLIT`` are built on the driver and broadcast (at most 2^24 runs). Texts are
-packed into rows of about ``PIECE`` bytes; each asks the shards for its distinct runs,
-and their costs come back to it. Runs travel as sorted arrays, packed by differences, not as rows.
+packed into pieces of about ``PIECE`` bytes; each asks the shards for its distinct runs,
+and their costs come back to it. Runs travel as sorted arrays, packed by differences, not as rows,
+and texts compressed, in rows of about ``CHUNK`` bytes, so that no group is held by Spark at once.
 
 Base. Sum over tokens of log10((c + 1) / (N + V + 1)). Counts of frequent words
 (at least one in ``nodes`` of all tokens, thus at most ``nodes`` words) are
@@ -48,10 +50,12 @@ from ringloom.llm.language_id import Vocabulary
 
 DEPTH, NODES, LEAST = 6, 1 << 18, 2
 SPLIT, SHARDS = 3, 32
-#: Bytes of text that ask together, and bytes of training text that a shard stands for.
-PIECE, SHARD = 1 << 22, 1 << 21
+#: Bytes of text in a row, that ask together, and of training text that a shard stands for.
+CHUNK, PIECE, SHARD = 1 << 20, 1 << 23, 1 << 22
 END = np.uint64(0x5E0F7E87)  # the end token's place among word hashes
 KEEP = 1 << 20  # rows of counts that a task holds before it passes them on
+HELD = 1 << 21  # the same of runs
+PART = 1 << 18  # runs of a shard that are built at once, but for those of one context of SPLIT bytes
 _EIGHT = np.uint64(8)
 
 
@@ -131,9 +135,9 @@ def _count(depth: int, shards: int):
         for batch in batches:
             for lo, hi in pieces(batch.column("text")):
                 held.append(np.unique(framed(*_text(batch.column("text").slice(lo, hi - lo)), depth)[0], return_counts=True))
-                if sum(len(k) for k, _ in held) > KEEP:
+                if sum(len(k) for k, _ in held) > HELD:
                     held = [_merged(held)]
-                    if len(held[0][0]) > KEEP // 2:
+                    if len(held[0][0]) > HELD // 2:
                         yield rows(held)
                         held = []
         if held:
@@ -327,6 +331,29 @@ def _kept(key: np.ndarray, n: np.ndarray, first: int, last: int) -> list[tuple[n
     return out[::-1]
 
 
+def _parts(key: np.ndarray, n: np.ndarray, depth: int, shards: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A shard's runs and counts in whole subtrees, about PART runs at a time."""
+    parts = -(-len(key) // PART)
+    if parts < 2:
+        yield key, n
+        return
+    own = mix(key >> _EIGHT & np.uint64((1 << (8 * min(SPLIT, depth))) - 1)) // np.uint64(shards) % np.uint64(parts)
+    for i in range(parts):
+        yield key[own == i], n[own == i]
+
+
+def _built(key: np.ndarray, n: np.ndarray, depth: int, shards: int, ends: list) -> list[dict]:
+    """The model of a shard's depths."""
+    split = min(SPLIT, depth)
+    made = [build(_kept(k, c, split, depth), split, ends) for k, c in _parts(key, n, depth, shards)]
+    out = []
+    for level in zip(*made, strict=True):
+        x = {c: np.concatenate([y[c] for y in level]) for c in ("keys", "final", "stop")}
+        order = np.argsort(x["keys"], kind="stable")
+        out.append({c: v[order] for c, v in x.items()} if len(level) > 1 else x)
+    return out
+
+
 def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[dict]]]:
     """(shard, its rows) of rows sorted by shard."""
     return groupby((r for batch in batches for part in range(batch.num_rows) for r in batch.slice(part, 1).to_pylist()), lambda r: r["shard"])
@@ -346,7 +373,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([_pack(key, True)], pa.binary()), pa.array([_pack(n)], pa.binary())], ["shard", "keys", "n"])
 
 
-def _roots(depth: int):
+def _roots(depth: int, shards: int):
     """What the depths above the shards need of them: counts of runs (j = -1), and by bit the
     zeros, ones and weights of the shards' highest nodes, summed by their parents."""
     split = min(SPLIT, depth)
@@ -355,23 +382,23 @@ def _roots(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                key, n = _unpack(r["keys"], np.uint64, True), _unpack(r["n"], np.int64)
-                own, c = _merged([(key & _mask(split - 1), n)])
-                parts = [(np.full(len(own), -1), own, c.astype(float), np.zeros(len(own)), np.zeros(len(own)))]
-                levels = _kept(key, n, split, depth)
-                for j in range(8):
-                    x = _weighed(levels, j, split)[0]
-                    up, at = np.unique(x["prefix"] & (_mask(split - 1) >> np.uint64(8 - j)), return_inverse=True)
-                    parts.append((np.full(len(up), j), up, *(np.bincount(at, x[v], minlength=len(up)) for v in ("zero", "one", "pw"))))
-                j, prefix, zero, one, pw = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(j.astype(np.int8)), pa.array(prefix.view(np.int64)), pa.array(zero), pa.array(one), pa.array(pw)], ["j", "prefix", "zero", "one", "pw"])
+                for key, n in _parts(_unpack(r["keys"], np.uint64, True), _unpack(r["n"], np.int64), depth, shards):
+                    own, c = _merged([(key & _mask(split - 1), n)])
+                    parts = [(np.full(len(own), -1), own, c.astype(float), np.zeros(len(own)), np.zeros(len(own)))]
+                    levels = _kept(key, n, split, depth)
+                    for j in range(8):
+                        x = _weighed(levels, j, split)[0]
+                        up, at = np.unique(x["prefix"] & (_mask(split - 1) >> np.uint64(8 - j)), return_inverse=True)
+                        parts.append((np.full(len(up), j), up, *(np.bincount(at, x[v], minlength=len(up)) for v in ("zero", "one", "pw"))))
+                    j, prefix, zero, one, pw = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(j.astype(np.int8)), pa.array(prefix.view(np.int64)), pa.array(zero), pa.array(one), pa.array(pw)], ["j", "prefix", "zero", "one", "pw"])
 
     return run
 
 
-def _top(table: DataFrame, depth: int) -> tuple[list[dict], list]:
+def _top(table: DataFrame, depth: int, shards: int) -> tuple[list[dict], list]:
     """The model of the depths above the shards, and its lowest nodes by bit."""
-    roots = table.mapInArrow(_roots(depth), "j byte, prefix long, zero double, one double, pw double")
+    roots = table.mapInArrow(_roots(depth, shards), "j byte, prefix long, zero double, one double, pw double")
     exact = F.sum(F.col("pw").cast("decimal(28,9)")).cast("double")  # alike in any order
     got = saved(roots.groupBy("j", "prefix").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"), exact.alias("pw")), "roots").toArrow()
     j, key = got.column("j").to_numpy(), got.column("prefix").to_numpy().view(np.uint64)
@@ -385,25 +412,25 @@ def _top(table: DataFrame, depth: int) -> tuple[list[dict], list]:
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents in rows of about PIECE bytes, numbered by task."""
-    made, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
-
-    def row() -> pa.RecordBatch:
-        nonlocal made, ids, texts, size
-        out = pa.RecordBatch.from_arrays([pa.array([made], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.string())), pa.array([size], pa.int64())], ["piece", "ids", "texts", "size"])
-        made, ids, texts, size = made + 1, [], [], 0
-        return out
-
+    """Lower-cased texts in compressed rows of about CHUNK bytes; about PIECE bytes of a task make a piece."""
+    piece, size = TaskContext.get().partitionId() << 32, 0
     for batch in batches:
-        for i, t in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-            n = t.as_buffer().size if t.is_valid else 0
+        for lo, hi in pieces(batch.column("text"), CHUNK):
+            data, off = _text(batch.column("text").slice(lo, hi - lo))
+            n = len(data) + hi - lo
             if size and size + n > PIECE:
-                yield row()
-            ids.append(i.as_py())
-            texts.append(t.as_py())
-            size += n + 1
-    if ids:
-        yield row()
+                piece, size = piece + 1, 0
+            size += n
+            ids = pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), batch.column("doc_id").slice(lo, hi - lo))
+            blob = pa.Codec("zstd", 3).compress(data.tobytes(), asbytes=True)
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int64()), ids, pa.array([off.tobytes()], pa.binary()), pa.array([blob], pa.binary()), pa.array([n], pa.int64())], ["piece", "ids", "off", "texts", "size"])
+
+
+def _chunk(off: bytes, texts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and row offsets of a row of _packed."""
+    off = np.frombuffer(off, np.int64)
+    data = pa.decompress(texts, decompressed_size=int(off[-1]), codec="zstd", asbytes=True) if off[-1] else b""
+    return np.frombuffer(data, np.uint8), off
 
 
 def _sorted(x: np.ndarray) -> np.ndarray:
@@ -412,28 +439,35 @@ def _sorted(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
-def _distinct(texts: pa.Array, depth: int) -> np.ndarray:
+def _distinct(chunks: list[tuple[bytes, bytes]], depth: int) -> np.ndarray:
+    """Sorted distinct runs of the rows (off, texts) of a piece."""
     held: list = [np.zeros(0, np.uint64)]
-    for lo, hi in pieces(texts):
-        held.append(_sorted(framed(*_text(texts.slice(lo, hi - lo)), depth)[0]))
+    for x in chunks:
+        held.append(_sorted(framed(*_chunk(*x), depth)[0]))
+        if len(held) > 3:  # what rows share is kept once
+            held = [_sorted(np.concatenate(held))]
     return _sorted(np.concatenate(held))
 
 
+def _by_piece(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[int, list[tuple]]]:
+    """(piece, the named values of its rows) of rows that stand together by piece."""
+    rows = ((batch.column("piece")[i].as_py(), tuple(batch.column(c)[i].as_py() for c in names)) for batch in batches for i in range(batch.num_rows))
+    for piece, own in groupby(rows, lambda r: r[0]):
+        yield piece, [x for _, x in own]
+
+
 def _ask(depth: int, shards: int):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, piece in enumerate(batch.column("piece").to_pylist()):
-                key = _distinct(batch.column("texts")[i].values, depth)
-                order, met, at = _dealt(key, depth, shards)
-                yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(np.full(len(met), piece)), _blobs(key[order], at, True), pa.nulls(len(met), pa.binary())], ["shard", "piece", "keys", "n"])
+        for piece, chunks in _by_piece(batches, "off", "texts"):
+            key = _distinct(chunks, depth)
+            order, met, at = _dealt(key, depth, shards)
+            yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(np.full(len(met), piece)), _blobs(key[order], at, True), pa.nulls(len(met), pa.binary())], ["shard", "piece", "keys", "n"])
 
     return run
 
 
-def _answer(depth: int, top: list[dict], ends: list):
-    split = min(SPLIT, depth)
-
+def _answer(depth: int, shards: int, top: list[dict], ends: list):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         above = Tree(top).levels
@@ -449,7 +483,7 @@ def _answer(depth: int, top: list[dict], ends: list):
             for r in rows:  # the model's row is the first
                 key = _unpack(r["keys"], np.uint64, True)
                 if r["piece"] < 0:
-                    tree = Tree([*above, *build(_kept(key, _unpack(r["n"], np.int64), split, depth), split, ends)])
+                    tree = Tree([*above, *_built(key, _unpack(r["n"], np.int64), depth, shards, ends)])
                     continue
                 tree = tree or Tree(above)
                 held.append((r["piece"], key))
@@ -464,24 +498,25 @@ def _answer(depth: int, top: list[dict], ends: list):
 
 
 def _apply(words: tuple[np.ndarray, np.ndarray], depth: int, shards: int):
-    made: list = []
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not made:
-            made.extend((Vocabulary(words[0] + np.uint64(1)), np.append(np.log10(words[1] + 1.0), 0.0)))  # the last entry stands for words not among them
-        known, logs = made
-        answers = dict(zip(right.column("shard").to_pylist(), right.column("cost").to_pylist(), strict=True))
-        out = []
-        for ids, texts in zip(left.column("ids").combine_chunks(), left.column("texts").combine_chunks(), strict=True):
-            ids, texts = ids.values, texts.values
-            keys = _distinct(texts, depth)
+    """Scores of rows sorted by piece, its texts and the shards' answers."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, logs = Vocabulary(words[0] + np.uint64(1)), np.append(np.log10(words[1] + 1.0), 0.0)  # the last entry stands for words not among them
+        for _, rows in _by_piece(batches, "shard", "cost", "ids", "off", "texts"):
+            answers = {shard: cost for shard, cost, *_ in rows if cost is not None}
+            chunks = [x for _, cost, *x in rows if cost is None]
+            del rows
+            keys = _distinct([(off, texts) for _, off, texts in chunks], depth)
             order, met, _ = _dealt(keys, depth, shards)
-            costs, place = np.empty(len(keys)), Vocabulary(keys + np.uint64(1))
-            costs[order] = np.concatenate([np.zeros(0, np.float32), *[_unpack(answers[s], np.float32) for s in met.tolist()]])
-            for lo, hi in pieces(texts, 1 << 19):
-                data, off = _text(texts.slice(lo, hi - lo))
+            costs = np.empty(len(keys))
+            costs[order] = np.concatenate([np.zeros(0, np.float32), *[_unpack(answers.pop(s), np.float32) for s in met.tolist()]])
+            # a table of many runs would take more memory than the time it saves is worth
+            find = Vocabulary(keys + np.uint64(1)).find if len(keys) < HELD else lambda k: np.searchsorted(keys, k - np.uint64(1))  # noqa: B023
+            for ids, *x in chunks:
+                data, off = _chunk(*x)
                 key, begin = framed(data, off, depth)
-                score = np.add.reduceat(costs[place.find(key + np.uint64(1))], begin[:-1])
+                score = np.add.reduceat(costs[find(key + np.uint64(1))], begin[:-1])
                 starts, ends, first = word_spans(data, off, SPACE)
                 at = first[1:] + np.arange(len(first) - 1)
                 h = np.insert(word_hashes(data, starts, ends), first[1:], END)
@@ -491,11 +526,10 @@ def _apply(words: tuple[np.ndarray, np.ndarray], depth: int, shards: int):
                 base = np.add.reduceat(logs[col], first[:-1])
                 met = np.add.reduceat(hit.astype(np.int64), first[:-1])
                 rest = np.concatenate([[0], np.cumsum(~hit)])[first]
-                out.append(pa.table([
-                    ids.slice(lo, hi - lo), pa.array(np.diff(off)), pa.array(np.diff(first)), pa.array(met), pa.array(base), pa.array(score),
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(ids, pa.int64()), pa.array(np.diff(off)), pa.array(np.diff(first)), pa.array(met), pa.array(base), pa.array(score),
                     pa.ListArray.from_arrays(pa.array(rest.astype(np.int32)), pa.array(h[~hit].view(np.int64))),
-                ], ["doc_id", "n_bytes", "n_tokens", "met", "base", "score", "rest"]))
-        return pa.concat_tables(out)
+                ], ["doc_id", "n_bytes", "n_tokens", "met", "base", "score", "rest"])
 
     return run
 
@@ -506,24 +540,25 @@ def lm_scores(docs: DataFrame, training: Column, depth: int = DEPTH, nodes: int
     training: which documents to learn from."""
     docs = docs.withColumn("_own", training).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "_own")
     train = docs.where("_own").select("text")
-    staged = saved(docs.select("doc_id", "text").mapInArrow(_packed, "piece long, ids array<long>, texts array<string>, size long"), "pieces")
+    staged = saved(docs.select("doc_id", "text").mapInArrow(_packed, "piece long, ids array<long>, off binary, texts binary, size long"), "pieces")
     # shards grow with the texts, so that each stands for about as many bytes
     shards = SHARDS
     while shards * SHARD < (staged.agg(F.sum("size")).first()[0] or 0):
         shards *= 2
     runs = train.mapInArrow(_count(depth, shards), "shard int, keys binary, n binary")
     table = saved(runs.repartition("shard").sortWithinPartitions("shard").mapInArrow(_gather, "shard int, keys binary, n binary"), "model")
-    top, ends = _top(table, depth)
+    top, ends = _top(table, depth, shards)
     words = saved(train.mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least = max(1, -(-tokens // nodes))
     got = words.where(F.col("n") >= least).toArrow()
     often = got.column("key").to_numpy().view(np.uint64), got.column("n").to_numpy()
-    asked = staged.select("piece", "texts").mapInArrow(_ask(depth, shards), "shard int, piece long, keys binary, n binary")
+    asked = staged.select("piece", "off", "texts").mapInArrow(_ask(depth, shards), "shard int, piece long, keys binary, n binary")
     asked = table.select("shard", F.lit(-1).cast("long").alias("piece"), "keys", "n").union(asked)
-    costs = asked.repartition("shard").sortWithinPartitions("shard", "piece").mapInArrow(_answer(depth, top, ends), "piece long, shard int, cost binary")
-    first = staged.select("piece", "ids", "texts").groupBy("piece").cogroup(costs.groupBy("piece"))
-    first = first.applyInArrow(_apply(often, depth, shards), "doc_id long, n_bytes long, n_tokens long, met long, base double, score double, rest array<long>")
+    costs = asked.repartition("shard").sortWithinPartitions("shard", "piece").mapInArrow(_answer(depth, shards, top, ends), "piece long, shard int, cost binary")
+    texts = staged.select("piece", F.lit(-1).alias("shard"), F.lit(None).cast("binary").alias("cost"), "ids", "off", "texts")
+    first = texts.unionByName(costs, allowMissingColumns=True).repartition("piece").sortWithinPartitions("piece", "shard")
+    first = first.mapInArrow(_apply(often, depth, shards), "doc_id long, n_bytes long, n_tokens long, met long, base double, score double, rest array<long>")
     first = saved(first, "first").withColumn("rid", F.monotonically_increasing_id())
     rest = first.select("rid", F.explode("rest").alias("key")).join(words.where(F.col("n") < least), "key")
     rest = rest.groupBy("rid").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("part"))
