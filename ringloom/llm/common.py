@@ -67,18 +67,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, size: str = "8m"):
-    """Arrow batches of at most ``size`` while it lasts: long texts and sets are held
-    by the JVM and a Python worker at once, whose memory is small."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+def setting(spark: SparkSession, key: str, value: str):
+    """A setting of the session while it lasts."""
     before = spark.conf.get(key)
-    spark.conf.set(key, size)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def small_batches(spark: SparkSession, size: str = "8m"):
+    """Arrow batches of at most ``size`` while it lasts: long texts and sets are held
+    by the JVM and a Python worker at once, whose memory is small."""
+    return setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def lean(run):
     """A function over Arrow batches that gives freed memory back to the system when it
     ends: its worker lives on beside those of later stages."""
@@ -101,11 +105,11 @@ def trim() -> None:
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back, which cuts
-    the lineage: a lost executor costs a re-read, not a recomputation."""
+    the lineage: a lost executor costs a re-read, not a recomputation. The shuffle files made for it go at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ringloom/{name}-{uuid.uuid4().hex}"
-    with small_batches(spark):
-        df.write.parquet(path)
+    with small_batches(spark), setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.option("compression", "zstd").parquet(path)
     atexit.register(dropped, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,6 +1,7 @@
 """What a task, a worker and the disk hold at once."""
 
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -44,3 +45,18 @@ def test_lm_score_shard_in_parts(monkeypatch):
     parts = lm_score._built(key, n, 6, 1, ends)
     assert sum(len(x["keys"]) for x in whole) > 1000
     assert all((a[c] == b[c]).all() for a, b in zip(whole, parts, strict=True) for c in a)
+
+
+def test_saved_leaves_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def there():
+        files = disk.getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before = there()
+    assert len(saved(spark.range(1000).repartition(7), "shuffled").collect()) == 1000
+    until = time.time() + 10
+    while there() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not there() - before
