@@ -32,7 +32,7 @@ def ship(spark: SparkSession) -> SparkSession:
     spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if size_of(spark.conf.get(key)) > 1 << 26:
-        spark.conf.set(key, "8m")
+        spark.conf.set(key, "2m")
     return spark
 
 
@@ -77,7 +77,7 @@ def setting(spark: SparkSession, key: str, value: str):
         spark.conf.set(key, before)
 
 
-def small_batches(spark: SparkSession, size: str = "8m"):
+def small_batches(spark: SparkSession, size: str = "2m"):
     """Arrow batches of at most ``size`` while it lasts: long texts and sets are held
     by the JVM and a Python worker at once, whose memory is small."""
     return setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", size)

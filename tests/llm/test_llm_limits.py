@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ringloom.llm import lm_score
-from ringloom.llm.common import saved
+from ringloom.llm.common import saved, ship, size_of
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -60,3 +60,20 @@ def test_saved_leaves_no_shuffle_files(spark):
     while there() - before and time.time() < until:
         time.sleep(0.1)
     assert not there() - before
+
+
+def test_batches_are_small(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "256m")
+        assert size_of(ship(spark).conf.get(key)) <= 1 << 21
+    finally:
+        spark.conf.set(key, was)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    texts = spark.range(0, 100, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
+    assert saved(texts.mapInArrow(sizes, "n long"), "sizes").agg(F.max("n")).first()[0] <= 5 << 19
