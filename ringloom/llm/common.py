@@ -124,6 +124,13 @@ def dropped(spark: SparkSession, path: str) -> None:
         pass
 
 
+def done(df: DataFrame) -> None:
+    """Removes the folder of a table that saved() gave and nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        dropped(df.sparkSession, os.path.dirname(files[0]))
+
+
 #: Bits of the bitmap of without(); 2 MB at any input size.
 BITMAP = 1 << 24
 

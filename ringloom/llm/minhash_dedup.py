@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ringloom.llm.common import GOLD, LOWER, SPACE, components, lean, mix, pieces, row_sets, saved, shingles, text_bytes, whole_groups, word_hashes, word_spans
+from ringloom.llm.common import GOLD, LOWER, SPACE, components, done, lean, mix, pieces, row_sets, saved, shingles, text_bytes, whole_groups, word_hashes, word_spans
 
 ROWS, BANDS = 6, 42
 #: Ranges of a sketch and of its summary; members of a block; pairs that a copy of a hub's set serves.
@@ -322,6 +322,7 @@ def near_links(signed: DataFrame, docs: DataFrame, k: int, percent: int = 80) ->
     slots = banded.withColumn("slots", F.transform("keys", lambda k: F.pmod(F.xxhash64(k), F.lit(BITMAP)).cast("int")))
     members = slots.mapInArrow(_members(_bitmap(size.select("key"))), "key long, doc_id long, n_shingles long")
     members = saved(members.join(size, "key"), "met")
+    done(banded)
     weight = members.groupBy("doc_id").agg(F.sum("n").alias("weight"))
     members = saved(members.drop("n").join(weight, "doc_id"), "buckets")
     sets = saved(member_sets(docs, weight.select("doc_id"), k), "sets")

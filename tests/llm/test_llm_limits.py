@@ -1,5 +1,6 @@
 """What a task, a worker and the disk hold at once."""
 
+import os
 import random
 import time
 
@@ -8,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ringloom.llm import lm_score
-from ringloom.llm.common import saved, ship, size_of
+from ringloom.llm.common import saved, shared_dir, ship, size_of
+from ringloom.llm.minhash_dedup import near_duplicates
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -77,3 +79,13 @@ def test_batches_are_small(spark):
 
     texts = spark.range(0, 100, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
     assert saved(texts.mapInArrow(sizes, "n long"), "sizes").agg(F.max("n")).first()[0] <= 5 << 19
+
+
+def test_near_duplicates_drops_its_signatures(spark):
+    """The banded signatures go as soon as the bucket members are known."""
+    base = shared_dir(spark).removeprefix("file:") + "/ringloom"
+    there = lambda: {p for p in os.listdir(base) if p.startswith("banded-")} if os.path.isdir(base) else set()
+    before = there()
+    docs = spark.createDataFrame([(i, " ".join(WORDS[i // 2 * 20 : i // 2 * 20 + 20])) for i in range(12)], "doc_id long, text string")
+    assert {r["component_id"] for r in near_duplicates(docs, k=2).collect()} == {0, 2, 4, 6, 8, 10}
+    assert not there() - before
