@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringloom.functions.sequence import exon_length, exon_text, joined
-from ringloom.operators.junctions import EXON_TOL, HANG, absorb_sites, snap_to_genes
+from ringloom.operators.junctions import EXON_TOL, HANG, absorb_sites, nearest_of_genes, snap_to_genes
 from ringloom.operators.reads import fusion_loci
 from ringloom.operators.relational import band_join, mode_of, top_row
+from ringloom.operators.storage import materialised
 
 SITE = ["chr", "strand", "start_pos", "end_pos"]
 
@@ -30,12 +31,18 @@ def snapped(iso: DataFrame, key: Sequence[str], gtf: DataFrame, tol: int = EXON_
     """iso (key, chr, strand, exons) with every exon moved to the nearest bounds of the best gene that has
     bounds within tol of both its ends; the outer bounds stay as they are."""
     x = iso.select(*key, "chr", "strand", F.posexplode("exons").alias("j", "x")).select(*key, "chr", "strand", "j", F.col("x.start").alias("s"), F.col("x.end").alias("e"))
+    return iso.drop("exons").join(_snapped_exons(x, key, gtf, tol).drop("chr", "strand"), list(key))
+
+
+def _snapped_exons(x: DataFrame, key: Sequence[str], gtf: DataFrame, tol: int) -> DataFrame:
+    """key, chr, strand, exons from rows of exons (key, chr, strand, j, s, e), snapped but for the outer bounds."""
     kinds = x.select(F.lit(0).alias("query_id"), "chr", "strand", F.col("s").alias("start_pos"), F.col("e").alias("end_pos")).distinct()
     to = snap_to_genes(kinds, gtf, tol).select("chr", "strand", F.col("start_pos").alias("s"), F.col("end_pos").alias("e"), "snap_start", "snap_end")
-    moved = _regrouped(x.join(to, ["chr", "strand", "s", "e"], "left"), key, F.coalesce("snap_start", "s"), F.coalesce("snap_end", "e"), "_moved")
-    n = F.size("exons")
-    outer = F.transform("_moved", lambda v, i: _exon(F.when(i == 0, F.get("exons", F.lit(0))["start"]).otherwise(v["start"]), F.when(i == n - 1, F.get("exons", n - 1)["end"]).otherwise(v["end"])))
-    return iso.join(moved, list(key)).withColumn("exons", outer).drop("_moved")
+    d = x.join(to, ["chr", "strand", "s", "e"], "left")
+    d = d.groupBy(*key, "chr", "strand").agg(F.array_sort(F.collect_list(F.struct("j", "s", "e", F.coalesce("snap_start", "s").alias("s2"), F.coalesce("snap_end", "e").alias("e2")))).alias("_a"))
+    last = F.size("_a") - 1
+    exons = F.transform("_a", lambda v, i: _exon(F.when(i == 0, v["s"]).otherwise(v["s2"]), F.when(i == last, v["e"]).otherwise(v["e2"])))
+    return d.select(*key, "chr", "strand", exons.alias("exons"))
 
 
 def to_confident(iso: DataFrame, tol: int = EXON_TOL) -> DataFrame:
@@ -121,14 +128,16 @@ def fusion_structure(aln: DataFrame, gtf: DataFrame, tol: int = EXON_TOL, least:
     each exon; exons of a span up to ``least`` go, the others are snapped. The strand is
     the more frequent one of these alignments. Reads without both loci go; of
     two loci on one chromosome the one that starts first is locus 1."""
+    # all of a read is dealt out once: windows and groups within it need no other shuffle
     d = fusion_loci(aln).withColumn("m", F.size("exons"))
     key = ["query_id", "locus"]
-    best = d.groupBy(*key).agg(F.max(F.struct("m", "exon_len")).alias("b"))
-    d = d.join(best, key).where("m = b.m and exon_len = b.exon_len")
-    strand = d.groupBy(*key).agg(F.min("chr").alias("chr"), F.when(F.sum(F.when(F.col("strand") == "+", 1).otherwise(-1)) >= 0, "+").otherwise("-").alias("strand"))
-    x = d.select(*key, F.posexplode("exons").alias("j", "x")).select(*key, "j", F.col("x.start").alias("s"), F.col("x.end").alias("e"))
-    voted = mode_of(x, [*key, "j"], ["s", "e"]).where(F.col("e") - F.col("s") > least)
-    loci = snapped(_regrouped(voted, key, F.col("s"), F.col("e"), "exons").join(strand, key), key, gtf, tol).withColumn("exons", F.array_sort("exons"))
+    w = Window.partitionBy(*key)
+    d = d.withColumn("b", F.max(F.struct("m", "exon_len")).over(w)).where("m = b.m and exon_len = b.exon_len")
+    plus = F.sum(F.when(F.col("strand") == "+", 1).otherwise(-1)).over(w) >= 0
+    d = d.select(*key, F.min("chr").over(w).alias("chr"), F.when(plus, "+").otherwise("-").alias("strand"), F.posexplode("exons").alias("j", "x"))
+    x = d.select(*key, "chr", "strand", "j", F.col("x.start").alias("s"), F.col("x.end").alias("e"))
+    voted = materialised(mode_of(x, [*key, "chr", "strand", "j"], ["s", "e"]).where(F.col("e") - F.col("s") > least).drop("n"))
+    loci = _snapped_exons(voted, key, gtf, tol).withColumn("exons", F.array_sort("exons"))
     loci = loci.withColumn("first", F.get("exons", F.lit(0))["start"])
     w = Window.partitionBy("query_id")
     loci = loci.withColumn("n", F.count("*").over(w)).where("n = 2")
@@ -139,41 +148,59 @@ def fusion_structure(aln: DataFrame, gtf: DataFrame, tol: int = EXON_TOL, least:
 def locus_genes(exons: DataFrame, key: Sequence[str], gtf: DataFrame, tol: int = EXON_TOL) -> DataFrame:
     """key, genes: the sorted names (else ids) of all genes that have bounds within tol of both ends of
     one exon (key, chr, strand, s, e), on its strand or an unknown one, joined by commas."""
-    kinds = exons.select("chr", "strand", "s", "e").distinct()
+    both = exon_genes(exons.select("chr", "strand", "s", "e").distinct(), gtf, tol)
+    return exons.join(both, ["chr", "strand", "s", "e"]).groupBy(*key).agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))), ",").alias("genes"))
+
+
+def exon_genes(kinds: DataFrame, gtf: DataFrame, tol: int) -> DataFrame:
+    """Distinct exons (chr, strand, s, e) with ``names`` of the genes that have bounds within tol of both ends; the
+    others are left out."""
     any_ = F.when(F.col("strand") == ".", F.array(*map(F.lit, "+-."))).otherwise(F.array("strand"))
-    rows = gtf.withColumn("strand", F.explode(any_))
-    sites = ["chr", "strand", "s", "e", "gene_id"]
-    start = band_join(kinds, rows.select("chr", "strand", "gene_id", F.col("start_pos").alias("b")).distinct(), ["chr", "strand"], "s", "b", tol).select(*sites).distinct()
-    end = band_join(kinds, rows.select("chr", "strand", "gene_id", F.col("end_pos").alias("b")).distinct(), ["chr", "strand"], "e", "b", tol).select(*sites).distinct()
+    rows = gtf.where("gene_id is not null").withColumn("strand", F.explode(any_))
+    sites = ["chr", "strand", "s", "e"]
+    start = nearest_of_genes(kinds.select("chr", "strand", F.col("s").alias("start_pos")), rows, "start_pos", tol).select("chr", "strand", F.col("start_pos").alias("s"), F.col("near.gene_id").alias("_s"))
+    end = nearest_of_genes(kinds.select("chr", "strand", F.col("e").alias("end_pos")), rows, "end_pos", tol).select("chr", "strand", F.col("end_pos").alias("e"), F.col("near.gene_id").alias("_e"))
+    both = kinds.join(start, ["chr", "strand", "s"]).join(end, ["chr", "strand", "e"]).select(*sites, F.explode(F.array_intersect("_s", "_e")).alias("gene_id"))
     name = F.min(F.when(F.col("gene_name") != "", F.col("gene_name"))) if "gene_name" in gtf.columns else F.lit(None)
     names = gtf.groupBy("gene_id").agg(F.coalesce(name, "gene_id").alias("name"))
-    both = start.join(end, sites).join(names, "gene_id").select("chr", "strand", "s", "e", "name")
-    return exons.join(both, ["chr", "strand", "s", "e"]).groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("genes"))
+    return both.join(names, "gene_id").groupBy(*sites).agg(F.collect_set("name").alias("names"))
 
 
 def fusion_table(loci: DataFrame, gtf: DataFrame, flank, tol: int = EXON_TOL) -> DataFrame:
     """The 26 columns of the fusion table, a row per isoform of a fusion, from the reads' loci
     (fusion_structure). flank: adds the column name with the two bases that begin at the 0-based
     position column, flank(rows, position, name)."""
-    loci = loci.withColumn("text", F.concat("chr", F.lit(":"), exon_text(F.col("exons")), F.lit(":"), "strand"))
-    start, end = F.get("exons", F.lit(0))["start"], F.element_at("exons", -1)["end"]
-    loci = loci.withColumn("id", F.concat("chr", F.lit(":"), start.cast("string"), F.lit("-"), end.cast("string"), F.lit(":"), "strand"))
-    side = lambda i, c: F.max(F.when(F.col("locus") == i, F.col(c))).alias(f"{c}_{i}")
-    reads = loci.groupBy("query_id").agg(*(side(i, c) for i in (1, 2) for c in ("id", "text")))
-    reads = reads.select("query_id", F.concat("id_1", F.lit("|"), "id_2").alias("circID"), F.concat("text_1", F.lit("|"), "text_2").alias("isoID"))
-    iso = reads.groupBy("isoID").agg(F.min("circID").alias("circID"), F.min("query_id").alias("query_id"), F.count("*").alias("readCount"), F.array_join(F.transform(F.array_sort(F.collect_list("query_id")), lambda x: x.cast("string")), ",").alias("readID"))
-    own = loci.join(iso.select("isoID", "query_id"), "query_id")
-    x = own.select("isoID", "locus", "chr", "strand", F.posexplode("exons").alias("j", "x")).select("isoID", "locus", "chr", "strand", "j", F.col("x.start").alias("s"), F.col("x.end").alias("e"))
-    genes = locus_genes(x, ["isoID", "locus"], gtf, tol)
-    x = flank(flank(x.withColumn("_b", F.col("s") - 2), "_b", "l"), "e", "r")
-    seqs = x.groupBy("isoID", "locus").agg(F.array_sort(F.collect_list(F.struct("j", "l", "r"))).alias("q"))
-    per = own.join(seqs, ["isoID", "locus"]).join(genes, ["isoID", "locus"], "left")
-    at = lambda f: joined(F.transform("exons", lambda v: v[f]))
-    parts = {
-        "chr": F.col("chr"), "start": start, "end": end, "len": exon_length(F.col("exons")), "exonNum": F.size("exons"), "exon_start": at("start"), "exon_end": at("end"),
-        "exon_leftSeq": F.array_join(F.transform("q", lambda v: v["l"]), ","), "exon_rightSeq": F.array_join(F.transform("q", lambda v: v["r"]), ","), "strand": F.col("strand"), "geneName": F.coalesce("genes", F.lit("intergenic")),
-    }
-    per = per.select("isoID", "locus", *(c.alias(n) for n, c in parts.items()))
-    for i, name in ((1, "first"), (2, "second")):
-        iso = iso.join(per.where(F.col("locus") == i).select("isoID", *(F.col(n).alias(f"{n}_{name}") for n in parts)), "isoID")
-    return iso.select("circID", "isoID", *(f"{n}_{name}" for name in ("first", "second") for n in parts), "readCount", "readID")
+    rec = F.struct("chr", "strand", "exons")
+    side = lambda i: F.max(F.when(F.col("locus") == i, rec))
+    reads = loci.groupBy("query_id").agg(side(1).alias("a"), side(2).alias("b"))
+    start, end = lambda v: F.get(v["exons"], F.lit(0))["start"], lambda v: F.element_at(v["exons"], -1)["end"]
+    text = lambda v: F.concat(v["chr"], F.lit(":"), exon_text(v["exons"]), F.lit(":"), v["strand"])
+    span = lambda v: F.concat(v["chr"], F.lit(":"), start(v).cast("string"), F.lit("-"), end(v).cast("string"), F.lit(":"), v["strand"])
+    a, b = F.col("a"), F.col("b")
+    # the first read of an isoform stands for it
+    iso = reads.withColumn("isoID", F.concat(text(a), F.lit("|"), text(b))).where("isoID is not null").groupBy("isoID").agg(
+        F.min(F.struct("query_id", "a", "b")).alias("o"), F.count("*").alias("readCount"), F.array_join(F.transform(F.array_sort(F.collect_list("query_id")), lambda x: x.cast("string")), ",").alias("readID"),
+    )
+    iso = materialised(iso.select("isoID", "o.*", "readCount", "readID"))
+    loci = iso.select("query_id", F.posexplode(F.array("a", "b")).alias("locus", "v"))
+    x = loci.select("query_id", "locus", "v.chr", "v.strand", F.posexplode("v.exons").alias("j", "x")).select("query_id", "locus", "chr", "strand", "j", F.col("x.start").alias("s"), F.col("x.end").alias("e"))
+    # genes and flanks are looked up once per distinct exon and place
+    kinds = materialised(x.select("chr", "strand", "s", "e").distinct())
+    left = flank(kinds.select("chr", "s", (F.col("s") - 2).alias("_b")).distinct(), "_b", "l").select("chr", "s", "l")
+    right = flank(kinds.select("chr", "e").distinct(), "e", "r").select("chr", "e", "r")
+    kinds = kinds.join(left, ["chr", "s"]).join(right, ["chr", "e"]).join(exon_genes(kinds, gtf, tol), ["chr", "strand", "s", "e"], "left")
+    q = x.join(kinds, ["chr", "strand", "s", "e"]).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("locus", "j", "l", "r", "names"))).alias("q"))
+    iso = iso.join(q, "query_id")
+
+    def parts(v: Column, i: int) -> dict[str, Column]:
+        own = F.filter("q", lambda r: r["locus"] == i)
+        at = lambda f: joined(F.transform(v["exons"], lambda x: x[f]))
+        base = lambda f: F.array_join(F.transform(own, lambda r: r[f]), ",")
+        genes = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.filter(F.transform(own, lambda r: r["names"]), lambda n: n.isNotNull())))), ",")
+        return {
+            "chr": v["chr"], "start": start(v), "end": end(v), "len": exon_length(v["exons"]), "exonNum": F.size(v["exons"]), "exon_start": at("start"), "exon_end": at("end"),
+            "exon_leftSeq": base("l"), "exon_rightSeq": base("r"), "strand": v["strand"], "geneName": F.when(genes == "", "intergenic").otherwise(genes),
+        }
+
+    columns = [c.alias(f"{n}_{name}") for i, (v, name) in enumerate(((a, "first"), (b, "second"))) for n, c in parts(v, i).items()]
+    return iso.select(F.concat(span(a), F.lit("|"), span(b)).alias("circID"), "isoID", *columns, "readCount", "readID")

@@ -20,7 +20,6 @@ from ringloom.operators import kernels as K
 from ringloom.operators import molecules as M
 from ringloom.operators import reads as R
 from ringloom.operators import relational as rel
-from ringloom.operators.storage import materialised
 from ringloom.plans import views as V
 from ringloom.sources import sinks
 
@@ -227,7 +226,9 @@ def _fusion_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     third = F.floor(F.col("exon_len") / 3)
     e = lambda a, b: F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"))
     two = F.array(e(F.col("ref_start"), F.col("ref_start") + third), e(F.col("ref_end") - third, F.col("ref_end")))
-    return V.ALIGNMENTS.frame(spark, sf_dir).withColumn("exons", F.when(F.col("ref_end") - F.col("ref_start") > 400, two).otherwise(F.array(e(F.col("ref_start"), F.col("ref_end")))))
+    # dealt out by reads, so that rows are made distinct where their reads are dealt with
+    rows = V.ALIGNMENTS.rows(spark, sf_dir).repartition("query_id").distinct()
+    return rows.withColumn("exons", F.when(F.col("ref_end") - F.col("ref_start") > 400, two).otherwise(F.array(e(F.col("ref_start"), F.col("ref_end")))))
 
 
 _FUSION_ROWS = _FUSION[: _FUSION.index("p as (select query_id, case when side")].rstrip().rstrip(",")
@@ -268,9 +269,8 @@ def fusion_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = V.SEQUENCES.frame(spark, sf_dir)
     chrom = F.concat(F.lit("chr"), (F.col("id") % 2 + 1).cast("string"))
     genome = s.groupBy(chrom.alias("chr")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "seq"))), lambda x: x["seq"]), "").alias("seq"))
-    gtf = V.EXONS.frame(spark, sf_dir)
-    loci = materialised(I.fusion_structure(_fusion_rows(spark, sf_dir), gtf))
-    return I.fusion_table(loci, gtf, lambda d, at, name: fetched(d, F.col(at), genome, name))
+    gtf = V.EXONS.rows(spark, sf_dir)
+    return I.fusion_table(I.fusion_structure(_fusion_rows(spark, sf_dir), gtf), gtf, lambda d, at, name: fetched(d, F.col(at), genome, name))
 
 
 #: Isoforms of two exons, whose inner bounds vary by some bases.

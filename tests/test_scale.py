@@ -2,7 +2,11 @@
 
 import random
 
+from pyspark.sql import functions as F
+
+from ringloom.operators import isoforms as I
 from ringloom.operators import junctions as J
+from ringloom.operators.storage import materialised
 
 
 def rows(df):
@@ -30,3 +34,24 @@ def test_snap_meets_a_gene_once(spark, monkeypatch):
             shift, g, s, t = min(own)
             want.append((i, c, st, a, b, g, s, t, shift))
     assert rows(J.snap_to_genes(d, e)) == sorted(want)
+
+
+def test_fusion_flanks_are_looked_up_once_per_place(spark):
+    e = "array<struct<start:long,end:long>>"
+    loci = [(q, k, c, "+", [(s, s + 50), (s + 100 + q, s + 150 + q)]) for q in range(4) for k, c, s in ((1, "a", 10), (2, "b", 20))]
+    d = spark.createDataFrame(loci, f"query_id long, locus int, chr string, strand string, exons {e}")
+    gtf = spark.createDataFrame([("a", "G", "N", "+", 12, 61), ("b", "H", "", "+", 20, 70)], "chr string, gene_id string, gene_name string, strand string, start_pos long, end_pos long")
+    asked = []
+
+    def flank(rows_, at, name):
+        asked.append(rows_.select("chr", at).collect())
+        return rows_.withColumn(name, F.concat("chr", F.col(at).cast("string")))
+
+    got = I.fusion_table(d, gtf, flank).orderBy("isoID").collect()
+    assert len(got) == 4 and all(len(a) == len(set(a)) for a in asked)
+    assert [(r["geneName_first"], r["geneName_second"], r["exon_leftSeq_first"], r["exon_rightSeq_second"]) for r in got] == [("N", "H", f"a8,a{108 + q}", f"b70,b{170 + q}") for q in range(4)]
+
+
+def test_materialised_is_compressed_columns(spark):
+    d = materialised(spark.range(5).withColumn("s", F.lit("x")))
+    assert all(".zstd.parquet" in f for f in d.inputFiles()) and d.count() == 5
