@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ringloom.operators import isoforms as I
 from ringloom.operators import junctions as J
+from ringloom.operators import kernels as K
 from ringloom.operators.storage import materialised
 
 
@@ -55,3 +56,19 @@ def test_fusion_flanks_are_looked_up_once_per_place(spark):
 def test_materialised_is_compressed_columns(spark):
     d = materialised(spark.range(5).withColumn("s", F.lit("x")))
     assert all(".zstd.parquet" in f for f in d.inputFiles()) and d.count() == 5
+
+
+def test_kernels_are_dealt_out(spark):
+    """Reads that lie in one partition are dealt out over tasks, and kernels take many at a time."""
+    rnd = random.Random(3)
+    seqs = ["".join(rnd.choice("ACGT") for _ in range(64)) for _ in range(40)]
+    d = spark.createDataFrame([(f"r{i}", s * 4, s) for i, s in enumerate(seqs)], "read_id string, seq string, ref string").coalesce(1)
+    for out in (K.umi_reads(d, "ACGTACGT"), K.ccs_reads(d), K.remap_flags(d.withColumnRenamed("read_id", "query_id"))):
+        assert out.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    part = d.select((F.substring("read_id", 2, 9).cast("long") % 7).alias("k"), F.substring("read_id", 2, 9).cast("long").alias("ord"), F.col("ref").alias("seq"))
+    want = [(str(k), K.consensus(seqs[k::7])) for k in range(7)]
+    assert rows(K.consensus_by(part, "k")) == want
+    groups = [(seqs[k::5], [1] * len(seqs[k::5])) for k in range(5)]
+    assert K.consensus_all(groups) == K.consensus_all(groups, cells=1) == [K.consensus(g) for g, _ in groups]
+    assert K.tandem_consensuses([s * 4 for s in seqs]) == [("0-64;64-128;128-192;192-256", s) for s in seqs]
+    assert K._edit("kitten", "sitting") == 3 and K._edit("", "ab") == 2
