@@ -1,12 +1,14 @@
 """The forms that operators take so that large inputs stay cheap give what the plain ones do."""
 
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from ringloom.operators import isoforms as I
 from ringloom.operators import junctions as J
 from ringloom.operators import kernels as K
+from ringloom.operators import molecules as M
 from ringloom.operators.storage import materialised
 
 
@@ -72,3 +74,27 @@ def test_kernels_are_dealt_out(spark):
     assert K.consensus_all(groups) == K.consensus_all(groups, cells=1) == [K.consensus(g) for g, _ in groups]
     assert K.tandem_consensuses([s * 4 for s in seqs]) == [("0-64;64-128;128-192;192-256", s) for s in seqs]
     assert K._edit("kitten", "sitting") == 3 and K._edit("", "ab") == 2
+
+
+def test_shared_words_by_blocks(spark, monkeypatch):
+    """Pairs within and between blocks are met once; equal words count by the smaller number; other letters end a word."""
+    rnd = random.Random(4)
+    seqs = ["".join(rnd.choice("ACGTN"[:4 + (i % 5 == 0)]) for _ in range(30)) for i in range(30)] + ["AAAAAAA", "AAAAA", "", None, "CC"]
+    d = spark.createDataFrame(list(enumerate(seqs)), "id long, seq string")
+    n = [Counter(w for i in range(len(s or "") - 2) if set(w := s[i : i + 3]) <= set("ACGT")) for s in seqs]
+    want = [(i, j, c) for i in range(len(n)) for j in range(i + 1, len(n)) if (c := sum((n[i] & n[j]).values())) >= 3]
+    for size in (8, 1 << 15):
+        monkeypatch.setattr(M, "BLOCK", size)
+        assert rows(M.shared_words(d, 3, 3)) == want
+    assert "Join" not in M.shared_words(d, 3, 3)._jdf.queryExecution().toString()
+
+
+def test_umi_candidates_of_equal_length_are_few(spark):
+    """Pieces find every pair that words find and identity keeps, and no pair of unlike sequences."""
+    rnd = random.Random(5)
+    t = ["".join(rnd.choice("ACGT") for _ in range(64)) for _ in range(500)]
+    near = [s[:x] + "A" + s[x + 1 :] for s in t[:20] for x in (0, 20, 63)] + [s[:30] + s[31:] + "G" for s in t[:20]]
+    nodes = spark.createDataFrame([(s, s) for s in sorted({*t, *near})], "id string, seq string")
+    pieces, words = set(rows(M._piece_pairs(nodes, 0.98, 8))), rows(M._word_pairs(nodes, 0.98, 8))
+    alike = {p for p, x in zip(words, M.identities([a for a, _ in words], [b for _, b in words]), strict=True) if x >= 0.98}
+    assert len(alike) > 40 and alike <= pieces and len(pieces) <= 20 * 10 < len(words)
