@@ -5,6 +5,8 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from ringloom.functions import sequence as S
+from ringloom.operators import annotate as A
 from ringloom.operators import isoforms as I
 from ringloom.operators import junctions as J
 from ringloom.operators import kernels as K
@@ -98,3 +100,22 @@ def test_umi_candidates_of_equal_length_are_few(spark):
     pieces, words = set(rows(M._piece_pairs(nodes, 0.98, 8))), rows(M._word_pairs(nodes, 0.98, 8))
     alike = {p for p, x in zip(words, M.identities([a for a, _ in words], [b for _, b in words]), strict=True) if x >= 0.98}
     assert len(alike) > 40 and alike <= pieces and len(pieces) <= 20 * 10 < len(words)
+
+
+def test_circles_are_annotated_and_named_once_per_kind(spark, monkeypatch):
+    """Many equal circles are one to the joins; names are those of the plain functions over whole transcripts."""
+    e = [("c", "G", "+", t, s + k, s + 50) for t, k in (("T1", 0), ("T2", 3)) for s in range(0, 1000, 120)] + [("c", "H", "-", "U", s, s + 30) for s in range(0, 900, 70)]
+    e = spark.createDataFrame(e, "chr string, gene_id string, strand string, transcript_id string, start_pos long, end_pos long")
+    rnd = random.Random(6)
+    sites = [("G", "+", 51, 119), ("H", "-", 31, 69)] + [(*rnd.choice([("G", "+"), ("H", "-")]), a := rnd.randrange(900), a + rnd.randrange(1, 200)) for _ in range(80)]
+    d = spark.createDataFrame([(i, *x) for i, x in enumerate(sites * 2)], "query_id long, gene_id string, strand string, snap_start long, snap_end long")
+    circ = F.array(F.struct(F.col("snap_start").alias("start"), F.col("snap_end").alias("end")))
+    plain = d.join(A.transcripts(e).withColumnRenamed("exons", "ref"), ["gene_id", "strand"])
+    plain = plain.select("query_id", "transcript_id", S.uniform_id(F.col("gene_id"), F.lit(""), circ, F.col("ref"), F.col("strand")))
+    got = rows(A.exon_names(d, e))
+    assert got == rows(plain) and {"circG(RI)"} <= {r[2] for r in got}
+    c = d.select(F.col("query_id").alias("circ_key"), F.lit("c").alias("chr"), "strand", F.col("snap_start").alias("start_pos"), F.col("snap_end").alias("end_pos"))
+    x = c.select("circ_key", F.col("start_pos").alias("c_start"), F.col("end_pos").alias("c_end"))
+    want, seen, kinds = rows(A.annotate_kinds(c, x, e)), [], A.annotate_kinds
+    monkeypatch.setattr(A, "annotate_kinds", lambda a, b, g: seen.append(a.count()) or kinds(a, b, g))
+    assert rows(A.annotate(c, x, e)) == want and seen == [len(set(sites))]
