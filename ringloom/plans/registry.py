@@ -487,7 +487,10 @@ e as (select query_id, line, part, supp, ref_begin, cigar, b, min(pos) as s, max
 q as (select query_id, line, part, supp, ref_begin, cigar, sum(case when c in ('S','H') and i = 1 then z else 0 end)::bigint as query_start, sum(case when c in ('S','H') and i = 1 or c in ('M','I','=','X') then z else 0 end)::bigint as query_end from s group by all)
 select query_id, line, part, supp, ref_begin, string_agg(s::bigint || '-' || t::bigint, ',' order by s) as exons, any_value(query_start) as query_start, any_value(query_end) as query_end from e join q using (query_id, line, part, supp, ref_begin, cigar) group by query_id, line, part, supp, ref_begin, cigar""")
 def cigar_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = CIGARS.frame(spark, sf_dir).withColumn("b", S.cigar_blocks(F.col("cigar"), F.col("ref_begin")))
+    # the text follows from the other columns, so rows are made distinct without it
+    d = CIGARS._replace(columns=CIGARS.columns[:-1]).frame(spark, sf_dir)
+    text = _CIGAR.replace("l_linenumber", "line").replace("l_suppkey", "supp").replace("l_partkey", "part")
+    d = d.selectExpr("*", text).withColumn("b", S.cigar_blocks(F.col("cigar"), F.col("ref_begin")))
     return d.select("query_id", "line", "part", "supp", "ref_begin", S.exon_text(F.col("b.exons")).alias("exons"), "b.query_start", "b.query_end")
 
 

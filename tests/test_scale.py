@@ -12,6 +12,7 @@ from ringloom.operators import junctions as J
 from ringloom.operators import kernels as K
 from ringloom.operators import molecules as M
 from ringloom.operators.storage import materialised
+from ringloom.plans import registry
 
 
 def rows(df):
@@ -119,3 +120,11 @@ def test_circles_are_annotated_and_named_once_per_kind(spark, monkeypatch):
     want, seen, kinds = rows(A.annotate_kinds(c, x, e)), [], A.annotate_kinds
     monkeypatch.setattr(A, "annotate_kinds", lambda a, b, g: seen.append(a.count()) or kinds(a, b, g))
     assert rows(A.annotate(c, x, e)) == want and seen == [len(set(sites))]
+
+
+def test_cigars_are_not_shuffled(spark, tmp_path):
+    spark.sql("select 1L l_orderkey, 2 l_linenumber, 3L l_partkey, 4L l_suppkey, 9.5D l_extendedprice from range(3)").write.parquet(str(tmp_path / "lineitem.parquet"))
+    d = registry.queries()["cigar_blocks"](spark, str(tmp_path))
+    assert d.count() == 1
+    dealt = [x for x in d._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in x]
+    assert dealt and not any("cigar" in x for x in dealt)
